@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tapewright.plans import indicator_queries
+from tapewright.plans import indicator_queries, signal_queries
 
-FLAGSHIP = "ind_trend"
+FLAGSHIP = "bt_window_signals"
 QUERIES: dict = {}
-for module in (indicator_queries,):
+for module in (indicator_queries, signal_queries):
     QUERIES |= module.QUERIES
