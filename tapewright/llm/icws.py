@@ -11,13 +11,17 @@ agree on a sample with probability equal to their weighted Jaccard similarity.
 agree on a band are candidates, and candidates are verified by the exact weighted Jaccard
 similarity of their whole texts.  Classes are the connected components of verified links.
 
-How candidates are verified without all pairs of a bucket: in each round a bucket's hub
-(the member with most company over all its buckets) is compared to the members outside its
-class, and then leaves the bucket.  Pairs inside one class need no comparison.  Once
-the pairs that are left number no more than ``REST_PAIRS`` for each text, they are compared
-one by one; the rounds go on until then, so no pair of different classes that shares a
-bucket goes unverified.  The texts of hubs are copied to salted keys, so a hub with very many
-candidates is no hot key.
+How candidates are verified without all pairs of a bucket.  First every member of a bucket is
+compared to the bucket's hub, the member with most company over all its buckets.  Where members
+are still in different classes, they are described by their deltas to the hub: what they add
+and what they lack.  Two members x, y with masses Wx, Wy and delta sizes ax, ay reach the
+threshold t only if their deltas share at least (ax + ay - c (Wx + Wy)) / 2 of weight, with
+c = (1 - t) / (1 + t).  One of the two is unlike the hub, which makes that amount positive, so they must share an
+element within a prefix of each delta (elements in a fixed order, additions first); an equi-join
+on those elements, with the weight that follows them as a second filter, finds every pair
+that can still be a link, and these are verified.  No pair of a bucket goes untested unless one
+of these bounds rules it out or its members are in one class already.  The texts of hubs are copied to
+salted keys, so a hub with very many members is no hot key.
 
 Defined results: equal texts (null and empty ones too) are one class from the start; texts
 under five words are one shingle; texts without words equal nothing but their own copies;
@@ -43,7 +47,6 @@ THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
 SKETCH_BITS = 16
 IDF_SHARE = 0.2
-REST_PAIRS = 4
 HUB_PAIRS = 64
 _WORD = re.compile(r"\w+")
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -194,27 +197,89 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ...) with both texts.  b may be a hub of very many pairs: its text is copied to one
+    salt for every HUB_PAIRS of them."""
+    salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("salts"))
+    dealt = pairs.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).drop("salts")
+    hubs = texts.join(salts, texts.k == salts.b).select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("text").alias("text_b"))
+    members = dealt.join(texts.select(F.col("k").alias("a"), F.col("text").alias("text_a")), "a")
+    return members.join(hubs, ["b", "salt"]).drop("salt")
+
+
+def _compared(batches: Iterator[pa.RecordBatch], sampler: Sampler):
+    """(batch, [(weighted a, weighted b)]); a hub's text comes many times in a row."""
+    last, last_b = None, None
+    for batch in batches:
+        out = []
+        for ta, b, tb in zip(batch.column("text_a").to_pylist(), batch.column("b").to_pylist(), batch.column("text_b").to_pylist()):
+            if b != last_b:
+                last, last_b = sampler.weighted(tb), b
+            out.append((sampler.weighted(ta), last))
+        yield batch, out
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, sampler_args, threshold: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose texts reach the threshold.  b may be a hub of very many
-    pairs: its text is copied to one salt for every HUB_PAIRS of them."""
+    """The pairs (u, v) whose texts reach the threshold."""
     sent = pairs.sparkSession.sparkContext.broadcast(sampler_args)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(*sent.value)
-        last, last_b = None, None
-        for batch in batches:
-            keep = []
-            for ta, b, tb in zip(batch.column("text_a").to_pylist(), batch.column("b").to_pylist(), batch.column("text_b").to_pylist()):
-                if b != last_b:
-                    last, last_b = sampler.weighted(tb), b
-                keep.append(weighted_jaccard(sampler.weighted(ta), last) >= threshold)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("salts"))
-    dealt = pairs.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).select("a", "b", "salt")
-    hubs = texts.join(salts, texts.k == salts.b).select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("text").alias("text_b"))
-    members = dealt.join(texts.select(F.col("k").alias("a"), F.col("text").alias("text_a")), "a")
-    return members.join(hubs, ["b", "salt"]).select("a", "text_a", "b", "text_b").mapInArrow(check, "a binary, b binary")
+        for batch, both in _compared(batches, Sampler(*sent.value)):
+            yes = pa.array([weighted_jaccard(x, y) >= threshold for x, y in both], pa.bool_())
+            yield batch.select(["a", "b"]).filter(yes).rename_columns(["u", "v"])
+
+    return _with_texts(pairs, texts).mapInArrow(check, "u binary, v binary")
+
+
+def delta_prefix(x: tuple[np.ndarray, np.ndarray], hub: tuple[np.ndarray, np.ndarray], outlier: bool, threshold: float):
+    """(elements, weight from each element on, delta size) of the prefix that any link of x within the hub's
+    bucket must meet.  An element is a shingle and whether x has more or less of it than the hub."""
+    keys = np.union1d(x[0], hub[0])
+    d = np.zeros(len(keys))
+    d[np.searchsorted(keys, x[0])] += x[1]
+    d[np.searchsorted(keys, hub[0])] -= hub[1]
+    keys, d = keys[np.abs(d) > 1e-12], d[np.abs(d) > 1e-12]
+    order = np.lexsort((keys, d < 0))  # additions first, then by hash
+    keys, d = keys[order], d[order]
+    size = np.abs(d)
+    total, c = float(size.sum()), (1 - threshold) / (1 + threshold)
+    if outlier:  # its distance to the hub is beyond the threshold by so much
+        least = (total - c * (x[1].sum() + hub[1].sum())) / (1 + c)
+    else:
+        least = (total - c * d.sum()) / 2
+    rest = np.cumsum(size[::-1])[::-1]
+    kept = rest >= least - 1e-9
+    return _mix(keys[kept] ^ np.where(d[kept] < 0, _A, np.uint64(0))).view(np.int64), rest[kept], total
+
+
+def _delta_pairs(open_members: DataFrame, texts: DataFrame, sampler_args, threshold: float) -> DataFrame:
+    """Pairs (a, b) of members (hub b, member a, root, outlier) that can still reach the threshold."""
+    sent = open_members.sparkSession.sparkContext.broadcast(sampler_args)
+    kinds = {"a": pa.binary(), "b": pa.binary(), "root": pa.binary(), "outlier": pa.bool_(), "mass": pa.float64(), "total": pa.float64(), "keys": pa.list_(pa.int64()), "rests": pa.list_(pa.float64())}
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, both in _compared(batches, Sampler(*sent.value)):
+            found = [delta_prefix(x, y, o, threshold) for (x, y), o in zip(both, batch.column("outlier").to_pylist())]
+            yield pa.RecordBatch.from_arrays([
+                *[batch.column(c) for c in ("a", "b", "root", "outlier")], pa.array([float(x[1].sum()) for x, _ in both], pa.float64()),
+                pa.array([f[2] for f in found], pa.float64()), pa.array([f[0] for f in found], kinds["keys"]), pa.array([f[1] for f in found], kinds["rests"]),
+            ], list(kinds))
+
+    schema = "a binary, b binary, root binary, outlier boolean, mass double, total double, keys array<long>, rests array<double>"
+    deltas = cut(_with_texts(open_members, texts).mapInArrow(describe, schema), "icws-deltas")
+    long = deltas.select(F.col("b").alias("hub"), "a", "root", "outlier", "mass", "total", F.explode(F.arrays_zip("keys", "rests")).alias("z"))
+    long = long.select("hub", "a", "root", "outlier", "mass", "total", F.col("z.keys").alias("element"), F.col("z.rests").alias("rest"))
+    # an element that one member alone has joins nothing
+    shared = long.groupBy("hub", "element").agg(F.count("*").alias("n"), F.max("outlier").alias("any")).filter("n > 1 and any").select("hub", "element")
+    long = cut(long.join(shared, ["hub", "element"]), "icws-elements")
+    c = (1 - threshold) / (1 + threshold)
+    x, y = long.alias("x"), long.filter("outlier").alias("y")
+    need = (F.col("x.total") + F.col("y.total") - c * (F.col("x.mass") + F.col("y.mass"))) / 2 - 1e-9
+    hit = (
+        (F.col("x.hub") == F.col("y.hub")) & (F.col("x.element") == F.col("y.element")) & (F.col("x.root") != F.col("y.root"))
+        & (F.least("x.rest", "y.rest") >= need) & (F.least("x.mass", "y.mass") >= threshold * F.greatest("x.mass", "y.mass") - 1e-9)
+    )
+    return x.join(y, hit).select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b")).distinct()
 
 
 def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -252,49 +317,27 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     id_key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     named = own.withColumn("id_key", id_key).join(wanted.select("k", id_key.alias("id_key")), ["k", "id_key"])
     texts = cut(named.groupBy("k").agg(F.first("text").alias("text")), "icws-texts")
-    n_nodes = nodes.count()
-    links = None
-    roots = members.select(F.col("k").alias("node"), F.col("k").alias("root")).distinct()
-    tested = None
-    while True:
-        at = members.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-        # members that are all of one class have nothing left to compare
-        kinds = at.groupBy("bucket", "root").agg(F.count("*").alias("m")).groupBy("bucket").agg(
-            F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same"), F.count("*").alias("kinds")
-        ).filter("kinds > 1")
-        open_members = cut(at.join(kinds.select("bucket"), "bucket"), "icws-open")
-        left = kinds.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()[0]
-        if not left:
-            break
-        last_round = left <= REST_PAIRS * n_nodes
-        if last_round:
-            x, y = open_members.alias("x"), open_members.alias("y")
-            found = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.k") < F.col("y.k")) & (F.col("x.root") != F.col("y.root")))
-            found = found.select(F.col("x.k").alias("a"), F.col("x.mass").alias("mass_a"), F.col("y.k").alias("b"), F.col("y.mass").alias("mass_b"))
-        else:
-            hubs = open_members.groupBy("bucket").agg(
-                F.max_by(F.struct("k", "mass", "root"), F.struct("company", -F.coalesce("rep", F.lit(2**62)), "k")).alias("hub")
-            )
-            found = open_members.join(hubs, "bucket").filter(F.col("root") != F.col("hub.root")).select(
-                F.col("k").alias("a"), F.col("mass").alias("mass_a"), F.col("hub.k").alias("b"), F.col("hub.mass").alias("mass_b")
-            )
-            members = cut(open_members.join(hubs.select("bucket", F.col("hub.k").alias("k")), ["bucket", "k"], "left_anti").select(*members.columns), "icws-members")
-        # similarity cannot exceed the ratio of the masses
-        pairs = found.filter(F.least("mass_a", "mass_b") >= threshold * F.greatest("mass_a", "mass_b") - 1e-9).select("a", "b").distinct()
-        if tested is not None:
-            flipped = tested.select(F.col("b").alias("a"), F.col("a").alias("b"))
-            pairs = pairs.join(tested.unionByName(flipped), ["a", "b"], "left_anti")
-        pairs = cut(pairs, "icws-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = cut(_verify(pairs, texts, sampler_args, threshold).select(F.col("a").alias("u"), F.col("b").alias("v")), "icws-links")
-        links = new if links is None else links.unionByName(new)
-        roots = components(links)
-        if last_round:
-            break
-    if links is None:
-        of = nodes.select("k", "rep", F.col("k").alias("root"))
-    else:
-        of = nodes.select("k", "rep").join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    best = F.struct("company", -F.coalesce("rep", F.lit(2**62)), "k")
+    hubs = members.groupBy("bucket").agg(F.max_by(F.struct("k", "mass"), best).alias("hub"))
+    members = cut(members.join(hubs, "bucket").filter(F.col("k") != F.col("hub.k")).select("bucket", "k", "mass", "hub"), "icws-members")
+    # similarity cannot exceed the ratio of the masses
+    near = F.least("mass", "hub.mass") >= threshold * F.greatest("mass", "hub.mass") - 1e-9
+    pairs = members.filter(near).select(F.col("k").alias("a"), F.col("hub.k").alias("b")).distinct()
+    links = cut(_verify(pairs, texts, sampler_args, threshold), "icws-links")
+    roots = components(links)
+    # members that are all of one class have nothing left to compare
+    own_root = members.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    open_buckets = own_root.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("bucket")
+    hub_root = roots.select(F.col("node").alias("b"), F.col("root").alias("hub_root"))
+    open_members = own_root.join(open_buckets, "bucket").select(F.col("k").alias("a"), F.col("hub.k").alias("b"), "root").distinct()
+    open_members = open_members.join(hub_root, "b", "left").select("a", "b", "root", (F.col("root") != F.coalesce("hub_root", "b")).alias("outlier"))
+    open_members = cut(open_members, "icws-open")
+    if open_members.head(1):
+        pairs = cut(_delta_pairs(open_members, texts, sampler_args, threshold), "icws-pairs")
+        if pairs.head(1):
+            links = cut(links.unionByName(_verify(pairs, texts, sampler_args, threshold)), "icws-links")
+            roots = components(links)
+    of = nodes.select("k", "rep").join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     of = cut(of, "icws-classes")
     heads = of.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("no"), "rep", "k")).alias("head"))
     classes = of.join(heads, "root").select("k", "rep", F.col("head.rep").alias("class_id"), F.col("head.k").alias("class_k"))
