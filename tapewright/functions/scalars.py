@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x))
+    """``greatest`` and ``least`` skip nulls, so a missing value is kept missing here."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x)))
 
 
 def ramp(x: Column, low: float, high: float) -> Column:
