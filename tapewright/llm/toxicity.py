@@ -237,15 +237,14 @@ def _index(rows: DataFrame, idf: dict[str, float], base: float) -> tuple[BlockMa
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [list(counts_of(t, known).items()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("y"), pa.array(found, pa.map_(pa.string(), pa.int32()))], ["doc_id", "y", "counts"]
-            )
-
-    got = rows.mapInArrow(collect, "doc_id long, y int, counts map<string,int>").collect()
-    # the bound on the sample holds for documents; repeated rows of one would add nothing
-    got = {r["doc_id"]: r for r in sorted(got, key=lambda r: (r["doc_id"], sorted(r["counts"].items())))}
-    examples = [(d, dict(r["counts"]), r["y"]) for d, r in sorted(got.items())]
+            found = [[{"term": x, "n": c} for x, c in sorted(counts_of(t, known).items())] for t in batch.column("text").to_pylist()]
+            kind = pa.list_(pa.struct([("term", pa.string()), ("n", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(found, kind)], ["doc_id", "y", "counts"])
+
+    got = rows.mapInArrow(collect, "doc_id long, y int, counts array<struct<term:string,n:int>>")
+    # repeated rows of a document would otherwise break the bound on what is collected
+    got = got.groupBy("doc_id").agg(F.first("y").alias("y"), F.min("counts").alias("counts")).orderBy("doc_id").collect()
+    examples = [(r["doc_id"], {c["term"]: c["n"] for c in r["counts"]}, r["y"]) for r in got]
     index = BlockMaxIndex(idf, examples)
     votes = np.array([index.vote(*index.nearest(*v, without=i), base) for i, v in enumerate(index.vectors)])
     # the sample may be balanced otherwise than the labels: weigh it back
