@@ -12,17 +12,20 @@ from pyspark.sql import functions as F
 from tapewright.functions.windows import BARS as P
 from tapewright.functions.windows import run_length
 
-c, h, lo, o, v = (F.col(x) for x in ("close", "high", "low", "open", "volume"))
+def _cols() -> tuple[Column, ...]:
+    return tuple(F.col(x) for x in ("close", "high", "low", "open", "volume"))
 
 
 def true_range() -> Column:
     """The first bar of a symbol has only its own range."""
+    _, h, lo, _, _ = _cols()
     pc = P.lag("close")
     return F.greatest(h - lo, F.abs(h - pc), F.abs(lo - pc))
 
 
 def trend(bars: DataFrame) -> DataFrame:
     """Moving averages, Bollinger bands (both deviations), Donchian, Ichimoku, rates of change."""
+    c, _, _, o, _ = _cols()
     sma20, mid = P.full(F.avg("close"), 20), lambda n: (P.full(F.max("high"), n) + P.full(F.min("low"), n)) / 2
     sd_s, sd_p = P.full(F.stddev_samp("close"), 20), P.full(F.stddev_pop("close"), 20)
     out = bars.withColumns({
@@ -42,6 +45,7 @@ def trend(bars: DataFrame) -> DataFrame:
 
 def oscillators(bars: DataFrame) -> DataFrame:
     """RSI from simple means, stochastics, CCI and money flow index with their null rules."""
+    c, h, lo, _, v = _cols()
     diff = c - P.lag("close")
     tp = (h + lo + c) / 3
     out = bars.withColumns({"diff": diff, "tp": tp}).withColumns({
@@ -73,6 +77,7 @@ def oscillators(bars: DataFrame) -> DataFrame:
 
 def volume(bars: DataFrame) -> DataFrame:
     """OBV, accumulation/distribution, CMF, volume-price trend, VROC, VWAP, VWMA, relative volume."""
+    c, h, lo, _, v = _cols()
     pc = P.lag("close")
     mfm = F.when(h > lo, ((c - lo) - (h - c)) / (h - lo)).otherwise(0.0)
     out = bars.withColumns({
@@ -97,6 +102,7 @@ def mid_rank(values: Column, x: Column) -> Column:
 
 def volatility(bars: DataFrame) -> DataFrame:
     """True range and its mean, historical volatility, causal percentile ranks, rolling quantiles."""
+    c, h, lo, _, _ = _cols()
     out = bars.withColumns({"tr": true_range(), "ret": c / P.lag("close") - 1, "lret": F.log(c / P.lag("close"))})
     out = out.withColumns({
         "atr14": P.full(F.avg("tr"), 14), "adr14": P.full(F.avg(h / lo - 1), 14),
@@ -125,6 +131,7 @@ def regression(bars: DataFrame) -> DataFrame:
 
 def weekly_levels(bars: DataFrame) -> DataFrame:
     """Classic, Fibonacci and Camarilla pivot levels of the bar before, and support/resistance over 60 bars."""
+    c, _, _, _, _ = _cols()
     ph, pl, pc = P.lag("high"), P.lag("low"), P.lag("close")
     out = bars.withColumns({"pp": (ph + pl + pc) / 3, "rng": ph - pl, "pc": pc, "pl": pl, "ph": ph})
     closes = F.when(F.count("close").over(P.W(60)) == 60, F.collect_list("close").over(P.W(60)))
