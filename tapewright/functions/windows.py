@@ -76,6 +76,11 @@ def run_length(df: DataFrame, flag: Column, name: str, panel: Panel = BARS) -> D
     return island.withColumn(name, F.sum(F.col("__flag").cast("int")).over(own).cast("long")).drop("__flag", "__island")
 
 
+def corr(x: str, y: str, w) -> Column:
+    """Correlation over a window, null where one side does not vary (the built-in fails on that)."""
+    return F.try_divide(F.covar_pop(x, y).over(w), F.stddev_pop(x).over(w) * F.stddev_pop(y).over(w))
+
+
 def cross_above(panel: Panel, a: Column, b: Column) -> Column:
     return (a > b) & (panel.lag(a) <= panel.lag(b))
 

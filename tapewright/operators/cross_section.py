@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.scalars import clamp
-from tapewright.functions.windows import Panel, asof_backward, run_length
+from tapewright.functions.windows import Panel, asof_backward, corr, run_length
 
 P = Panel()
 #: Bars back and weights of the relative-strength horizons.
@@ -99,7 +99,7 @@ def beta(bars: DataFrame, date: str, n: int = 52) -> DataFrame:
     ok = F.count("ret").over(w) == n
     return r.withColumns({
         "beta": F.when(ok, F.try_divide(F.covar_samp("ret", "index_ret").over(w), F.var_samp("index_ret").over(w))),
-        "corr": F.when(ok, F.corr("ret", "index_ret").over(w)),
+        "corr": F.when(ok, corr("ret", "index_ret", w)),
     })
 
 

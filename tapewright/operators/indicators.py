@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.functions.windows import BARS as P
-from tapewright.functions.windows import run_length
+from tapewright.functions.windows import corr, run_length
 
 def _cols() -> tuple[Column, ...]:
     return tuple(F.col(x) for x in ("close", "high", "low", "open", "volume"))
@@ -125,7 +125,7 @@ def regression(bars: DataFrame) -> DataFrame:
         "slope20": P.full(F.regr_slope("close", "bar_ix"), 20), "r2_20": P.full(F.regr_r2("close", "bar_ix"), 20),
         "drift60": P.full(F.regr_slope("lc", "bar_ix"), 60) * 252,
         "zslope20": F.try_divide(P.full(F.regr_slope("close", "bar_ix"), 20), P.full(F.stddev_pop("close"), 20)),
-        "corr_cv20": P.full(F.corr("close", "volume"), 20),
+        "corr_cv20": F.when(F.count("close").over(P.W(20)) == 20, corr("close", "volume", P.W(20))),
     }).drop("lc")
 
 

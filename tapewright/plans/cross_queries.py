@@ -40,7 +40,7 @@ RS_SQL = INDEX_CTE + f""", i AS (SELECT week, {_RS_I} FROM idx), o AS (SELECT *,
 j AS (SELECT o.*, i.* EXCLUDE (week) FROM o JOIN i ON i.week = o.week), s AS (SELECT *, CASE WHEN {_DEN} > 0 THEN ({_NUM}) / ({_DEN}) END AS rs FROM j)
 SELECT symbol, week, round(rs, 6) AS rs, CASE WHEN rs > 0.1 THEN 'Leader' WHEN rs > 0.02 THEN 'Strong' WHEN rs >= -0.02 THEN 'In line' WHEN rs >= -0.1 THEN 'Weak' WHEN rs IS NOT NULL THEN 'Laggard' END AS rs_class FROM s"""
 BETA_SQL = INDEX_CTE + """, j AS (SELECT r.symbol, r.week, r.bar_ix, r.ret, idx.index_ret FROM r JOIN idx ON idx.week = r.week WHERE ret IS NOT NULL)
-SELECT symbol, week, round(CASE WHEN count(ret) OVER w = 52 THEN covar_samp(ret, index_ret) OVER w / var_samp(index_ret) OVER w END, 5) AS beta, round(CASE WHEN count(ret) OVER w = 52 THEN corr(ret, index_ret) OVER w END, 5) AS corr
+SELECT symbol, week, round(CASE WHEN count(ret) OVER w = 52 THEN covar_samp(ret, index_ret) OVER w / var_samp(index_ret) OVER w END, 5) AS beta, round(CASE WHEN count(ret) OVER w = 52 AND stddev_pop(ret) OVER w > 0 THEN corr(ret, index_ret) OVER w END, 5) AS corr
 FROM j WINDOW w AS (PARTITION BY symbol ORDER BY bar_ix ROWS 51 PRECEDING)"""
 LIQUIDITY_SQL = BARS_SQL + """, l AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_ix DESC) AS rn FROM bars),
 a AS (SELECT symbol, avg(volume) AS avg_volume, quantile_cont(volume, 0.5) AS median_volume, avg(volume * close) AS avg_value, 100.0 * count(*) FILTER (WHERE volume < 20) / count(*) AS low_volume_pct, stddev_pop(volume) / avg(volume) AS cv FROM l WHERE rn <= 60 GROUP BY symbol)

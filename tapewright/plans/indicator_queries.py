@@ -112,7 +112,7 @@ RISK_SQL = BARS_SQL + f""", a AS (
 
 REG_SQL = BARS_SQL + f""", t AS (
   SELECT *, {full('regr_slope(close, bar_ix)', 20)} AS slope20, {full('regr_r2(close, bar_ix)', 20)} AS r2_20,
-    252 * ({full('regr_slope(ln(close), bar_ix)', 60)}) AS drift60, {full('stddev_pop(close)', 20)} AS sd, {full('corr(close, volume)', 20)} AS corr_cv20
+    252 * ({full('regr_slope(ln(close), bar_ix)', 60)}) AS drift60, {full('stddev_pop(close)', 20)} AS sd, CASE WHEN count(close) OVER w20 = 20 AND stddev_pop(close) OVER w20 > 0 AND stddev_pop(volume) OVER w20 > 0 THEN corr(close, volume) OVER w20 END AS corr_cv20
   FROM bars {FRAMES}
 ), z AS (SELECT *, CASE WHEN sd <> 0 THEN slope20 / sd END AS zslope20 FROM t) """ + sql_rounded("z", REG, 5)
 

@@ -42,7 +42,7 @@ f4 AS (SELECT *, last_value(CASE WHEN pre_fire THEN bar_ix END IGNORE NULLS) OVE
 f5 AS (SELECT *, coalesce(close > break_level, false) AS breakout FROM f4), f6 AS (SELECT *, min(CASE WHEN breakout THEN bar_ix END) OVER (PARTITION BY symbol, pre_ix ORDER BY bar_ix ROWS UNBOUNDED PRECEDING) AS first_break FROM f5),
 f7 AS (SELECT *, coalesce(max(CASE WHEN bar_ix > first_break AND bar_ix <= first_break + {CFG.reject_bars} THEN (close <= break_level)::INT END) OVER (PARTITION BY symbol, pre_ix ORDER BY bar_ix ROWS UNBOUNDED PRECEDING) = 1, false) AS rejected FROM f6),
 ff AS (SELECT *, breakout AND busy AND coalesce(mfi >= 50 OR mfi > mfi_then, false) AND NOT rejected AS fire,
-  round(round(greatest(0, least(1, mfi_gain / {2 * CFG.mfi_gain})) * 20, 2) + round(compressed::INT * 15.0, 2) + round(absorption_score / 100 * 20, 2) + round(support_holds::INT * 10.0, 2) + round(coalesce(greatest(0, least(1, rvol / 2)), 0) * 10, 2) + round(breakout::INT * 15.0, 2), 2) AS fire_score FROM f7)"""
+  round(round(greatest(0, least(1, mfi_gain / {2 * CFG.mfi_gain})) * 20, 2) + round(compressed::INT * 15.0, 2) + round(absorption_score / 100 * 20, 2) + round(support_holds::INT * 10.0, 2) + round(CASE WHEN rvol IS NOT NULL THEN greatest(0, least(1, rvol / 2)) ELSE 0 END * 10, 2) + round(breakout::INT * 15.0, 2), 2) AS fire_score FROM f7)"""
 FIRE_SQL = FIRE_CTE + """ SELECT symbol, session_date, CAST(hour AS INT) AS hour, bull_absorption, bear_absorption, absorption_score::DOUBLE AS absorption_score, pre_fire, round(pre_score, 4)::DOUBLE AS pre_score, breakout, rejected, fire, fire_score::DOUBLE AS fire_score,
   CASE WHEN fire_score < 40 THEN 'NO_SETUP' WHEN fire_score < 60 THEN 'WATCH' WHEN fire_score < 75 THEN 'PRE_FIRE' WHEN fire_score < 90 THEN 'STRONG_FIRE' ELSE 'EXTREME_FIRE' END AS rating FROM ff"""
 CARRY_SQL = FIRE_CTE + """, l AS (SELECT symbol, session_date AS setup_date, max(hour) AS setup_hour, max_by(close, hour) AS setup_close FROM ff WHERE hour >= 20 AND compressed AND mfi_gain > 0 GROUP BY symbol, session_date),
