@@ -96,9 +96,9 @@ def asof_backward(
 
     Both sides are stacked and sorted once by (by, time): linear, one shuffle, no range join.
     Without ``by`` a series for all would need one task, so ``by`` may not be empty: market-wide
-    series go through :func:`asof_dates`."""
+    series are joined on their few dates instead."""
     if not by:
-        raise ValueError("asof_backward needs a key; use asof_dates for a market-wide series")
+        raise ValueError("asof_backward needs a key")
     row = F.struct(*[F.col(c) for c in left.columns])
     value = F.struct(*[F.col(c) for c in take])
     sides = left.select(*by, F.col(left_on).alias("__t"), F.lit(0 if strict else 1).alias("__side"), row.alias("__row"), F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType).alias("__value"))
@@ -110,12 +110,11 @@ def asof_backward(
     return out.select("__row.*", *[F.col(f"__value.{c}").alias(c) for c in take])
 
 
-def asof_dates(panel: DataFrame, series: DataFrame, on: str, take: list[str]) -> DataFrame:
-    """A market-wide daily series carried to the panel's dates (at or before).  Only the distinct
-    dates of both are sorted in one place: a few thousand, however many symbols there are."""
-    tag = F.lit(1)
-    stacked = panel.select(on).distinct().select(F.col(on).alias("__t"), F.lit("all").alias("__all"))
-    filled = asof_backward(
-        stacked.withColumn("__tag", tag), series.withColumn("__all", F.lit("all")), "__t", on, ["__all"], take
-    )
-    return panel.join(filled.select(F.col("__t").alias(on), *take), on)
+def asof_forward(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: list[str], take: list[str]) -> DataFrame:
+    """Each left row with the values of the first right row at or after it."""
+    row, value = F.struct(*[F.col(c) for c in left.columns]), F.struct(*[F.col(c) for c in take])
+    l = left.select(*by, F.col(left_on).alias("__t"), F.lit(0).alias("__side"), row.alias("__row"), F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType).alias("__value"))
+    r = right.select(*by, F.col(right_on).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(l.schema["__row"].dataType).alias("__row"), value.alias("__value"))
+    w = Window.partitionBy(*by).orderBy("__t", "__side").rowsBetween(0, Window.unboundedFollowing)
+    out = l.unionByName(r).withColumn("__value", F.first("__value", ignorenulls=True).over(w)).filter("__row is not null")
+    return out.select("__row.*", *[F.col(f"__value.{c}").alias(c) for c in take])

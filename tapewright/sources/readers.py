@@ -24,7 +24,7 @@ def read_csv_bars(spark: SparkSession, path: str) -> DataFrame:
         hits = [F.col(f"`{found[a]}`") for a in ALIASES[name] if a in found]
         return F.coalesce(*hits) if hits else F.lit(None).cast("string")
 
-    out = raw.select(F.upper(F.trim(pick("symbol"))).alias("symbol"), F.try_to_date(pick("trade_date")).alias("trade_date") if hasattr(F, "try_to_date") else pick("trade_date").try_cast("date").alias("trade_date"),
+    out = raw.select(F.upper(F.trim(pick("symbol"))).alias("symbol"), pick("trade_date").try_cast("date").alias("trade_date"),
                      *[parse_number(pick(c)).alias(c) for c in ("open", "high", "low", "close", "volume")])
     return out.filter(valid_bar() & F.col("symbol").isNotNull() & F.col("trade_date").isNotNull())
 
