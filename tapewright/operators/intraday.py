@@ -15,7 +15,7 @@ from tapewright.functions.windows import asof_backward
 
 
 @dataclass(frozen=True)
-class FireConfig:
+class IgnitionConfig:
     """Thresholds; the defaults suit hourly bars of memoryless values."""
 
     lookback: int = 5
@@ -58,7 +58,7 @@ def mfi(bars: DataFrame, n: int = 14) -> DataFrame:
     return f.drop("tp", "dtp", "pos", "neg")
 
 
-def fire_frame(bars: DataFrame, cfg: FireConfig = FireConfig()) -> DataFrame:
+def ignition_frame(bars: DataFrame, cfg: IgnitionConfig = IgnitionConfig()) -> DataFrame:
     """Every intermediate column, then pre-fire and fire flags with their scores."""
     f = mfi(relative_volume(bars, cfg.baseline_sessions, cfg.min_sessions))
     n = cfg.lookback

@@ -8,7 +8,7 @@ from tapewright.functions.windows import asof_forward
 from tapewright.operators import intraday as I
 from tapewright.operators import levels as L
 from tapewright.operators import signals as S
-from tapewright.plans.session_queries import FIRE_CTE
+from tapewright.plans.session_queries import IGNITION_CTE
 from tapewright.session import table
 from tapewright.sources.panels import BARS_SQL, WEEKLY_SQL, daily_bars, intraday_bars, weekly_bars
 
@@ -20,7 +20,7 @@ d AS (SELECT *, min(close) OVER l AS low2, min(close) OVER e AS low1, min_by(obv
   FROM v WINDOW l AS ({_B} ROWS 14 PRECEDING), e AS ({_B} ROWS BETWEEN 29 PRECEDING AND 15 PRECEDING))
 SELECT symbol, trade_date, CASE WHEN low2 < low1 AND ol2 > ol1 THEN 'bullish' WHEN high2 > high1 AND oh2 < oh1 THEN 'bearish' ELSE 'none' END AS divergence FROM d WHERE bar_ix >= 30"""
 REBASED_SQL = WEEKLY_SQL + " SELECT symbol, week, round(100 * close / first_value(close) OVER (PARTITION BY symbol ORDER BY week), 6) AS rebased FROM weekly"
-ACCURACY_SQL = FIRE_CTE + """, fw AS (SELECT *, lead(close, 1) OVER b / close - 1 AS fwd_1, lead(close, 3) OVER b / close - 1 AS fwd_3, lead(close, 5) OVER b / close - 1 AS fwd_5 FROM ff WINDOW b AS (PARTITION BY symbol ORDER BY bar_ix)),
+ACCURACY_SQL = IGNITION_CTE + """, fw AS (SELECT *, lead(close, 1) OVER b / close - 1 AS fwd_1, lead(close, 3) OVER b / close - 1 AS fwd_3, lead(close, 5) OVER b / close - 1 AS fwd_5 FROM ff WINDOW b AS (PARTITION BY symbol ORDER BY bar_ix)),
 al AS (SELECT 'bull_absorption' AS kind, 1 AS side, * FROM fw WHERE bull_absorption UNION ALL SELECT 'bear_absorption', -1, * FROM fw WHERE bear_absorption UNION ALL SELECT 'pre_fire', 1, * FROM fw WHERE pre_fire),
 st AS (SELECT kind, side, 1 AS horizon, fwd_1 AS r FROM al UNION ALL SELECT kind, side, 3, fwd_3 FROM al UNION ALL SELECT kind, side, 5, fwd_5 FROM al)
 SELECT kind, horizon, count(*) FILTER (WHERE r * side > 0.001) AS correct, count(*) FILTER (WHERE r * side < -0.001) AS wrong, count(*) FILTER (WHERE abs(r * side) <= 0.001) AS neutral, count(*) FILTER (WHERE r IS NULL) AS no_data FROM st GROUP BY kind, horizon"""
@@ -42,7 +42,7 @@ def q_rebased(spark, sf):
 
 
 def q_accuracy(spark, sf):
-    f = I.fire_frame(intraday_bars(spark, sf)).withColumns({f"fwd_{h}": S.P.lead("close", h) / F.col("close") - 1 for h in (1, 3, 5)})
+    f = I.ignition_frame(intraday_bars(spark, sf)).withColumns({f"fwd_{h}": S.P.lead("close", h) / F.col("close") - 1 for h in (1, 3, 5)})
     kinds = {"bull_absorption": 1, "bear_absorption": -1, "pre_fire": 1}
     hit = F.array_compact(F.array(*[F.when(F.col(k), F.struct(F.lit(k).alias("kind"), F.lit(s).alias("side"))) for k, s in kinds.items()]))
     return L.alert_accuracy(f.withColumn("a", F.explode(hit)).select("a.*", "fwd_1", "fwd_3", "fwd_5"))

@@ -16,7 +16,7 @@ from tapewright.sources import readers
 from tapewright.sources.panels import BARS_SQL, INTRADAY_SQL, daily_bars, intraday_bars
 from tapewright.streaming import alerts
 
-CFG = I.FireConfig()
+CFG = I.IgnitionConfig()
 BASE_CTE = INTRADAY_SQL + """, ag AS (SELECT *, dense_rank() OVER (PARTITION BY symbol ORDER BY session_date DESC) AS age FROM intraday),
 tb AS (SELECT symbol, hour, CAST(trunc(quantile_cont(volume, 0.5)) AS BIGINT) AS median_volume, CAST(trunc(avg(volume)) AS BIGINT) AS mean_volume, count(DISTINCT session_date) AS sessions FROM ag WHERE age <= 30 GROUP BY symbol, hour)"""
 BASELINE_SQL = BASE_CTE + " SELECT symbol, CAST(hour AS INT) AS hour, median_volume, mean_volume, sessions FROM tb"
@@ -24,7 +24,7 @@ RV_CTE = BASE_CTE + """, rv AS (SELECT i.*, sessions, CASE WHEN sessions >= 5 AN
 rc AS (SELECT *, coalesce(CASE WHEN rvol < 0.5 THEN 'THIN' WHEN rvol < 1.5 THEN 'NORMAL' WHEN rvol < 2 THEN 'ELEVATED' WHEN rvol < 3 THEN 'ABNORMAL' WHEN rvol IS NOT NULL THEN 'EXTREME' END, 'UNKNOWN') AS volume_class FROM rv)"""
 RV_SQL = RV_CTE + " SELECT symbol, session_date, CAST(hour AS INT) AS hour, round(rvol, 6) AS rvol, volume_class, round(least(1.0, coalesce(sessions, 0) / 30.0), 6) AS rv_confidence FROM rc"
 _N, _B = CFG.lookback, "PARTITION BY symbol ORDER BY bar_ix"
-FIRE_CTE = RV_CTE + f""", m0 AS (SELECT *, (high + low + close) / 3 AS tp FROM rc), m1 AS (SELECT *, tp - lag(tp) OVER (PARTITION BY symbol ORDER BY bar_ix) AS dtp FROM m0),
+IGNITION_CTE = RV_CTE + f""", m0 AS (SELECT *, (high + low + close) / 3 AS tp FROM rc), m1 AS (SELECT *, tp - lag(tp) OVER (PARTITION BY symbol ORDER BY bar_ix) AS dtp FROM m0),
 m2 AS (SELECT *, CASE WHEN count(dtp) OVER w = 14 THEN sum(CASE WHEN dtp > 0 THEN tp * volume ELSE 0 END) OVER w END AS pos, CASE WHEN count(dtp) OVER w = 14 THEN sum(CASE WHEN dtp < 0 THEN tp * volume ELSE 0 END) OVER w END AS neg FROM m1 WINDOW w AS ({_B} ROWS 13 PRECEDING)),
 m3 AS (SELECT *, CASE WHEN neg = 0 THEN CASE WHEN pos > 0 THEN 100 ELSE 50 END ELSE 100 - 100 / (1 + pos / neg) END AS mfi FROM m2),
 f0 AS (SELECT *, CASE WHEN lag(open, {_N - 1}) OVER b > 0 THEN abs(close - lag(open, {_N - 1}) OVER b) / lag(open, {_N - 1}) OVER b * 100 END AS move_pct, min(low) OVER p AS support, max(high) OVER p AS resistance,
@@ -43,9 +43,9 @@ f5 AS (SELECT *, coalesce(close > break_level, false) AS breakout FROM f4), f6 A
 f7 AS (SELECT *, coalesce(max(CASE WHEN bar_ix > first_break AND bar_ix <= first_break + {CFG.reject_bars} THEN (close <= break_level)::INT END) OVER (PARTITION BY symbol, pre_ix ORDER BY bar_ix ROWS UNBOUNDED PRECEDING) = 1, false) AS rejected FROM f6),
 ff AS (SELECT *, breakout AND busy AND coalesce(mfi >= 50 OR mfi > mfi_then, false) AND NOT rejected AS fire,
   round(round(greatest(0, least(1, mfi_gain / {2 * CFG.mfi_gain})) * 20, 2) + round(compressed::INT * 15.0, 2) + round(absorption_score / 100 * 20, 2) + round(support_holds::INT * 10.0, 2) + round(CASE WHEN rvol IS NOT NULL THEN greatest(0, least(1, rvol / 2)) ELSE 0 END * 10, 2) + round(breakout::INT * 15.0, 2), 2) AS fire_score FROM f7)"""
-FIRE_SQL = FIRE_CTE + """ SELECT symbol, session_date, CAST(hour AS INT) AS hour, bull_absorption, bear_absorption, absorption_score::DOUBLE AS absorption_score, pre_fire, round(pre_score, 4)::DOUBLE AS pre_score, breakout, rejected, fire, fire_score::DOUBLE AS fire_score,
+IGNITION_SQL = IGNITION_CTE + """ SELECT symbol, session_date, CAST(hour AS INT) AS hour, bull_absorption, bear_absorption, absorption_score::DOUBLE AS absorption_score, pre_fire, round(pre_score, 4)::DOUBLE AS pre_score, breakout, rejected, fire, fire_score::DOUBLE AS fire_score,
   CASE WHEN fire_score < 40 THEN 'NO_SETUP' WHEN fire_score < 60 THEN 'WATCH' WHEN fire_score < 75 THEN 'PRE_FIRE' WHEN fire_score < 90 THEN 'STRONG_FIRE' ELSE 'EXTREME_FIRE' END AS rating FROM ff"""
-CARRY_SQL = FIRE_CTE + """, l AS (SELECT symbol, session_date AS setup_date, max(hour) AS setup_hour, max_by(close, hour) AS setup_close FROM ff WHERE hour >= 20 AND compressed AND mfi_gain > 0 GROUP BY symbol, session_date),
+CARRY_SQL = IGNITION_CTE + """, l AS (SELECT symbol, session_date AS setup_date, max(hour) AS setup_hour, max_by(close, hour) AS setup_close FROM ff WHERE hour >= 20 AND compressed AND mfi_gain > 0 GROUP BY symbol, session_date),
 s AS (SELECT symbol, session_date, min_by(open, hour) AS open FROM ff GROUP BY symbol, session_date)
 SELECT s.symbol, s.session_date, setup_date, CAST(setup_hour AS INT) AS setup_hour, round(100 * (open / setup_close - 1), 4) AS gap_pct FROM s ASOF LEFT JOIN l ON s.symbol = l.symbol AND s.session_date > l.setup_date"""
 SESSION_SQL = INTRADAY_SQL + """, g AS (SELECT *, hour - lag(hour) OVER (PARTITION BY symbol, session_date ORDER BY hour) AS gap FROM intraday),
@@ -88,6 +88,11 @@ MINUTE_SQL = "SELECT event_type, count(DISTINCT date_trunc('minute', ts)) AS min
 SESSION_WINDOW_SQL = """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, sid"""
 
+SLIDING_SQL = """WITH s AS (SELECT event_type, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS start FROM events)
+SELECT start, start + INTERVAL 2 HOUR AS "end", event_type, count(*) AS n FROM s WHERE start + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) GROUP BY start, event_type"""
+PACE_SQL = """WITH u AS (SELECT event_type, hour(ts) AS hour, avg(value) AS usual FROM events GROUP BY 1, 2) SELECT event_id, e.event_type, CAST(u.hour AS INT) AS hour, round(value / usual, 6) AS pace FROM events e JOIN u ON u.event_type = e.event_type AND u.hour = hour(e.ts) WHERE value / usual >= 4.0"""
+INSERT_SQL = """WITH e AS (SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events) SELECT * FROM e WHERE day >= '2024-01-10' AND (user_id, event_type, day) NOT IN (SELECT user_id, event_type, day FROM e WHERE day < '2024-01-15')"""
+
 
 def q_baseline(spark, sf):
     return I.time_of_day_baseline(intraday_bars(spark, sf))
@@ -97,12 +102,12 @@ def q_relative_volume(spark, sf):
     return I.relative_volume(intraday_bars(spark, sf)).select("symbol", "session_date", "hour", F.round("rvol", 6).alias("rvol"), "volume_class", F.round("rv_confidence", 6).alias("rv_confidence"))
 
 
-def q_fire(spark, sf):
-    return I.fire_frame(intraday_bars(spark, sf)).select("symbol", "session_date", "hour", "bull_absorption", "bear_absorption", "absorption_score", "pre_fire", F.round("pre_score", 4).alias("pre_score"), "breakout", "rejected", "fire", "fire_score", "rating")
+def q_ignition(spark, sf):
+    return I.ignition_frame(intraday_bars(spark, sf)).select("symbol", "session_date", "hour", "bull_absorption", "bear_absorption", "absorption_score", "pre_fire", F.round("pre_score", 4).alias("pre_score"), "breakout", "rejected", "fire", "fire_score", "rating")
 
 
 def q_carried(spark, sf):
-    return I.carried_setups(I.fire_frame(intraday_bars(spark, sf))).select("symbol", "session_date", "setup_date", "setup_hour", F.round("gap_pct", 4).alias("gap_pct"))
+    return I.carried_setups(I.ignition_frame(intraday_bars(spark, sf))).select("symbol", "session_date", "setup_date", "setup_hour", F.round("gap_pct", 4).alias("gap_pct"))
 
 
 def q_sessions(spark, sf):
@@ -229,6 +234,23 @@ def q_accumulator(spark, sf):
     return _run_stream(spark, sf, alerts.accumulator_alerts)
 
 
+def q_sliding(spark, sf):
+    return _run_stream(spark, sf, alerts.sliding)
+
+
+def q_pace(spark, sf):
+    e = table(spark, sf, "events")
+    usual = e.groupBy("event_type", F.hour("ts").alias("hour")).agg(F.avg("value").alias("usual"))
+    out = _run_stream(spark, sf, lambda s: alerts.volume_pace(s, usual, threshold=4.0))
+    return out.select("event_id", "event_type", F.col("hour").cast("int").alias("hour"), F.round("pace", 6).alias("pace"))
+
+
+def q_insert_ignore(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_type", F.to_date("ts").alias("day"))
+    old, new = e.filter("day < '2024-01-15'").distinct(), e.filter("day >= '2024-01-10'")
+    return E.insert_ignore(old, new, ["user_id", "event_type", "day"])
+
+
 def q_session_windows(spark, sf):
     """The batch form of the session window."""
     e = table(spark, sf, "events")
@@ -237,9 +259,10 @@ def q_session_windows(spark, sf):
 
 
 QUERIES = {
-    "id_time_baseline": (q_baseline, BASELINE_SQL), "id_relative_volume": (q_relative_volume, RV_SQL), "id_fire": (q_fire, FIRE_SQL), "id_carried_setups": (q_carried, CARRY_SQL), "id_session_checks": (q_sessions, SESSION_SQL),
+    "id_time_baseline": (q_baseline, BASELINE_SQL), "id_relative_volume": (q_relative_volume, RV_SQL), "id_ignition": (q_ignition, IGNITION_SQL), "id_carried_setups": (q_carried, CARRY_SQL), "id_session_checks": (q_sessions, SESSION_SQL),
     "txt_headline_direction": (q_classify, CLASSIFY_SQL), "txt_source_sentiment": (q_sentiment, SENTIMENT_SQL), "txt_themes": (q_themes, THEME_SQL), "txt_relevance": (q_relevance, RELEVANCE_SQL), "txt_chunks": (q_chunks, None), "txt_grounding": (q_grounded, GROUND_SQL),
     "ev_temporal_join": (q_temporal, TEMPORAL_SQL), "ev_overlaps": (q_overlaps, OVERLAP_SQL), "ev_latest_overlay": (q_overlay, OVERLAY_SQL), "ev_all_hold": (q_all_hold, HAVING_SQL), "ev_semi_anti": (q_semi_anti, SEMI_SQL), "ev_source_health": (q_health, HEALTH_SQL), "ev_review_queue": (q_review, REVIEW_SQL),
     "src_upsert": (q_upsert, UPSERT_SQL), "src_array_payloads": (q_arrays, ARRAYS_SQL), "src_html_cells": (q_html, HTML_SQL), "src_coverage": (q_coverage, LATEST_SQL), "src_last_n": (q_last_n, LASTN_SQL),
+    "str_sliding": (q_sliding, SLIDING_SQL), "str_volume_pace": (q_pace, PACE_SQL), "src_insert_ignore": (q_insert_ignore, INSERT_SQL),
     "str_tumbling": (q_tumbling, TUMBLING_SQL), "str_first_per_minute": (q_minutes, MINUTE_SQL), "str_accumulator_alerts": (q_accumulator, None), "str_session_windows": (q_session_windows, SESSION_WINDOW_SQL),
 }
