@@ -104,17 +104,17 @@ s2 AS (SELECT *, CASE WHEN loss = 0 THEN 100 ELSE 100 - 100 / (1 + gain / loss)
 def q_windowed(spark: SparkSession, sf: str) -> DataFrame:
     bars = S.eligible(S.with_forward(S.signal_frame(daily_bars(spark, sf), recursive=False)))
     fwd = [f"fwd_{h}" for h in H]
-    return S.summarise(S.long_form(bars, W_RULES, fwd), bars, ["signal"])
+    return S.summarise(S.long_form(bars, W_RULES | S.BASELINE, fwd), ["signal"])
 
 
 def q_all_signals(spark: SparkSession, sf: str) -> DataFrame:
     bars = S.eligible(S.with_forward(S.signal_frame(daily_bars(spark, sf))))
-    return S.summarise(S.long_form(bars, {s: r for s, (_, r) in S.SIGNALS.items()}, [f"fwd_{h}" for h in H]), bars, ["signal"])
+    return S.summarise(S.long_form(bars, {s: r for s, (_, r) in S.SIGNALS.items()} | S.BASELINE, [f"fwd_{h}" for h in H]), ["signal"])
 
 
 def q_sustained(spark: SparkSession, sf: str) -> DataFrame:
     bars = S.eligible(S.with_forward(S.signal_frame(daily_bars(spark, sf))))
-    return S.summarise(S.long_form(bars, S.SUSTAINED, [f"fwd_{h}" for h in H]), bars, ["signal"])
+    return S.summarise(S.long_form(bars, S.SUSTAINED | S.BASELINE, [f"fwd_{h}" for h in H]), ["signal"])
 
 
 def q_candles(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,9 +134,7 @@ def q_spring_combos(spark: SparkSession, sf: str) -> DataFrame:
 def q_pattern_stats(spark: SparkSession, sf: str) -> DataFrame:
     f = S.with_forward(S.range_frame(S.candle_frame(daily_bars(spark, sf))))
     hits = S.long_form(f, S.CANDLES | S.RANGE_EVENTS, [c for h in H for c in (f"fwd_{h}", f"mfe_{h}", f"mae_{h}")])
-    long = S.stacked_horizons(hits, ["signal"])
-    exc = long.filter("ret is not null").groupBy("signal", "horizon").agg(F.round(F.avg("mfe"), 4).alias("mfe"), F.round(F.avg("mae"), 4).alias("mae"))
-    return S.return_stats(long, ["signal", "horizon"], "ret").join(exc, ["signal", "horizon"])
+    return S.return_stats(S.stacked_horizons(hits, ["signal"]), ["signal", "horizon"], "ret", means=("mfe", "mae"))
 
 
 def q_baselines(spark: SparkSession, sf: str) -> DataFrame:
