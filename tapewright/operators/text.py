@@ -95,22 +95,26 @@ def chunks(docs: DataFrame, max_chars: int = 2000, overlap: int = 200) -> DataFr
     """Paragraph chunks with overlap; a paragraph beyond the limit is cut hard.  Each chunk depends on the one
     before, so a document's chunks come from one pass over it."""
 
+    def slices(paragraph: str) -> list[str]:
+        """Overlapping windows; only the last may be short."""
+        stop = max(len(paragraph) - overlap, 1)
+        return [paragraph[at : at + max_chars] for at in range(0, stop, max_chars - overlap)]
+
     def cut(text: str) -> list[str]:
-        out, current = [], ""
-        for p in (x.strip() for x in re.split(r"\n\s*\n", text.replace("\r\n", "\n"))):
-            while len(p) > max_chars:
-                if current:
-                    out.append(current)
-                    current = ""
-                out.append(p[:max_chars])
-                p = p[max_chars - overlap :]
-            if not p:
+        done: list[str] = []
+        pending = ""
+        for paragraph in filter(None, map(str.strip, re.split(r"\n\s*\n", text.replace("\r\n", "\n")))):
+            *full, rest = slices(paragraph)
+            if full:
+                done += [pending] * bool(pending) + full
+                pending = rest
                 continue
-            if current and len(current) + len(p) + 2 > max_chars:
-                out.append(current)
-                current = current[-overlap:] if overlap else ""
-            current = f"{current}\n\n{p}" if current else p
-        return out + [current] if current else out
+            joined = f"{pending}\n\n{rest}" if pending else rest
+            if len(joined) > max_chars:
+                done.append(pending)
+                joined = f"{pending[len(pending) - overlap :] if overlap < len(pending) else pending}\n\n{rest}" if overlap else rest
+            pending = joined
+        return done + [pending] * bool(pending)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
