@@ -32,7 +32,6 @@ and kept by ``drop_near_duplicates``.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +47,8 @@ BANDS, ROWS = 12, 4
 SKETCH_BITS = 16
 IDF_SHARE = 0.2
 HUB_PAIRS = 64
-_WORD = re.compile(r"\w+")
+#: Code points that are hashed at once.
+CHUNK = 1 << 20
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -59,21 +59,68 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, cache: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted 64-bit hashes of a text's shingles, and how often each occurs."""
-    import xxhash
+class _Powers:
+    """Powers of an odd base and of its inverse mod 2**64, as many as the longest text so far needs, and which
+    code points are word characters."""
+
+    up = down = np.ones(1, np.uint64)
+    is_word: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            size = max(2 * len(cls.up), n, 1 << 14)
+            back = pow(int(_A), -1, 1 << 64)
+            cls.up, cls.down = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, b, np.uint64))]) for b in (_A, np.uint64(back)))
+        return cls.up, cls.down
+
+    @classmethod
+    def words(cls, codes: np.ndarray) -> np.ndarray:
+        if cls.is_word is None:
+            cls.is_word = np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000)
+            cls.is_word[ord("_")] = True
+        return cls.is_word[codes]
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word (run of letters, digits and underscores, lower-cased), in order.
+
+    The whole text is hashed at once: prefix sums of code points times powers of a base give the polynomial hash
+    of any word by one difference, shifted back to the word's start by the inverse power."""
+    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(codes) <= CHUNK:
+        return _hash_words(codes, _Powers.words(codes))
+    inside, parts, at = _Powers.words(codes), [], 0
+    while at < len(codes):  # long texts are cut between words; a word's hash does not depend on its place
+        end = at + CHUNK
+        if end < len(codes):
+            gaps = np.flatnonzero(~inside[at:end])
+            later = np.flatnonzero(~inside[end:]) if not len(gaps) else gaps
+            end = (at + gaps[-1] if len(gaps) else end + later[0] if len(later) else len(codes)) + 1
+        parts.append(_hash_words(codes[at:end], inside[at:end]))
+        at = end
+    return np.concatenate(parts)
+
+
+def _hash_words(codes: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    padded = np.zeros(len(codes) + 2, np.int8)
+    padded[1:-1] = inside
+    edges = np.flatnonzero(np.diff(padded))
+    starts, ends = edges[::2], edges[1::2]
+    up, down = _Powers.of(len(codes))
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(codes * up[: len(codes)], out=sums[1:])
+        return _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
-    words = _WORD.findall((text or "").lower())
-    if not words:
+
+def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted 64-bit hashes of a text's shingles, and how often each occurs."""
+    h = word_hashes(text)
+    if not len(h):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    cache = {} if cache is None else cache
-    digest = xxhash.xxh3_64_intdigest
-    for w in set(words):
-        if w not in cache:
-            cache[w] = digest(w)
-    h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-    width = min(SHINGLE, len(words))
-    out = np.full(len(words) - width + 1, width, np.uint64)
+    width = min(SHINGLE, len(h))
+    out = np.full(len(h) - width + 1, width, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(width):
             out = out * _A + h[k : k + len(out)]
@@ -103,12 +150,9 @@ class Sampler:
         self.r, self.inv_r = r.astype(np.float32), (1.0 / r).astype(np.float32)
         self.ln_c = np.log(_gamma_quantiles(1 << 16)).astype(np.float32)
         self.seeds = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _A)
-        self.words: dict[str, int] = {}
 
     def weighted(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.words) > 200_000:
-            self.words.clear()
-        x, tf = shingles(text, self.words)
+        x, tf = shingles(text)
         return x, (1.0 + np.log(tf)) * self.idf[(x >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] if len(x) else np.empty(0)
 
     def bands(self, x: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -155,13 +199,10 @@ def frequency_sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(1 << SKETCH_BITS, np.int64), 0
-        cache: dict[str, int] = {}
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                if len(cache) > 200_000:
-                    cache.clear()
-                x, _ = shingles(text, cache)
-                np.add.at(total, np.unique((x >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)), 1)
+                at = (shingles(text)[0] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+                total[at[np.flatnonzero(np.diff(at, prepend=-1))]] += 1  # hashes come sorted: each counter once
                 n += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(

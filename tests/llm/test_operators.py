@@ -456,6 +456,26 @@ def test_near_duplicates_against_brute_force(spark, empty):
     assert icws.near_duplicates(empty).collect() == []
 
 
+def test_word_hashes_follow_words():
+    import re
+
+    rng = random.Random(11)
+    for text in ["", " ", "a", "Ab aB ab_1 ab-1", "é É e\u0301 ß ẞ", "漢字 kana カナ", "x\x00y \u2014 \U0001F600 ٣٤", "z" * 5000] + ["".join(rng.choice("abAB _-.é") for _ in range(60)) for _ in range(60)]:
+        words = re.findall(r"\w+", text.lower())
+        h = icws.word_hashes(text).tolist()
+        assert len(h) == len(words)
+        assert all((words[i] == words[j]) == (h[i] == h[j]) for i in range(len(words)) for j in range(i))
+    long = " ".join(rng.choice(["ab", "cde", "x" * 300]) for _ in range(400))
+    whole, small = icws.word_hashes(long).tolist(), icws.CHUNK
+    for chunk in (7, 100, 5000):
+        icws.CHUNK = chunk
+        try:
+            assert icws.word_hashes(long).tolist() == whole and icws.word_hashes("y" * 50).tolist() == icws.word_hashes("y" * 50).tolist()
+        finally:
+            icws.CHUNK = small
+    assert icws.word_hashes("same")[0] == icws.word_hashes("not at the same place")[3]
+
+
 def test_samples_agree_as_often_as_the_weighted_jaccard():
     sampler = icws.Sampler(np.zeros(1 << icws.SKETCH_BITS), 1000)
     rng = np.random.default_rng(3)
