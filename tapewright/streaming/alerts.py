@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 4) -> DataFrame:
-    """Events of a growing folder, or of one file, as a stream."""
+def event_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """Events of a growing folder, or of one file, as a stream.  What lies there already is in no order of time, so
+    it is one trigger unless ``files_per_trigger`` says otherwise: else the watermark drops whole files as late."""
     schema = spark.read.parquet(path).schema
     folder, glob = path.rstrip("/").rsplit("/", 1)
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-    events = reader.option("pathGlobFilter", glob).parquet(folder) if glob.endswith(".parquet") else reader.parquet(path)
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    is_file = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).isFile()
+    events = reader.option("pathGlobFilter", glob).parquet(folder) if is_file else reader.parquet(path)
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
