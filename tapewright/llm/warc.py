@@ -254,8 +254,11 @@ def records_of(archive: bytes) -> Iterator[dict]:
 
 def _parse_at(frame: memoryview, at: int) -> dict:
     """Parse without copying the rest of the frame: the header says how long the record is."""
-    head = bytes(frame[at : at + 65536])
-    end = head.index(b"\r\n\r\n")
+    length = 65536
+    while (end := (head := bytes(frame[at : at + length])).find(b"\r\n\r\n")) < 0:
+        if at + length >= len(frame):
+            raise ValueError(f"record at {at} has no end of header")
+        length *= 4
     size = int(head[:end].rpartition(b"Content-Length: ")[2])
     return parse_record(bytes(frame[at : at + end + 8 + size]))
 
