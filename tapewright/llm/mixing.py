@@ -5,11 +5,12 @@ often it repeats by inverting the Poisson distribution of its source at a unifor
 hashed from (seed, doc_id, text).  Documents are exploded by that count and shuffled by a
 hash of (document, replica).  The main path is DataFrame functions only.
 
-The only data that reach the driver are the sizes of the sources that the weights name:
-as many rows as the weights have, however many sources the corpus has.  Rates become
-constants of the plan, so no source is ever gathered into one task.
+Without weights, every source found in the corpus gets the same one: the hot source is thinned, others
+repeat.  The only data that reach the driver are the sizes of the sources that the weights name, or
+of at most ``MAX_CONSTANTS`` sources found; those become constants of the plan.  The rates of more sources
+are a table, joined on (source, salt), so no source is ever gathered into one task.
 
-Defined results: sources without a weight, and null sources, keep their natural share (rate
+Defined results: sources that given weights leave out, and null sources, keep their natural share (rate
 ``rest_rate``); a named source without rows or bytes adds nothing; null texts count as no
 bytes; repeated rows draw the same number and so repeat alike; an empty table gives no
 rows; other columns are carried along, but for ``replica`` and ``mix_key``, which are replaced.
@@ -22,10 +23,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import utf8
+from tapewright.llm.common import SALTS, salt_of, utf8
 
-#: Every source of the corpus at the same weight: the hot source is thinned, others repeat.
-EQUAL_WEIGHTS = {f"src{i}": 0.05 for i in range(20)}
+#: Up to so many sources, rates are constants of the plan; more are joined as a table.
+MAX_CONSTANTS = 200
 #: The distribution is tabled until what lies beyond is under this.
 TAIL = 1e-13
 #: A larger mean is the sum of equal parts of at most this mean, each drawn on its own.
@@ -54,22 +55,59 @@ def hash_unit(seed: int, *cols: Column) -> Column:
 def source_rates(docs: DataFrame, weights: dict[str, float], epochs: float) -> dict[str, float]:
     """Mean repetitions of each named source; the budget is ``epochs`` times the bytes of
     the named sources together."""
-    named = docs.filter(F.col("source").isin(list(weights)))
-    sizes = {r[0]: r[1] for r in named.groupBy("source").agg(F.sum(F.octet_length(utf8(F.col("text"))).cast("long"))).collect()}
+    named = source_sizes(docs.filter(F.col("source").isin(list(weights))))
+    return rates_of({r["source"]: r["bytes"] for r in named.collect()}, weights, epochs)
+
+
+def source_sizes(docs: DataFrame) -> DataFrame:
+    return docs.filter(F.col("source").isNotNull()).groupBy("source").agg(F.sum(F.octet_length(utf8(F.col("text"))).cast("long")).alias("bytes"))
+
+
+def rates_of(sizes: dict[str, int], weights: dict[str, float], epochs: float) -> dict[str, float]:
     budget, weight = epochs * sum(sizes.values()), sum(w for s, w in weights.items() if sizes.get(s))
     return {s: weights[s] / weight * budget / n for s, n in sizes.items() if n and weight > 0}
 
 
+def step_table(sizes: DataFrame, epochs: float) -> DataFrame:
+    """(source, parts, steps) of every source at the same weight: :func:`poisson_steps` of rate / parts, as columns."""
+    sizes = sizes.filter("bytes > 0")
+    total, n = sizes.agg(F.sum("bytes"), F.count("*")).first()
+    rate = F.lit(epochs * (total or 0) / max(n, 1)) / F.col("bytes")
+    table = sizes.withColumn("parts", F.greatest(F.lit(1), F.ceil(rate / MAX_TABLED)).cast("int")).withColumn("mean", rate / F.col("parts"))
+    last = F.ceil(F.col("mean") + 12 * F.sqrt("mean") + 30).cast("int")
+    first = F.struct(F.exp(-F.col("mean")).alias("p"), F.array(F.exp(-F.col("mean"))).alias("steps"))
+
+    def step(acc: Column, k: Column) -> Column:
+        p = acc["p"] * F.col("mean") / k
+        return F.struct(p.alias("p"), F.concat(acc["steps"], F.array(F.element_at(acc["steps"], -1) + p)).alias("steps"))
+
+    return table.select("source", "parts", F.aggregate(F.sequence(F.lit(1), last), first, step)["steps"].alias("steps"))
+
+
 def mix_sources(
     docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 7, rest_rate: float = 1.0
 ) -> DataFrame:
     """``docs`` with each row repeated by its count, plus ``replica`` (from 0) and ``mix_key``
     (its place in the global shuffle: rows are dealt to partitions and sorted by it)."""
-    weights = EQUAL_WEIGHTS if weights is None else weights
-    rates = source_rates(docs, weights, epochs)
+    steps_by_source = None
+    if weights is None:
+        found = source_sizes(docs)
+        some = found.limit(MAX_CONSTANTS + 1).collect()
+        if len(some) > MAX_CONSTANTS:
+            rates, steps_by_source = {}, step_table(found, epochs)
+        else:
+            sizes = {r["source"]: r["bytes"] for r in some}
+            rates = rates_of(sizes, dict.fromkeys(sizes, 1 / max(sum(n > 0 for n in sizes.values()), 1)), epochs)
+    else:
+        rates = source_rates(docs, weights, epochs)
     key = (F.col("doc_id"), F.md5(utf8(F.col("text"))))
     draw = hash_unit(seed, *key)
 
+    def below(steps: Column, parts: Column) -> Column:
+        one = F.size(F.filter(steps, lambda s: s <= F.col("__draw")))
+        many = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda n, i: n + F.size(F.filter(steps, lambda s: s <= hash_unit(seed, i, *key))))
+        return F.when(parts == 1, one).otherwise(many)
+
     def steps_below(rate: float) -> Column:
         """The inverse: how many steps of the source's distribution lie at or below the draw."""
         parts = max(1, math.ceil(rate / MAX_TABLED))
@@ -86,10 +124,16 @@ def mix_sources(
         count = F.when(F.col("source") == source, steps_below(rate)).otherwise(count)
     count = F.coalesce(count, steps_below(rest_rate) if rest_rate != 1.0 else F.lit(1))
     kept = [c for c in docs.columns if c.lower() not in ("replica", "mix_key")]
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("__draw", draw)
+    if steps_by_source is not None:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        table = steps_by_source.select(F.col("source").alias("__source"), salts.alias("__salt_of"), F.col("parts").alias("__parts"), F.col("steps").alias("__steps"))
+        rows = rows.withColumn("__salt", salt_of(F.col("__draw")))
+        rows = rows.join(table, (F.col("source") == F.col("__source")) & (F.col("__salt") == F.col("__salt_of")), "left").drop("__source", "__salt", "__salt_of")
+        count = F.coalesce(F.when(F.col("__parts").isNotNull(), below(F.col("__steps"), F.col("__parts"))), count)
     out = (
-        docs.select(*[F.col(f"`{c}`") for c in kept])
-        .withColumn("__draw", draw)
-        .withColumn("__count", count)
+        rows.withColumn("__count", count)
+        .drop("__parts", "__steps")
         .filter("__count > 0")
         .withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("__count") - 1)))
     )
