@@ -1,19 +1,22 @@
 """Toxicity by the nearest labelled examples.
 
-Texts are TF-IDF vectors over the terms that tell the labels apart: words, and the first
-letters of longer words.  Document frequencies are counted over the whole corpus.  The
-labelled examples (a sample of documented size) form a block-max inverted index: ids are cut
-into blocks, and the index knows each term's largest weight in every block.  For a text, blocks are
-taken by falling upper bound of the cosine and the search stops when no block that is left
-can enter the ``NEIGHBOURS`` best, so the neighbours are exact.  Their votes are weighted by
-similarity, and a logistic map fitted on the examples (each without itself) turns the vote
-into a probability.  The neighbours found are returned as evidence.
-
-Plan: three passes over the documents where they lie (the sample's terms, the corpus counts of at
-most ``MAX_TERMS`` terms, the scores); nothing but the index, whose size is bounded by the
-sample and ``MAX_TERMS``, is sent to tasks.
-
-Defined results: null and empty texts, and texts without any of the terms, have no
+Texts are TF-IDF vectors over all their terms: words, and the first letters of longer words.
+A term's weight is (1 + ln tf) times its inverse document frequency over the whole corpus, times
+the square root of 1 + G2, its log-likelihood ratio against the labels of the examples: terms that
+tell the labels apart count for more, and no term is left out.  Terms that no example holds
+cannot be shared with one; they count in a text's length, each with the weight of a term of one
+document.  The labelled examples (a sample of documented size) are searched whole: their
+``DENSE`` most frequent terms are a matrix, the others an inverted index, together they give
+every cosine within a proven error, and what is left near the ``NEIGHBOURS`` best is computed
+anew in full precision, so the neighbours are exact.  Their votes are weighted by similarity,
+and a logistic map fitted on the examples (each without itself) turns the vote into a
+probability.  The neighbours found are returned as evidence.
+
+Plan: the sample's terms, a pass that counts them over the documents where they lie, and a pass
+that scores; nothing but the sample's vectors and terms is sent to tasks, and they depend on
+the sample only.
+
+Defined results: null and empty texts, and texts without a term of any example, have no
 neighbours and get the score of an empty vote; repeated and conflicting labels of a document
 are averaged; without labels of both kinds every score is the share of toxic labels (0 without
 any); equal similarities are broken by the smaller doc_id of the example; other columns
@@ -22,9 +25,12 @@ are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,91 +40,206 @@ from pyspark.sql import functions as F
 from tapewright.llm.pairwise_rank import CUT, fold, labelled_sample
 
 SAMPLE = 4000
-MAX_TERMS = 4096
-#: Least log-likelihood ratio (G squared) of a term against the labels: chance passes about one of 100,000.
-LEAST_G2 = 20.0
-MIN_DOCS = 3
 STEMS = (7, 8)
 NEIGHBOURS = 15
-BLOCK = 64
+#: Terms held as a matrix; all others are looked up by their examples.
+DENSE = 512
+#: Relative error of a cosine in single precision: sums of at most DENSE products, and the rounding of what is added.
+ERROR = (DENSE + 16) * 2.0**-23
+#: Texts searched at once, and entries of the inverted index read for them at once.
+BATCH, ENTRIES = 32, 1 << 20
+#: Words whose term numbers a task keeps.
+REMEMBERED = 1 << 18
 PRIOR = 0.25
 _WORD = re.compile(r"[^\W\d_]+")
 SCORES = "doc_id long, score double, evidence array<long>, similarity array<double>"
 
 
-def terms(text: str | None) -> list[str]:
-    """Words, and ``ab*`` terms for the first STEMS letters of longer words."""
-    words = _WORD.findall((text or "").lower())
-    return words + [w[:n] + "*" for w in words for n in STEMS if len(w) > n]
+def counts_of(text: str | None) -> dict[str, int]:
+    """How often a text holds its words, and ``ab*`` terms for the first STEMS letters of longer words."""
+    words = Counter(_WORD.findall((text or "").lower()))
+    out = dict(words)
+    for n in STEMS:
+        for w, c in words.items():
+            if len(w) > n:
+                s = w[:n] + "*"
+                out[s] = out.get(s, 0) + c
+    return out
 
 
-def counts_of(text: str | None, known) -> dict[str, int]:
-    out: dict[str, int] = {}
-    for w in _WORD.findall((text or "").lower()):
-        if w in known:
-            out[w] = out.get(w, 0) + 1
-        for n in STEMS:
-            if len(w) > n and (s := w[:n] + "*") in known:
-                out[s] = out.get(s, 0) + 1
-    return out
+class TermNumbers(dict):
+    """Words to rows of ``table``, which holds the numbers of their terms.  Terms that are not known get numbers
+    from ``len(known)`` on, for the time being."""
+
+    def __init__(self, known: dict[str, int]):
+        super().__init__()
+        self.known, self.unknown = known, {}
+        self.table = np.full((1 << 12, 1 + len(STEMS)), -1)
+
+    def __missing__(self, word: str) -> int:
+        self[word] = at = len(self)
+        if at == len(self.table):
+            self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+        for i, t in enumerate((word, *[word[:n] + "*" for n in STEMS if len(word) > n])):
+            no = self.known.get(t)
+            self.table[at, i] = self.unknown.setdefault(t, len(self.known) + len(self.unknown)) if no is None else no
+        return at
+
+    def of_words(self, words) -> np.ndarray:
+        """The numbers of each word's terms, -1 where it has fewer."""
+        if len(self) > REMEMBERED:
+            self.clear()
+            self.unknown.clear()
+            self.table[:] = -1
+        at = np.fromiter(map(self.__getitem__, words), int, len(words))
+        return self.table[at]
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """:func:`counts_of` by number, the numbers in order."""
+        words = Counter(_WORD.findall((text or "").lower()))
+        no = self.of_words(words).ravel()
+        n = np.repeat(np.fromiter(words.values(), float, len(words)), 1 + len(STEMS))[no >= 0]
+        no, at = np.unique(no[no >= 0], return_inverse=True)
+        return no, np.bincount(at, n, len(no))
+
+
+class Examples(NamedTuple):
+    """The sample: example i holds ``terms[starts[i] : starts[i + 1]]`` (numbers of ``names``, in order) so many ``times``."""
+
+    names: list[str]
+    ids: list[int]
+    y: list[int]
+    starts: np.ndarray
+    terms: np.ndarray
+    times: np.ndarray
 
 
 class BlockMaxIndex:
-    """Examples by term, with each term's largest weight in every block of ids."""
-
-    def __init__(self, idf: dict[str, float], examples: list[tuple[int, dict[str, int], int]]):
-        self.term_no = {t: i for i, t in enumerate(sorted(idf))}
-        self.idf = np.array([idf[t] for t in sorted(idf)])
-        self.ids = np.array([e[0] for e in examples], np.int64)
-        self.y = np.array([e[2] for e in examples], float)
-        n_blocks = max(1, -(-len(examples) // BLOCK))
-        self.bounds = np.zeros((len(idf), n_blocks))
-        self.postings: list[dict[int, tuple[list[int], list[float]]]] = [{} for _ in range(n_blocks)]
-        self.vectors = []
-        for i, (_, counts, _) in enumerate(examples):
-            no, w = self.vector(counts)
-            self.vectors.append((no, w))
-            block = self.postings[i // BLOCK]
-            for t, x in zip(no.tolist(), w.tolist()):
-                where, weights = block.setdefault(t, ([], []))
-                where.append(i)
-                weights.append(x)
-            if len(no):
-                np.maximum.at(self.bounds[:, i // BLOCK], no, w)
-        self.postings = [{t: (np.array(a), np.array(b)) for t, (a, b) in block.items()} for block in self.postings]
+    """Examples as unit vectors, one for equal ones.  ``weights``: each term's factor; ``other``: that of unknown terms."""
+
+    def __init__(self, weights: dict[str, float], examples: list[tuple[int, dict[str, int], int]], other: float = 1.0):
+        names = sorted(weights)
+        number = {t: i for i, t in enumerate(names)}
+        found = [sorted((number[t], c) for t, c in e[1].items()) for e in examples]
+        terms, times = (np.array([x[k] for f in found for x in f], kind) for k, kind in ((0, np.int32), (1, float)))
+        starts = np.cumsum([0] + [len(f) for f in found])
+        self._build(names, np.array([weights[t] for t in names], float), other, Examples(names, [e[0] for e in examples], [e[2] for e in examples], starts, terms, times))
+
+    @classmethod
+    def of_examples(cls, weights: np.ndarray, examples: Examples, other: float) -> BlockMaxIndex:
+        out = cls.__new__(cls)
+        out._build(examples.names, weights, other, examples)
+        return out
+
+    def _build(self, names: list[str], weights: np.ndarray, other: float, examples: Examples) -> None:
+        self.term_no = {t: i for i, t in enumerate(names)}
+        self.weights, self.other = weights, other
+        self.ids, self.y = np.array(examples.ids, np.int64), np.array(examples.y, float)
+        seen: dict[bytes, int] = {}
+        self.of, rows = np.zeros(len(self.ids), int), []
+        for i, (a, b) in enumerate(zip(examples.starts[:-1].tolist(), examples.starts[1:].tolist())):
+            no, w = self.weigh(examples.terms[a:b], examples.times[a:b])
+            self.of[i] = u = seen.setdefault(hashlib.sha256(no.tobytes() + w.tobytes()).digest(), len(rows))
+            if u == len(rows):
+                rows.append((no, w))
+        self.starts = np.cumsum([0] + [len(no) for no, _ in rows])
+        self.terms = np.concatenate([no for no, _ in rows]) if rows else np.empty(0, np.int32)
+        self.values = np.concatenate([w for _, w in rows]) if rows else np.empty(0)
+        self._invert()
+
+    def _invert(self) -> None:
+        """What follows from the vectors: the matrix of frequent terms, the inverted index of the others, equal examples."""
+        n, v = len(self.starts) - 1, len(self.weights)
+        row = np.repeat(np.arange(n), np.diff(self.starts))
+        df = np.bincount(self.terms, minlength=v)
+        frequent = np.argsort(-df, kind="stable")[:DENSE]
+        self.column = np.full(v, -1)
+        self.column[frequent] = np.arange(len(frequent))
+        at = self.column[self.terms]
+        self.matrix = np.zeros((len(frequent), n), np.float32)
+        self.matrix[at[at >= 0], row[at >= 0]] = self.values[at >= 0]
+        rare = np.flatnonzero(at < 0)
+        rare = rare[np.argsort(self.terms[rare], kind="stable")]
+        self.post_row, self.post_value = row[rare].astype(np.int32), self.values[rare]
+        self.post_start = np.concatenate([[0], np.cumsum(np.bincount(self.terms[rare], minlength=v))])
+        order = np.lexsort((self.ids, self.of))
+        self.members = np.split(order, np.cumsum(np.bincount(self.of, minlength=n))[:-1]) if n else []
+
+    def __getstate__(self) -> dict:
+        derived = ("column", "matrix", "post_row", "post_value", "post_start", "members", "term_no")
+        return {k: x for k, x in self.__dict__.items() if k not in derived} | {"names": " ".join(self.term_no)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.term_no = {t: i for i, t in enumerate(state.pop("names").split(" "))}
+        self.__dict__.update(state)
+        self._invert()
+
+    @property
+    def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(self.terms[self.starts[u] : self.starts[u + 1]], self.values[self.starts[u] : self.starts[u + 1]]) for u in self.of]
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and unit-length TF-IDF weights."""
-        no = np.array(sorted(self.term_no[t] for t in counts), int)
-        if not len(no):
-            return no, np.empty(0)
-        names = sorted(counts)  # the numbers follow the order of names
-        w = (1.0 + np.log([counts[t] for t in names])) * self.idf[no]
-        norm = math.sqrt(float(w @ w))
+        """Term numbers and TF-IDF weights, of unit length together with the unknown terms."""
+        new = len(self.term_no)
+        no = np.array([self.term_no.get(t, new + i) for i, t in enumerate(counts)], int)
+        order = np.argsort(no)
+        return self.weigh(no[order], np.fromiter(counts.values(), float, len(counts))[order])
+
+    def weigh(self, no: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for numbers in order and how often each occurs."""
+        known, tf = int(np.searchsorted(no, len(self.weights))), 1.0 + np.log(n)
+        no, w, unknown = no[:known], tf[:known] * self.weights[no[:known]], np.sort(tf[known:]) * self.other
+        norm = math.sqrt(float(w @ w) + float(unknown @ unknown))
         return no, w / norm if norm else w
 
     def nearest(self, no: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the highest cosine above 0, best first: exact."""
-        if not len(no):
-            return np.empty(0, int), np.empty(0)
-        bound = w @ self.bounds[no]
-        best_i, best_s = np.empty(0, int), np.empty(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best_s) == k and bound[b] < best_s[-1] - 1e-12:
-                break
-            block, sums = self.postings[b], np.zeros(BLOCK)
-            for t, x in zip(no.tolist(), w.tolist()):
-                if t in block:
-                    where, weights = block[t]
-                    sums[where - b * BLOCK] += x * weights
-            hit = np.flatnonzero(sums > 0)
-            i = np.concatenate([best_i, hit + b * BLOCK])
-            s = np.concatenate([best_s, sums[hit]])
-            if without >= 0:
-                i, s = i[i != without], s[i != without]
+        return next(self.nearest_of([(no, w)], k, [without]))
+
+    def nearest_of(self, queries: list, k: int = NEIGHBOURS, without: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        at = 0
+        while at < len(queries):
+            stop, entries = at, 0
+            while stop < len(queries) and stop - at < BATCH and (stop == at or entries < ENTRIES):
+                no = queries[stop][0]
+                entries += int((self.post_start[no + 1] - self.post_start[no]).sum()) if len(no) else 0
+                stop += 1
+            yield from self._nearest(queries[at:stop], k, without[at:stop] if without else [-1] * (stop - at))
+            at = stop
+
+    def _nearest(self, queries: list, k: int, without: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n, m = len(self.starts) - 1, len(queries)
+        if not n:
+            yield from [(np.empty(0, int), np.empty(0))] * m
+            return
+        no, w = np.concatenate([q[0] for q in queries]).astype(int), np.concatenate([q[1] for q in queries])
+        row = np.repeat(np.arange(m), [len(q[0]) for q in queries])
+        at = self.column[no]
+        dense = np.zeros((m, len(self.matrix)), np.float32)
+        dense[row[at >= 0], at[at >= 0]] = w[at >= 0]
+        near = dense @ self.matrix
+        start, size = self.post_start[no], self.post_start[no + 1] - self.post_start[no]
+        if size.sum():
+            entry = np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+            near += np.bincount(np.repeat(row * n, size) + self.post_row[entry], np.repeat(w, size) * self.post_value[entry], m * n).reshape(m, n)
+        depth = min(k + 1, n)  # one more, for the example that is left out
+        least = np.partition(near, n - depth, axis=1)[:, n - depth] * (1 - 4 * ERROR)
+        full = np.zeros(len(self.weights))
+        for r, (no, w) in enumerate(queries):
+            if not len(no):
+                yield np.empty(0, int), np.empty(0)
+                continue
+            rows = np.flatnonzero((near[r] >= least[r]) & (near[r] > 0))
+            full[no] = w
+            sims = [float(self.values[a:b] @ full[self.terms[a:b]]) for a, b in zip(self.starts[rows].tolist(), self.starts[rows + 1].tolist())]
+            full[no] = 0.0
+            found = [self.members[u][: k + 1] for u in rows]
+            i = np.concatenate(found) if found else np.empty(0, int)
+            s = np.repeat(np.array(sims, float), [len(x) for x in found])
+            if without[r] >= 0:
+                i, s = i[i != without[r]], s[i != without[r]]
             order = np.lexsort((self.ids[i], -np.round(s, 12)))[:k]
-            best_i, best_s = i[order], s[order]
-        return best_i, best_s
+            yield i[order], s[order]
 
     def vote(self, i: np.ndarray, s: np.ndarray, base: float) -> float:
         """Share of toxic neighbours by similarity; PRIOR of weight goes to the base rate."""
@@ -141,53 +262,40 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def choose_terms(rows: DataFrame, n: dict[int, int]) -> list[str]:
-    """The terms whose document counts differ most between the labels of the sample."""
+def label_evidence(examples: Examples) -> np.ndarray:
+    """Log-likelihood ratio (G squared) of every term of the examples against their labels."""
+    y = np.array(examples.y)
+    label = np.repeat(y, np.diff(examples.starts))
+    c = [np.bincount(examples.terms[label == v], minlength=len(examples.names)).astype(float) for v in (0, 1)]
+    total, both, g2 = float(len(y)), c[0] + c[1], np.zeros(len(examples.names))
+    for v in (0, 1):
+        n = float((y == v).sum())
+        for got, expected in ((c[v], both * n / total), (n - c[v], (total - both) * n / total)):
+            g2 += 2 * got * np.log(np.where(got > 0, got, 1) / np.where(expected > 0, expected, 1))
+    return np.maximum(g2, 0.0)
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[str, int], int] = {}
-        for batch in batches:
-            for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
-                for t in set(terms(text)):
-                    total[t, y] = total.get((t, y), 0) + 1
-        if total:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([t for t, _ in total], pa.string()), pa.array([y for _, y in total], pa.int32()), pa.array(total.values(), pa.int64())],
-                ["term", "y", "docs"],
-            )
 
-    counts = rows.select("y", "text").mapInArrow(distinct, "term string, y int, docs long").groupBy("term").agg(
-        *[F.sum(F.when(F.col("y") == y, F.col("docs")).otherwise(0)).cast("double").alias(f"c{y}") for y in (0, 1)]
-    )
-
-    def part(seen, expected):
-        return F.when(seen > 0, 2 * seen * F.log(seen / expected)).otherwise(0.0)
-
-    all_n = float(n[0] + n[1])
-    both = F.col("c0") + F.col("c1")
-    g2 = sum(part(F.col(f"c{y}"), both * n[y] / all_n) + part(n[y] - F.col(f"c{y}"), (all_n - both) * n[y] / all_n) for y in (0, 1))
-    found = counts.filter(both >= MIN_DOCS).withColumn("g2", g2).filter(F.col("g2") >= LEAST_G2)
-    return [r["term"] for r in found.orderBy(F.desc("g2"), "term").limit(MAX_TERMS).collect()]
-
-
-def corpus_frequencies(docs: DataFrame, known: list[str]) -> tuple[dict[str, int], int]:
-    """Documents of the whole corpus that hold each term, and their number."""
-    sent = docs.sparkSession.sparkContext.broadcast(frozenset(known))
+def corpus_frequencies(docs: DataFrame, known: list[str]) -> tuple[np.ndarray, int]:
+    """Documents of the whole corpus that hold each known term, and their number."""
+    sent = docs.sparkSession.sparkContext.broadcast(" ".join(known))
+    size = len(known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, int] = {}
-        n = 0
+        numbers = TermNumbers({t: i for i, t in enumerate(sent.value.split(" "))})
+        total, n = np.zeros(size + 1, np.int64), 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 n += 1
-                for t in counts_of(text, sent.value):
-                    total[t] = total.get(t, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array([*total, ""], pa.string()), pa.array([*total.values(), n], pa.int64())], ["term", "docs"])
+                no = numbers.of_words(set(_WORD.findall((text or "").lower())))
+                total[no[(no >= 0) & (no < size)]] += 1  # once for each term, however often its number stands there
+        total[size] = n
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["term", "docs"])
 
-    rows = docs.select("text").mapInArrow(count, "term string, docs long").groupBy("term").agg(F.sum("docs")).collect()
-    out = dict(rows)
-    n = out.pop("", 0)
-    return out, n
+    rows = docs.select("text").mapInArrow(count, "term int, docs long").groupBy("term").agg(F.sum("docs").alias("docs")).toArrow()
+    out = np.zeros(size + 1, np.int64)
+    out[rows.column("term").to_numpy()] = rows.column("docs").to_numpy()
+    return out[:size], int(out[size])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, sample: int = SAMPLE) -> DataFrame:
@@ -199,27 +307,26 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int
     base = counts.get(1, 0) / total if total else 0.0
     index = slope = offset = None
     if len(counts) == 2:
-        n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-        if len(n) == 2:
-            known = choose_terms(rows, n)
-            df, n_docs = corpus_frequencies(docs, known)
-            idf = {t: math.log((1 + n_docs) / (1 + df.get(t, 0))) + 1.0 for t in known}
-            index, slope, offset = _index(rows, idf, base)
+        examples = collect_examples(rows)
+        if len(set(examples.y)) == 2:
+            index, slope, offset = _index(docs, examples, base)
     empty = 1 / (1 + math.exp(-max(-30, min(30, slope * math.log(max(base, 1e-3) / max(1 - base, 1e-3)) + offset)))) if index else base
     sent = docs.sparkSession.sparkContext.broadcast((index, slope, offset))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, slope, offset = sent.value
+        numbers = TermNumbers(index.term_no) if index else None
         for batch in batches:
             out = []
-            for text in batch.column("text").to_pylist():
+            texts = batch.column("text").to_pylist()
+            parts = (texts[at : at + BATCH] for at in range(0, len(texts), BATCH))
+            found = (x for part in parts for x in index.nearest_of([index.weigh(*numbers.counts(t)) for t in part])) if index else (((), ()) for _ in texts)
+            for near, sims in found:
                 i, s, p = [], [], empty
-                if index:
-                    near, sims = index.nearest(*index.vector(counts_of(text, index.term_no)))
-                    if len(near):
-                        v = min(max(index.vote(near, sims, base), 1e-3), 1 - 1e-3)
-                        p = 1 / (1 + math.exp(-max(-30.0, min(30.0, slope * math.log(v / (1 - v)) + offset))))
-                        i, s = index.ids[near].tolist(), sims.tolist()
+                if len(near):
+                    v = min(max(index.vote(near, sims, base), 1e-3), 1 - 1e-3)
+                    p = 1 / (1 + math.exp(-max(-30.0, min(30.0, slope * math.log(v / (1 - v)) + offset))))
+                    i, s = index.ids[near].tolist(), sims.tolist()
                 out.append((p, i, s))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.list_(pa.float64()))],
@@ -232,21 +339,43 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int
     )
 
 
-def _index(rows: DataFrame, idf: dict[str, float], base: float) -> tuple[BlockMaxIndex, float, float]:
-    known = frozenset(idf)
+def collect_examples(rows: DataFrame) -> Examples:
+    """The sample, one example for each document."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[{"term": x, "n": c} for x, c in sorted(counts_of(t, known).items())] for t in batch.column("text").to_pylist()]
-            kind = pa.list_(pa.struct([("term", pa.string()), ("n", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(found, kind)], ["doc_id", "y", "counts"])
+            found = [sorted(counts_of(t).items()) for t in batch.column("text").to_pylist()]
+            terms = pa.array([" ".join(t for t, _ in f) for f in found], pa.string())
+            times = pa.array([" ".join(str(c) for _, c in f) for f in found], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), terms, times], ["doc_id", "y", "terms", "times"])
 
-    got = rows.mapInArrow(collect, "doc_id long, y int, counts array<struct<term:string,n:int>>")
+    got = rows.mapInArrow(collect, "doc_id long, y int, terms string, times string")
     # repeated rows of a document would otherwise break the bound on what is collected
-    got = got.groupBy("doc_id").agg(F.first("y").alias("y"), F.min("counts").alias("counts")).orderBy("doc_id").collect()
-    examples = [(r["doc_id"], {c["term"]: c["n"] for c in r["counts"]}, r["y"]) for r in got]
-    index = BlockMaxIndex(idf, examples)
-    votes = np.array([index.vote(*index.nearest(*v, without=i), base) for i, v in enumerate(index.vectors)])
+    got = got.groupBy("doc_id").agg(F.first("y").alias("y"), F.min(F.struct("terms", "times")).alias("c")).orderBy("doc_id")
+    number: dict[str, int] = {}
+    ids, y, sizes, terms, times = [], [], [0], [], []
+    for r in got.collect():
+        found = r["c"]["terms"].split()
+        ids.append(r["doc_id"])
+        y.append(r["y"])
+        sizes.append(len(found))
+        terms.append(np.fromiter((number.setdefault(t, len(number)) for t in found), np.int32, len(found)))
+        times.append(np.array(r["c"]["times"].split(), np.int32))
+    if not ids:
+        return Examples([], [], [], np.zeros(1, int), np.empty(0, np.int32), np.empty(0, np.int32))
+    names = sorted(number)
+    place = np.empty(len(names), np.int32)
+    place[[number[t] for t in names]] = np.arange(len(names))
+    # a text's terms were sorted, so they stay in order
+    return Examples(names, ids, y, np.cumsum(sizes), place[np.concatenate(terms)], np.concatenate(times))
+
+
+def _index(docs: DataFrame, examples: Examples, base: float) -> tuple[BlockMaxIndex, float, float]:
+    df, n_docs = corpus_frequencies(docs, examples.names)
+    weights = (np.log((1.0 + n_docs) / (1.0 + df)) + 1.0) * np.sqrt(1.0 + label_evidence(examples))
+    index = BlockMaxIndex.of_examples(weights, examples, math.log((1.0 + n_docs) / 2.0) + 1.0)
+    near = index.nearest_of(index.vectors, without=list(range(len(examples.ids))))
+    votes = np.array([index.vote(*x, base) for x in near])
     # the sample may be balanced otherwise than the labels: weigh it back
     n1 = index.y.sum()
     slope, offset = fit_logistic(votes, index.y)

@@ -404,6 +404,37 @@ def test_block_max_search_is_exact():
         assert got.tolist() == want and np.allclose(s, sims[want])
 
 
+def test_toxic_neighbours_use_every_term(spark):
+    """Texts without a term of any label still have the neighbours of their whole text, as a dense computation finds them."""
+    rng = random.Random(12)
+    rows = [(i, words(rng, rng.randint(5, 60)) + (f" only{i}" if i % 3 else " vile"), "en", "s", 0) for i in range(150)]
+    labels = [(i, 1, int(i % 3 == 0)) for i in range(150)]
+    got = {r.doc_id: r for r in toxicity.score_toxicity(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS)).collect()}
+    assert all(len(r.evidence) == 15 for r in got.values())
+    train = [i for i in range(150) if zlib.crc32(str(i).encode()) % 4 != 2]
+    counts = [toxicity.counts_of(r[1]) for r in rows]
+    g2 = {}
+    n = [sum(1 for i in train if labels[i][2] == y) for y in (0, 1)]
+    for t in {t for i in train for t in counts[i]}:
+        c = [sum(1 for i in train if labels[i][2] == y and t in counts[i]) for y in (0, 1)]
+        cells = [(got, part * n[y] / sum(n)) for y in (0, 1) for got, part in ((c[y], sum(c)), (n[y] - c[y], sum(n) - sum(c)))]
+        g2[t] = sum(2 * got * np.log(got / e) for got, e in cells if got)
+    df = Counter(t for c in counts for t in c)
+    idf = lambda t: np.log(151 / (1 + df[t])) + 1 if t in g2 else np.log(151 / 2) + 1
+    v = [{t: (1 + np.log(n)) * idf(t) * np.sqrt(1 + g2.get(t, 0)) for t, n in c.items()} for c in counts]
+    norm = [np.sqrt(sum(x * x for x in u.values())) for u in v]
+    for q in range(150):
+        sims = {i: sum(x * v[i].get(t, 0) for t, x in v[q].items()) / norm[q] / norm[i] for i in train}
+        want = sorted(train, key=lambda i: (-round(sims[i], 12), i))[:15]
+        assert np.allclose(sorted(got[q].similarity, reverse=True), [sims[i] for i in want])
+        assert list(got[q].evidence) == want
+
+
+def test_rare_terms_and_equal_examples_are_searched_exactly(monkeypatch):
+    monkeypatch.setattr(toxicity, "DENSE", 8)
+    test_block_max_search_is_exact()
+
+
 # 9 near-duplicates
 
 
