@@ -40,6 +40,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.llm.common import cut, salt_of, text_key
+from tapewright.llm.word_hash import A as _A
+from tapewright.llm.word_hash import B as _B
+from tapewright.llm.word_hash import C as _C
+from tapewright.llm.word_hash import mix as _mix
+from tapewright.llm.word_hash import word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -47,71 +52,6 @@ BANDS, ROWS = 12, 4
 SKETCH_BITS = 16
 IDF_SHARE = 0.2
 HUB_PAIRS = 64
-#: Code points that are hashed at once.
-CHUNK = 1 << 20
-_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * _B
-        x = (x ^ (x >> np.uint64(27))) * _C
-        return x ^ (x >> np.uint64(31))
-
-
-class _Powers:
-    """Powers of an odd base and of its inverse mod 2**64, as many as the longest text so far needs, and which
-    code points are word characters."""
-
-    up = down = np.ones(1, np.uint64)
-    is_word: np.ndarray | None = None
-
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = max(2 * len(cls.up), n, 1 << 14)
-            back = pow(int(_A), -1, 1 << 64)
-            cls.up, cls.down = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, b, np.uint64))]) for b in (_A, np.uint64(back)))
-        return cls.up, cls.down
-
-    @classmethod
-    def words(cls, codes: np.ndarray) -> np.ndarray:
-        if cls.is_word is None:
-            cls.is_word = np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000)
-            cls.is_word[ord("_")] = True
-        return cls.is_word[codes]
-
-
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of each word (run of letters, digits and underscores, lower-cased), in order.
-
-    The whole text is hashed at once: prefix sums of code points times powers of a base give the polynomial hash
-    of any word by one difference, shifted back to the word's start by the inverse power."""
-    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    if len(codes) <= CHUNK:
-        return _hash_words(codes, _Powers.words(codes))
-    inside, parts, at = _Powers.words(codes), [], 0
-    while at < len(codes):  # long texts are cut between words; a word's hash does not depend on its place
-        end = at + CHUNK
-        if end < len(codes):
-            gaps = np.flatnonzero(~inside[at:end])
-            later = np.flatnonzero(~inside[end:]) if not len(gaps) else gaps
-            end = (at + gaps[-1] if len(gaps) else end + later[0] if len(later) else len(codes)) + 1
-        parts.append(_hash_words(codes[at:end], inside[at:end]))
-        at = end
-    return np.concatenate(parts)
-
-
-def _hash_words(codes: np.ndarray, inside: np.ndarray) -> np.ndarray:
-    padded = np.zeros(len(codes) + 2, np.int8)
-    padded[1:-1] = inside
-    edges = np.flatnonzero(np.diff(padded))
-    starts, ends = edges[::2], edges[1::2]
-    up, down = _Powers.of(len(codes))
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(codes * up[: len(codes)], out=sums[1:])
-        return _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:

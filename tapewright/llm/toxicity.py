@@ -1,16 +1,16 @@
 """Toxicity by the nearest labelled examples.
 
-Texts are TF-IDF vectors over all their terms: words, and the first letters of longer words.
+Texts are TF-IDF vectors over all their terms: words, and the first letters of longer words, each by a hash of 64 bits.
 A term's weight is (1 + ln tf) times its inverse document frequency over the whole corpus, times
 the square root of 1 + G2, its log-likelihood ratio against the labels of the examples: terms that
 tell the labels apart count for more, and no term is left out.  Terms that no example holds
 cannot be shared with one; they count in a text's length, each with the weight of a term of one
 document.  The labelled examples (a sample of documented size) are searched whole: their
-``DENSE`` most frequent terms are a matrix, the others an inverted index, together they give
-every cosine within a proven error, and what is left near the ``NEIGHBOURS`` best is computed
+``DENSE`` most frequent terms are a matrix, the others an inverted index of blocks, together they
+give every cosine within a proven error, and what is left near the ``NEIGHBOURS`` best is computed
 anew in full precision, so the neighbours are exact.  Their votes are weighted by similarity,
-and a logistic map fitted on the examples (each without itself) turns the vote into a
-probability.  The neighbours found are returned as evidence.
+and a logistic map fitted on the examples turns the vote into a probability.  A labelled document
+is never its own neighbour, neither in the fit nor in its score.  The neighbours found are returned as evidence.
 
 Plan: the sample's terms, a pass that counts them over the documents where they lie, and a pass
 that scores; nothing but the sample's vectors and terms is sent to tasks, and they depend on
@@ -19,16 +19,14 @@ the sample only.
 Defined results: null and empty texts, and texts without a term of any example, have no
 neighbours and get the score of an empty vote; repeated and conflicting labels of a document
 are averaged; without labels of both kinds every score is the share of toxic labels (0 without
-any); equal similarities are broken by the smaller doc_id of the example; other columns
-are ignored.
+any); equal similarities are broken by a hash of the example's terms, and examples of equal terms
+vote with their mean label, so no score depends on a doc_id; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -38,75 +36,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.llm.pairwise_rank import CUT, fold, labelled_sample
+from tapewright.llm.word_hash import letters, word_hashes
 
 SAMPLE = 4000
-STEMS = (7, 8)
+STEM = 7
 NEIGHBOURS = 15
 #: Terms held as a matrix; all others are looked up by their examples.
-DENSE = 512
+DENSE = 256
+#: Entries of a block of the inverted index.  Terms of fewer examples are not padded to one.
+BLOCK = 16
 #: Relative error of a cosine in single precision: sums of at most DENSE products, and the rounding of what is added.
 ERROR = (DENSE + 16) * 2.0**-23
 #: Texts searched at once, and entries of the inverted index read for them at once.
 BATCH, ENTRIES = 32, 1 << 20
-#: Words whose term numbers a task keeps.
-REMEMBERED = 1 << 18
 PRIOR = 0.25
-_WORD = re.compile(r"[^\W\d_]+")
 SCORES = "doc_id long, score double, evidence array<long>, similarity array<double>"
 
 
-def counts_of(text: str | None) -> dict[str, int]:
-    """How often a text holds its words, and ``ab*`` terms for the first STEMS letters of longer words."""
-    words = Counter(_WORD.findall((text or "").lower()))
-    out = dict(words)
-    for n in STEMS:
-        for w, c in words.items():
-            if len(w) > n:
-                s = w[:n] + "*"
-                out[s] = out.get(s, 0) + c
-    return out
-
-
-class TermNumbers(dict):
-    """Words to rows of ``table``, which holds the numbers of their terms.  Terms that are not known get numbers
-    from ``len(known)`` on, for the time being."""
-
-    def __init__(self, known: dict[str, int]):
-        super().__init__()
-        self.known, self.unknown = known, {}
-        self.table = np.full((1 << 12, 1 + len(STEMS)), -1)
-
-    def __missing__(self, word: str) -> int:
-        self[word] = at = len(self)
-        if at == len(self.table):
-            self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
-        for i, t in enumerate((word, *[word[:n] + "*" for n in STEMS if len(word) > n])):
-            no = self.known.get(t)
-            self.table[at, i] = self.unknown.setdefault(t, len(self.known) + len(self.unknown)) if no is None else no
-        return at
-
-    def of_words(self, words) -> np.ndarray:
-        """The numbers of each word's terms, -1 where it has fewer."""
-        if len(self) > REMEMBERED:
-            self.clear()
-            self.unknown.clear()
-            self.table[:] = -1
-        at = np.fromiter(map(self.__getitem__, words), int, len(words))
-        return self.table[at]
-
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """:func:`counts_of` by number, the numbers in order."""
-        words = Counter(_WORD.findall((text or "").lower()))
-        no = self.of_words(words).ravel()
-        n = np.repeat(np.fromiter(words.values(), float, len(words)), 1 + len(STEMS))[no >= 0]
-        no, at = np.unique(no[no >= 0], return_inverse=True)
-        return no, np.bincount(at, n, len(no))
+def counts_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """A text's terms, as hashes in order, and how often each occurs: its words, and the first STEM letters of
+    longer words."""
+    return np.unique(word_hashes(text, letters(), STEM), return_counts=True)
 
 
 class Examples(NamedTuple):
-    """The sample: example i holds ``terms[starts[i] : starts[i + 1]]`` (numbers of ``names``, in order) so many ``times``."""
+    """The sample: example i holds ``terms[starts[i] : starts[i + 1]]`` (places in ``known``, the hashes of all
+    terms in order) so many ``times``."""
 
-    names: list[str]
+    known: np.ndarray
     ids: list[int]
     y: list[int]
     starts: np.ndarray
@@ -115,33 +72,22 @@ class Examples(NamedTuple):
 
 
 class BlockMaxIndex:
-    """Examples as unit vectors, one for equal ones.  ``weights``: each term's factor; ``other``: that of unknown terms."""
-
-    def __init__(self, weights: dict[str, float], examples: list[tuple[int, dict[str, int], int]], other: float = 1.0):
-        names = sorted(weights)
-        number = {t: i for i, t in enumerate(names)}
-        found = [sorted((number[t], c) for t, c in e[1].items()) for e in examples]
-        terms, times = (np.array([x[k] for f in found for x in f], kind) for k, kind in ((0, np.int32), (1, float)))
-        starts = np.cumsum([0] + [len(f) for f in found])
-        self._build(names, np.array([weights[t] for t in names], float), other, Examples(names, [e[0] for e in examples], [e[2] for e in examples], starts, terms, times))
-
-    @classmethod
-    def of_examples(cls, weights: np.ndarray, examples: Examples, other: float) -> BlockMaxIndex:
-        out = cls.__new__(cls)
-        out._build(examples.names, weights, other, examples)
-        return out
-
-    def _build(self, names: list[str], weights: np.ndarray, other: float, examples: Examples) -> None:
-        self.term_no = {t: i for i, t in enumerate(names)}
-        self.weights, self.other = weights, other
+    """Examples as unit vectors, one for equal ones.  ``weights``: the factor of each known term; ``other``: that
+    of unknown terms."""
+
+    def __init__(self, weights: np.ndarray, examples: Examples, other: float = 1.0):
+        self.known, self.weights, self.other = examples.known, weights, other
         self.ids, self.y = np.array(examples.ids, np.int64), np.array(examples.y, float)
         seen: dict[bytes, int] = {}
-        self.of, rows = np.zeros(len(self.ids), int), []
+        self.of, rows, digests = np.zeros(len(self.ids), int), [], []
         for i, (a, b) in enumerate(zip(examples.starts[:-1].tolist(), examples.starts[1:].tolist())):
-            no, w = self.weigh(examples.terms[a:b], examples.times[a:b])
-            self.of[i] = u = seen.setdefault(hashlib.sha256(no.tobytes() + w.tobytes()).digest(), len(rows))
+            no, w = self.weigh(examples.terms[a:b], examples.times[a:b], examples.times[:0])
+            digest = hashlib.sha256(no.tobytes() + w.tobytes()).digest()
+            self.of[i] = u = seen.setdefault(digest, len(rows))
             if u == len(rows):
                 rows.append((no, w))
+                digests.append(digest)
+        self.rank = np.argsort(sorted(range(len(rows)), key=digests.__getitem__)) if rows else np.empty(0, int)
         self.starts = np.cumsum([0] + [len(no) for no, _ in rows])
         self.terms = np.concatenate([no for no, _ in rows]) if rows else np.empty(0, np.int32)
         self.values = np.concatenate([w for _, w in rows]) if rows else np.empty(0)
@@ -158,19 +104,35 @@ class BlockMaxIndex:
         at = self.column[self.terms]
         self.matrix = np.zeros((len(frequent), n), np.float32)
         self.matrix[at[at >= 0], row[at >= 0]] = self.values[at >= 0]
-        rare = np.flatnonzero(at < 0)
-        rare = rare[np.argsort(self.terms[rare], kind="stable")]
-        self.post_row, self.post_value = row[rare].astype(np.int32), self.values[rare]
-        self.post_start = np.concatenate([[0], np.cumsum(np.bincount(self.terms[rare], minlength=v))])
+        # postings of the other terms: whole blocks for those of many examples, a plain list for the rest
+        blocked = (at < 0) & (df[self.terms] >= BLOCK)
+        n_blocks = np.where((self.column < 0) & (df >= BLOCK), -(-df // BLOCK), 0)
+        self.block_start = np.concatenate([[0], np.cumsum(n_blocks)])
+        self.block_row = np.full((self.block_start[-1], BLOCK), n, np.intp)  # n: padding
+        self.block_value = np.zeros((self.block_start[-1], BLOCK))
+        term, entry = self._by_term(blocked)
+        place = np.arange(len(term)) - np.searchsorted(term, term) + self.block_start[term] * BLOCK
+        self.block_row.ravel()[place], self.block_value.ravel()[place] = row[entry], self.values[entry]
+        term, entry = self._by_term((at < 0) & ~blocked)
+        self.post_row, self.post_value = row[entry].astype(np.int32), self.values[entry]
+        self.post_start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=v))])
+        self.n_members = np.bincount(self.of, minlength=n)
+        self.toxic_members = np.bincount(self.of, self.y, minlength=n)
+        self.example = {d: i for i, d in enumerate(self.ids.tolist())}
         order = np.lexsort((self.ids, self.of))
-        self.members = np.split(order, np.cumsum(np.bincount(self.of, minlength=n))[:-1]) if n else []
+        self.members, self.member_start = order, np.concatenate([[0], np.cumsum(self.n_members)])
+
+    def _by_term(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of the entries asked for, in order, and the places of the entries."""
+        entry = np.flatnonzero(which)
+        entry = entry[np.argsort(self.terms[entry], kind="stable")]
+        return self.terms[entry], entry
 
     def __getstate__(self) -> dict:
-        derived = ("column", "matrix", "post_row", "post_value", "post_start", "members", "term_no")
-        return {k: x for k, x in self.__dict__.items() if k not in derived} | {"names": " ".join(self.term_no)}
+        kept = ("known", "weights", "other", "ids", "y", "of", "starts", "terms", "values", "rank")
+        return {k: self.__dict__[k] for k in kept}
 
     def __setstate__(self, state: dict) -> None:
-        self.term_no = {t: i for i, t in enumerate(state.pop("names").split(" "))}
         self.__dict__.update(state)
         self._invert()
 
@@ -178,18 +140,16 @@ class BlockMaxIndex:
     def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
         return [(self.terms[self.starts[u] : self.starts[u + 1]], self.values[self.starts[u] : self.starts[u + 1]]) for u in self.of]
 
-    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and TF-IDF weights, of unit length together with the unknown terms."""
-        new = len(self.term_no)
-        no = np.array([self.term_no.get(t, new + i) for i, t in enumerate(counts)], int)
-        order = np.argsort(no)
-        return self.weigh(no[order], np.fromiter(counts.values(), float, len(counts))[order])
-
-    def weigh(self, no: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same for numbers in order and how often each occurs."""
-        known, tf = int(np.searchsorted(no, len(self.weights))), 1.0 + np.log(n)
-        no, w, unknown = no[:known], tf[:known] * self.weights[no[:known]], np.sort(tf[known:]) * self.other
-        norm = math.sqrt(float(w @ w) + float(unknown @ unknown))
+    def vector(self, terms: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the known terms and their TF-IDF weights, of unit length together with the unknown terms."""
+        at = np.searchsorted(self.known, terms)
+        known = self.known[np.minimum(at, len(self.known) - 1)] == terms if len(self.known) else np.zeros(len(terms), bool)
+        return self.weigh(at[known], n[known], n[~known])
+
+    def weigh(self, no: np.ndarray, n: np.ndarray, unknown: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for terms by place, and how often these and the unknown ones occur."""
+        w, rest = (1.0 + np.log(n)) * self.weights[no], (1.0 + np.log(unknown)) * self.other
+        norm = math.sqrt(float(w @ w) + float(rest @ rest))
         return no, w / norm if norm else w
 
     def nearest(self, no: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +162,7 @@ class BlockMaxIndex:
             stop, entries = at, 0
             while stop < len(queries) and stop - at < BATCH and (stop == at or entries < ENTRIES):
                 no = queries[stop][0]
-                entries += int((self.post_start[no + 1] - self.post_start[no]).sum()) if len(no) else 0
+                entries += sum(int((x[no + 1] - x[no]).sum()) * size for x, size in ((self.post_start, 1), (self.block_start, BLOCK))) if len(no) else 0
                 stop += 1
             yield from self._nearest(queries[at:stop], k, without[at:stop] if without else [-1] * (stop - at))
             at = stop
@@ -218,10 +178,16 @@ class BlockMaxIndex:
         dense = np.zeros((m, len(self.matrix)), np.float32)
         dense[row[at >= 0], at[at >= 0]] = w[at >= 0]
         near = dense @ self.matrix
-        start, size = self.post_start[no], self.post_start[no + 1] - self.post_start[no]
-        if size.sum():
-            entry = np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+        entry, size = _ranges(self.post_start, no)
+        if len(entry):
             near += np.bincount(np.repeat(row * n, size) + self.post_row[entry], np.repeat(w, size) * self.post_value[entry], m * n).reshape(m, n)
+        block, size = _ranges(self.block_start, no)
+        factor, ends = np.repeat(w, size)[:, None], np.cumsum(np.bincount(row, size, m)).astype(int).tolist()
+        for r, (a, b) in enumerate(zip([0, *ends], ends)):
+            if a < b:
+                value = self.block_value.take(block[a:b], axis=0)
+                value *= factor[a:b]
+                near[r] += np.bincount(self.block_row.take(block[a:b], axis=0).ravel(), value.ravel(), n + 1)[:n]
         depth = min(k + 1, n)  # one more, for the example that is left out
         least = np.partition(near, n - depth, axis=1)[:, n - depth] * (1 - 4 * ERROR)
         full = np.zeros(len(self.weights))
@@ -231,19 +197,31 @@ class BlockMaxIndex:
                 continue
             rows = np.flatnonzero((near[r] >= least[r]) & (near[r] > 0))
             full[no] = w
-            sims = [float(self.values[a:b] @ full[self.terms[a:b]]) for a, b in zip(self.starts[rows].tolist(), self.starts[rows + 1].tolist())]
+            entry, size = _ranges(self.starts, rows)
+            sims = np.add.reduceat(full.take(self.terms.take(entry)) * self.values.take(entry), np.cumsum(size) - size) if len(rows) else np.empty(0)
             full[no] = 0.0
-            found = [self.members[u][: k + 1] for u in rows]
-            i = np.concatenate(found) if found else np.empty(0, int)
-            s = np.repeat(np.array(sims, float), [len(x) for x in found])
+            at, size = _ranges(self.member_start, rows)
+            i, s = self.members[at], np.repeat(sims, size)
             if without[r] >= 0:
                 i, s = i[i != without[r]], s[i != without[r]]
-            order = np.lexsort((self.ids[i], -np.round(s, 12)))[:k]
+            order = np.lexsort((self.ids[i], self.rank[self.of[i]], -np.round(s, 12)))[:k]
             yield i[order], s[order]
 
-    def vote(self, i: np.ndarray, s: np.ndarray, base: float) -> float:
-        """Share of toxic neighbours by similarity; PRIOR of weight goes to the base rate."""
-        return float((s @ self.y[i] + PRIOR * base) / (s.sum() + PRIOR))
+    def vote(self, i: np.ndarray, s: np.ndarray, base: float, without: int = -1) -> float:
+        """Share of toxic neighbours by similarity; PRIOR of weight goes to the base rate.  Equal
+        examples vote with their mean label, that of ``without`` not counted."""
+        u = self.of[i]
+        n, toxic = self.n_members[u], self.toxic_members[u]
+        if without >= 0:
+            own = u == self.of[without]
+            n, toxic = n - own, toxic - own * self.y[without]
+        return float((s @ (toxic / n) + PRIOR * base) / (s.sum() + PRIOR))
+
+
+def _ranges(bounds: np.ndarray, no: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from ``bounds[i]`` to ``bounds[i + 1]`` of every i in ``no``, one after the other, and how many each has."""
+    start, size = bounds[no], bounds[no + 1] - bounds[no]
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size), size
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -266,8 +244,8 @@ def label_evidence(examples: Examples) -> np.ndarray:
     """Log-likelihood ratio (G squared) of every term of the examples against their labels."""
     y = np.array(examples.y)
     label = np.repeat(y, np.diff(examples.starts))
-    c = [np.bincount(examples.terms[label == v], minlength=len(examples.names)).astype(float) for v in (0, 1)]
-    total, both, g2 = float(len(y)), c[0] + c[1], np.zeros(len(examples.names))
+    c = [np.bincount(examples.terms[label == v], minlength=len(examples.known)).astype(float) for v in (0, 1)]
+    total, both, g2 = float(len(y)), c[0] + c[1], np.zeros(len(examples.known))
     for v in (0, 1):
         n = float((y == v).sum())
         for got, expected in ((c[v], both * n / total), (n - c[v], (total - both) * n / total)):
@@ -275,19 +253,18 @@ def label_evidence(examples: Examples) -> np.ndarray:
     return np.maximum(g2, 0.0)
 
 
-def corpus_frequencies(docs: DataFrame, known: list[str]) -> tuple[np.ndarray, int]:
+def corpus_frequencies(docs: DataFrame, known: np.ndarray) -> tuple[np.ndarray, int]:
     """Documents of the whole corpus that hold each known term, and their number."""
-    sent = docs.sparkSession.sparkContext.broadcast(" ".join(known))
-    size = len(known)
+    sent, size = docs.sparkSession.sparkContext.broadcast(known), len(known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = TermNumbers({t: i for i, t in enumerate(sent.value.split(" "))})
         total, n = np.zeros(size + 1, np.int64), 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 n += 1
-                no = numbers.of_words(set(_WORD.findall((text or "").lower())))
-                total[no[(no >= 0) & (no < size)]] += 1  # once for each term, however often its number stands there
+                terms = np.unique(word_hashes(text, letters(), STEM))
+                at = np.searchsorted(sent.value, terms)
+                total[at[sent.value[np.minimum(at, size - 1)] == terms]] += 1
         total[size] = n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["term", "docs"])
@@ -315,16 +292,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, slope, offset = sent.value
-        numbers = TermNumbers(index.term_no) if index else None
         for batch in batches:
             out = []
             texts = batch.column("text").to_pylist()
-            parts = (texts[at : at + BATCH] for at in range(0, len(texts), BATCH))
-            found = (x for part in parts for x in index.nearest_of([index.weigh(*numbers.counts(t)) for t in part])) if index else (((), ()) for _ in texts)
-            for near, sims in found:
+            own = [index.example.get(d, -1) for d in batch.column("doc_id").to_pylist()] if index else [-1] * len(texts)
+            parts = (slice(at, at + BATCH) for at in range(0, len(texts), BATCH))
+            found = (x for p in parts for x in index.nearest_of([index.vector(*counts_of(t)) for t in texts[p]], without=own[p])) if index else (((), ()) for _ in texts)
+            for (near, sims), me in zip(found, own):
                 i, s, p = [], [], empty
                 if len(near):
-                    v = min(max(index.vote(near, sims, base), 1e-3), 1 - 1e-3)
+                    v = min(max(index.vote(near, sims, base, me), 1e-3), 1 - 1e-3)
                     p = 1 / (1 + math.exp(-max(-30.0, min(30.0, slope * math.log(v / (1 - v)) + offset))))
                     i, s = index.ids[near].tolist(), sims.tolist()
                 out.append((p, i, s))
@@ -344,38 +321,27 @@ def collect_examples(rows: DataFrame) -> Examples:
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(counts_of(t).items()) for t in batch.column("text").to_pylist()]
-            terms = pa.array([" ".join(t for t, _ in f) for f in found], pa.string())
-            times = pa.array([" ".join(str(c) for _, c in f) for f in found], pa.string())
+            found = [counts_of(t) for t in batch.column("text").to_pylist()]
+            terms, times = (pa.array([x.astype(np.uint64).tobytes() for x in y], pa.binary()) for y in zip(*found)) if found else (pa.array([], pa.binary()),) * 2
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), terms, times], ["doc_id", "y", "terms", "times"])
 
-    got = rows.mapInArrow(collect, "doc_id long, y int, terms string, times string")
+    got = rows.mapInArrow(collect, "doc_id long, y int, terms binary, times binary")
     # repeated rows of a document would otherwise break the bound on what is collected
-    got = got.groupBy("doc_id").agg(F.first("y").alias("y"), F.min(F.struct("terms", "times")).alias("c")).orderBy("doc_id")
-    number: dict[str, int] = {}
-    ids, y, sizes, terms, times = [], [], [0], [], []
-    for r in got.collect():
-        found = r["c"]["terms"].split()
-        ids.append(r["doc_id"])
-        y.append(r["y"])
-        sizes.append(len(found))
-        terms.append(np.fromiter((number.setdefault(t, len(number)) for t in found), np.int32, len(found)))
-        times.append(np.array(r["c"]["times"].split(), np.int32))
-    if not ids:
-        return Examples([], [], [], np.zeros(1, int), np.empty(0, np.int32), np.empty(0, np.int32))
-    names = sorted(number)
-    place = np.empty(len(names), np.int32)
-    place[[number[t] for t in names]] = np.arange(len(names))
-    # a text's terms were sorted, so they stay in order
-    return Examples(names, ids, y, np.cumsum(sizes), place[np.concatenate(terms)], np.concatenate(times))
+    got = got.groupBy("doc_id").agg(F.first("y").alias("y"), F.min(F.struct("terms", "times")).alias("c")).orderBy("doc_id").select("doc_id", "y", "c.*").toArrow()
+    terms, times = ([np.frombuffer(x, np.uint64) for x in got.column(c).to_pylist()] for c in ("terms", "times"))
+    known, at = np.unique(np.concatenate([*terms, np.empty(0, np.uint64)]), return_inverse=True)
+    return Examples(
+        known, got.column("doc_id").to_pylist(), got.column("y").to_pylist(), np.cumsum([0] + [len(x) for x in terms]),
+        at.astype(np.int32), np.concatenate([*times, np.empty(0, np.uint64)]).astype(np.int64),
+    )
 
 
 def _index(docs: DataFrame, examples: Examples, base: float) -> tuple[BlockMaxIndex, float, float]:
-    df, n_docs = corpus_frequencies(docs, examples.names)
+    df, n_docs = corpus_frequencies(docs, examples.known)
     weights = (np.log((1.0 + n_docs) / (1.0 + df)) + 1.0) * np.sqrt(1.0 + label_evidence(examples))
-    index = BlockMaxIndex.of_examples(weights, examples, math.log((1.0 + n_docs) / 2.0) + 1.0)
+    index = BlockMaxIndex(weights, examples, math.log((1.0 + n_docs) / 2.0) + 1.0)
     near = index.nearest_of(index.vectors, without=list(range(len(examples.ids))))
-    votes = np.array([index.vote(*x, base) for x in near])
+    votes = np.array([index.vote(*x, base, i) for i, x in enumerate(near)])
     # the sample may be balanced otherwise than the labels: weigh it back
     n1 = index.y.sum()
     slope, offset = fit_logistic(votes, index.y)
