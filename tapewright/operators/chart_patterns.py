@@ -1,4 +1,4 @@
-"""Chart patterns from sequences of confirmed pivots, and the event chain of an accumulation.
+"""Chart patterns from sequences of confirmed pivots, and the event chains of accumulation and distribution.
 
 A pattern is a rule over up to five alternating pivots, a level and a direction.  Each pivot row carries
 its followers by ``lead``; the breakout is the first close beyond the level within the bars after the last
@@ -51,28 +51,63 @@ def chart_patterns(bars: DataFrame) -> DataFrame:
     return out.select("symbol", "pattern", "start_ix", "end_ix", "level", F.col("hit.trade_date").alias("breakout_date"), (F.col("level") + F.col("side") * F.col("height")).alias("target"))
 
 
-def accumulation_events(bars: DataFrame, last: int = 120) -> DataFrame:
-    """Selling climax, preliminary support, automatic rally and secondary test over each symbol's last bars.  Each
-    event hangs on the one before: a chain of small per-symbol picks, joined by symbol."""
-    newest = F.max("bar_ix").over(Window.partitionBy("symbol"))
-    w = bars.withColumn("i", F.col("bar_ix") - newest + last - 1).filter("i >= 0").withColumn("spread", F.col("high") - F.col("low"))
-    q = Window.partitionBy("symbol").orderBy("i").rowsBetween(-20, -1)
-    full = Window.partitionBy("symbol")
+#: Fixed values: labels by side, and the limits of each event.
+CAMPAIGNS = {1: ("accumulation", "PS", "SC", "AR", "ST", "SPRING", "TEST", "SOS", "LPS"), -1: ("distribution", "PSY", "BC", "AR", "ST", "UT", None, "SOW", "LPSY")}
+CLIMAX_VOLUME, CLIMAX_SPREAD, CLIMAX_CLOSE, EARLY_VOLUME = 1.6, 1.2, 0.4, 1.25
+RALLY_BARS, TEST_WITHIN, TEST_VOLUME = 25, (4, 29), 0.85
+RANGE_BARS, RANGE_LEAST, RANGE_EDGE, RECENT = 40, 20, 3, 20
+QUIET_BARS, QUIET_VOLUME, STRONG_VOLUME, PULLBACK_BARS = 8, 0.8, 1.3, 10
+
+
+def campaign_events(bars: DataFrame, last: int = 120, least: int = 60) -> DataFrame:
+    """(symbol, campaign, event, trade_date, price) over the last bars of symbols that have at least ``least``.
+
+    Both sides are one chain: for distribution prices change their sign, so that lows are highs.  Every link is a pick
+    among the bars of (symbol, side), laid beside all of them by a window over the same key: one shuffle, no joins."""
+    side, key = F.col("side"), Window.partitionBy("symbol", "side")
+    year = bars.withColumns({"n": F.count("*").over(Window.partitionBy("symbol")), "newest": F.max("bar_ix").over(Window.partitionBy("symbol"))}).filter(
+        (F.col("n") >= least) & (F.col("bar_ix") > F.col("newest") - last)
+    )
+    w = year.withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1)))).select(
+        "symbol", "side", "trade_date", "volume", F.row_number().over(key.orderBy("bar_ix")).alias("i"), F.count("*").over(key).alias("n"),
+        (F.col("open") * side).alias("open"), (F.col("close") * side).alias("close"),
+        F.when(side > 0, F.col("low")).otherwise(-F.col("high")).alias("low"), F.when(side > 0, F.col("high")).otherwise(-F.col("low")).alias("high"),
+    )
+    before = key.orderBy("i").rowsBetween(-20, -1)
+    spread = F.col("high") - F.col("low")
+    w = w.withColumns({
+        "usual": F.avg("volume").over(before), "usual_spread": F.avg(spread).over(before), "known": F.count("*").over(before) == 20,
+        "floor": F.min("low").over(key), "ceiling": F.max("high").over(key),
+    })
+    bar = F.struct("i", "trade_date", "open", "close", "low", "high", "volume", "usual")
+    i, down, busy = F.col("i"), F.col("close") < F.col("open"), F.try_divide("volume", "usual")
+    first, latest = (lambda when: F.min_by(bar, F.when(when, i)).over(key)), (lambda when: F.max_by(bar, F.when(when, i)).over(key))
+    most = lambda when, *by: F.max_by(bar, F.when(when, F.struct(*by, -i))).over(key)
+    depth = F.coalesce(F.try_divide(F.col("ceiling") - F.col("low"), F.col("ceiling") - F.col("floor")), F.lit(1.0))
+    is_climax = F.col("known") & (busy >= CLIMAX_VOLUME) & (spread >= CLIMAX_SPREAD * F.col("usual_spread")) & down & (F.col("close") - F.col("low") <= CLIMAX_CLOSE * spread)
+    w = w.withColumn("climax", most(is_climax, busy * depth)).filter(F.col("climax.i") < F.col("n") - 4)
+    w = w.withColumns({
+        "early": latest(F.col("known") & (i < F.col("climax.i")) & (busy >= EARLY_VOLUME) & down & (F.col("low") > F.col("climax.low"))),
+        "rally": most(i.between(F.col("climax.i") + 1, F.col("climax.i") + RALLY_BARS), F.col("high")),
+        "bars": F.least(F.lit(RANGE_BARS), F.col("n") - F.col("climax.i") + 1),
+    })
+    core = (F.col("bars") >= RANGE_LEAST) & (i > F.col("n") - F.col("bars")) & (i <= F.col("n") - RANGE_EDGE)
+    quiet = F.col("volume") < TEST_VOLUME * F.least(F.col("climax.volume"), F.col("usual"))
+    w = w.withColumns({
+        "retest": first(i.between(*[F.col("rally.i") + b for b in TEST_WITHIN]) & (F.col("low") <= F.col("climax.low") * (1 + 0.025 * side)) & quiet),
+        "bottom": F.least(F.min(F.when(core, F.col("low"))).over(key), F.col("climax.low")), "top": F.max(F.when(core, F.col("high"))).over(key),
+    })
+    w = w.withColumn("shake", latest((i >= F.greatest(F.col("climax.i"), F.col("n") - RECENT + 1)) & F.col("top").isNotNull() & (F.col("low") < F.col("bottom")) & (F.col("close") > F.col("bottom"))))
+    usual = F.col("shake.usual")
     w = w.withColumns({
-        "avgv": F.avg("volume").over(q), "avgs": F.avg("spread").over(q), "lo": F.min("low").over(full), "hi": F.max("high").over(full), "n20": F.count("*").over(q),
-    }).withColumns({
-        "vr": F.col("volume") / F.greatest(F.col("avgv"), F.lit(1.0)), "sr": F.col("spread") / F.greatest(F.col("avgs"), F.lit(0.0001)),
-        "pos": (F.col("close") - F.col("low")) / F.greatest(F.col("spread"), F.lit(0.0001)),
+        "quiet": first(i.between(F.col("shake.i") + 1, F.col("shake.i") + QUIET_BARS) & (F.col("low") > F.col("shake.low")) & (F.col("volume") < QUIET_VOLUME * usual)),
+        "strong": latest((i > F.col("shake.i")) & (F.col("close") > F.col("top")) & (F.col("volume") > STRONG_VOLUME * usual)),
     })
-    rank = F.greatest(F.lit(0.0), 1 - (F.col("low") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(0.0001)))
-    sc = w.filter("n20 = 20 and vr >= 1.6 and sr >= 1.2 and close < open and pos <= 0.4").groupBy("symbol").agg(
-        F.max_by(F.struct("i", "trade_date", "close", "low", "volume"), F.struct((F.col("vr") * rank).alias("s"), (-F.col("i")).alias("j"))).alias("sc")
-    ).filter(F.col("sc.i") < last - 5)
-    j = w.join(sc, "symbol")
-    ps = j.filter((F.col("n20") == 20) & (F.col("i") < F.col("sc.i")) & (F.col("vr") >= 1.25) & (F.col("close") < F.col("open")) & (F.col("low") > F.col("sc.low"))).groupBy("symbol").agg(F.max_by(F.struct("trade_date", "close"), "i").alias("e"))
-    ar = j.filter(F.col("i").between(F.col("sc.i") + 1, F.col("sc.i") + 25)).groupBy("symbol").agg(F.max_by(F.struct("i", "trade_date", "high"), F.struct("high", -F.col("i"))).alias("ar"))
-    st = j.join(ar, "symbol").filter(
-        F.col("i").between(F.col("ar.i") + 4, F.col("ar.i") + 30) & (F.col("low") <= F.col("sc.low") * 1.025) & (F.col("volume") < 0.85 * F.col("sc.volume")) & (F.col("volume") < 0.85 * F.col("avgv"))
-    ).groupBy("symbol").agg(F.min_by(F.struct("trade_date", "close"), "i").alias("e"))
-    row = lambda df, name, at, price: df.select("symbol", F.lit(name).alias("event"), F.col(at).alias("trade_date"), F.col(price).alias("price"))
-    return row(sc, "SC", "sc.trade_date", "sc.close").unionByName(row(ps, "PS", "e.trade_date", "e.close")).unionByName(row(ar, "AR", "ar.trade_date", "ar.high")).unionByName(row(st, "ST", "e.trade_date", "e.close"))
+    near_top = F.col("close") > F.col("top") * (1 - 0.02 * side)
+    w = w.withColumn("pullback", first(i.between(F.col("strong.i") + 1, F.col("strong.i") + PULLBACK_BARS) & near_top & (F.col("close") < F.col("strong.close"))))
+    links = ("early", "climax", "rally", "retest", "shake", "quiet", "strong", "pullback")
+    names = F.when(side > 0, F.array(*map(F.lit, CAMPAIGNS[1][1:]))).otherwise(F.array(*map(F.lit, CAMPAIGNS[-1][1:])))
+    found = F.arrays_zip(names.alias("event"), F.array(*[F.col(x) for x in links]).alias("bar"))
+    out = w.filter(i == F.col("n")).select("symbol", "side", F.explode(found).alias("f")).filter("f.event IS NOT NULL AND f.bar IS NOT NULL")
+    price = F.when(F.col("f.event") == "AR", F.col("f.bar.high")).otherwise(F.col("f.bar.close")) * side
+    return out.select("symbol", F.when(side > 0, CAMPAIGNS[1][0]).otherwise(CAMPAIGNS[-1][0]).alias("campaign"), F.col("f.event").alias("event"), F.col("f.bar.trade_date").alias("trade_date"), price.alias("price"))

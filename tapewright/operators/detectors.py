@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tapewright.functions.windows import BARS as P
 from tapewright.functions.windows import run_length
 from tapewright.operators import indicators, kernels
-from tapewright.operators.signals import candle_frame
+from tapewright.operators.candles import candle_frame
 
 #: Volume signals that need no recursive column; x_5 is x five bars before.
 VOLUME_SIGNALS: dict[str, str] = {
@@ -52,10 +52,10 @@ PATTERNS: dict[str, str] = {
     "THREE_LINE_STRIKE": "c3 > o3 AND c2 > o2 AND c1 > o1 AND c2 > c3 AND c1 > c2 AND c < o AND o >= c1 AND c <= o3 AND rise10 >= 0.02",
     "FIVE_BAR_BULL": "c4 < o4 AND greatest(h1, h2, h3) <= h4 AND least(l1, l2, l3) >= l4 AND c > h4",
     "FIVE_BAR_BEAR": "c4 > o4 AND greatest(h1, h2, h3) <= h4 AND least(l1, l2, l3) >= l4 AND c < l4",
-    "MORNING_STAR": "c2 < o2 AND b2 > 0.5 * atr14 AND b1 < 0.4 * b2 AND c > o AND c > (o2 + c2) / 2 AND d2 <= 8 AND (slope5 < 0 OR l1 <= low20)",
-    "EVENING_STAR": "c2 > o2 AND b2 > 0.5 * atr14 AND b1 < 0.4 * b2 AND c < o AND c < (o2 + c2) / 2 AND d2 <= 8 AND (slope5 > 0 OR h1 >= high20)",
+    "MORNING_STAR": "c2 < o2 AND len2 > 0.5 * atr14 AND len1 < 0.4 * len2 AND c > o AND c > (o2 + c2) / 2 AND d2 <= 8 AND (slope5 < 0 OR l1 <= low20)",
+    "EVENING_STAR": "c2 > o2 AND len2 > 0.5 * atr14 AND len1 < 0.4 * len2 AND c < o AND c < (o2 + c2) / 2 AND d2 <= 8 AND (slope5 > 0 OR h1 >= high20)",
     "INSIDE_BAR": "h <= h1 AND l >= l1", "OUTSIDE_BAR": "NOT (h <= h1 AND l >= l1) AND h >= h1 AND l <= l1",
-    "BULL_TREND_BAR": "b / r > 0.6 AND c > o", "BEAR_TREND_BAR": "b / r > 0.6 AND c <= o",
+    "BULL_TREND_BAR": "body > 0.6 AND white", "BEAR_TREND_BAR": "body > 0.6 AND black",
 }
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapewright.operators import candles as K
 from tapewright.operators import detectors as D
 from tapewright.operators import indicators
 from tapewright.operators import scoring as G
@@ -148,7 +149,7 @@ def q_conviction(spark, sf):
 
 
 def _hits(spark, sf):
-    return S.long_form(S.candle_frame(daily_bars(spark, sf)), S.CANDLES, ["symbol", "trade_date"]).withColumn("bias", S.bias(F.col("signal")))
+    return S.long_form(K.candle_frame(daily_bars(spark, sf)), K.CANDLES, ["symbol", "trade_date"]).withColumn("bias", K.bias(F.col("signal")))
 
 
 def q_confluence(spark, sf):

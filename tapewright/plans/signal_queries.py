@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapewright.operators import candles as K
 from tapewright.operators import signals as S
 from tapewright.plans.indicator_queries import FRAMES, KERNEL_SQL, full
 from tapewright.sources.panels import BARS_SQL, daily_bars
@@ -68,21 +69,19 @@ SUSTAINED_SQL = FULL_CTES + _summary_sql(hits_sql("ok", S.SUSTAINED, FWD_COLS),
 
 CANDLE_CTES = ", cf0 AS (SELECT *, open AS o, high AS h, low AS l, close AS c, " + ", ".join(
     f"lag({x}, {n}) OVER b AS {k}{n}" for k, x in (("o", "open"), ("h", "high"), ("l", "low"), ("c", "close")) for n in range(1, 5)
-) + f", lag(close, 1) OVER b / lag(close, 10) OVER b - 1 AS drift FROM bars {FRAMES}), cf1 AS (SELECT *, abs(c - o) AS b, " + ", ".join(
-    f"abs(c{n} - o{n}) AS b{n}" for n in range(1, 5)
-) + """, greatest(0.0001, h - l) AS r, greatest(0.0001, h1 - l1) AS r1, h - greatest(o, c) AS u, least(o, c) - l AS d FROM cf0),
-cf AS (SELECT *, CASE WHEN drift > 0.02 THEN 'up' WHEN drift < -0.02 THEN 'down' WHEN drift IS NULL THEN 'unknown' ELSE 'flat' END AS trend,
-  d > 2 * greatest(b, 0.0001) AND u < b * 0.5 AS long_d, u > 2 * greatest(b, 0.0001) AND d < b * 0.5 AS long_u,
-  """ + " AND ".join(f"b{n} < b4 * 0.6 AND least(o4, c4) <= least(o{n}, c{n}) AND greatest(o{n}, c{n}) <= greatest(o4, c4)" for n in (1, 2, 3)) + " AS held FROM cf1)"
-CANDLES_SQL = BARS_SQL + CANDLE_CTES + ", hits AS (" + hits_sql("cf", S.CANDLES, "symbol, trade_date") + ") SELECT symbol, trade_date, signal, " + (
-    "CASE WHEN signal IN (" + ", ".join(f"'{x}'" for x in sorted(S.BULLISH)) + ") THEN 'bullish' WHEN signal IN (" + ", ".join(f"'{x}'" for x in sorted(S.BEARISH)) + ") THEN 'bearish' ELSE 'neutral' END AS bias FROM hits"
+) + f", lag(close, 1) OVER b / lag(close, 10) OVER b - 1 AS drift FROM bars {FRAMES})" + "".join(
+    f", {name} AS (SELECT *, " + ", ".join(f"{rule} AS {column}" for column, rule in step.items()) + f" FROM {before})"
+    for before, name, step in zip(("cf0", "cf1", "cf2"), ("cf1", "cf2", "cf"), K.geometry())
+)
+CANDLES_SQL = BARS_SQL + CANDLE_CTES + ", hits AS (" + hits_sql("cf", K.CANDLES, "symbol, trade_date") + ") SELECT symbol, trade_date, signal, " + (
+    "CASE WHEN signal IN (" + ", ".join(f"'{x}'" for x in sorted(K.BULLISH)) + ") THEN 'bullish' WHEN signal IN (" + ", ".join(f"'{x}'" for x in sorted(K.BEARISH)) + ") THEN 'bearish' ELSE 'neutral' END AS bias FROM hits"
 )
 RANGE_CTE = """, rf AS (SELECT *, min(low) OVER c AS sup, max(high) OVER c AS res, min(low) OVER d AS sup_b, max(high) OVER d AS res_b FROM {source}
   WINDOW c AS (PARTITION BY symbol ORDER BY bar_ix ROWS BETWEEN 39 PRECEDING AND 3 PRECEDING), d AS (PARTITION BY symbol ORDER BY bar_ix ROWS BETWEEN 40 PRECEDING AND 4 PRECEDING))"""
 RANGE_SQL = BARS_SQL + RANGE_CTE.format(source="bars") + " " + hits_sql("rf", S.RANGE_EVENTS, "symbol, trade_date, round(sup, 6) AS sup, round(res, 6) AS res")
 COMBO_SQL = BARS_SQL + CANDLE_CTES + RANGE_CTE.format(source="cf") + f""", ls AS (
   SELECT *, last_value(CASE WHEN {S.RANGE_EVENTS['Spring']} THEN bar_ix END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_ix ROWS UNBOUNDED PRECEDING) AS last_spring FROM rf
-), hits AS ({hits_sql('ls', S.CANDLES, 'symbol, trade_date, bar_ix - last_spring AS bars_after', 'bar_ix - last_spring BETWEEN 1 AND 10')})
+), hits AS ({hits_sql('ls', K.CANDLES, 'symbol, trade_date, bar_ix - last_spring AS bars_after', 'bar_ix - last_spring BETWEEN 1 AND 10')})
 SELECT symbol, trade_date, CAST(bars_after AS INT) AS bars_after, 'Spring + ' || signal AS signal FROM hits"""
 
 STAT_COLS = """count(*) AS n, round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) * 100, 4) AS win_rate, round(avg(ret), 4) AS avg_return,
@@ -92,7 +91,7 @@ STAT_COLS = """count(*) AS n, round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END)
   count(*) < 20 AS low_sample"""
 STACK = lambda source, keep: " UNION ALL ".join(f"SELECT {keep}, {h} AS horizon, fwd_{h} * 100 AS ret, mfe_{h} * 100 AS mfe, mae_{h} * 100 AS mae FROM {source}" for h in H)
 PATTERN_SQL = BARS_SQL.replace("bars AS (", "bars0 AS (", 1) + f", bars AS (SELECT *, {FWD_SQL}, {EXC_SQL} FROM bars0 {FWD_FRAMES})" + CANDLE_CTES + RANGE_CTE.format(source="cf") + ", hits AS (" + hits_sql(
-    "rf", S.CANDLES | S.RANGE_EVENTS, ", ".join(f"fwd_{h}, mfe_{h}, mae_{h}" for h in H)
+    "rf", K.CANDLES | S.RANGE_EVENTS, ", ".join(f"fwd_{h}, mfe_{h}, mae_{h}" for h in H)
 ) + "), st AS (" + STACK("hits", "signal") + f") SELECT signal, horizon, {STAT_COLS}, round(avg(mfe), 4) AS mfe, round(avg(mae), 4) AS mae FROM st WHERE ret IS NOT NULL GROUP BY signal, horizon"
 BASELINE_SQL = BARS_SQL + f""", s0 AS (SELECT *, close - lag(close) OVER b AS diff, {full('avg(close)', 9)} AS sma9, {full('avg(close)', 20)} AS sma20, {full('avg(close)', 50)} AS sma50, {FWD_SQL}, {EXC_SQL} FROM bars {FWD_FRAMES}),
 s1 AS (SELECT *, {full('avg(greatest(diff, 0))', 14, 'diff')} AS gain, {full('avg(greatest(-diff, 0))', 14, 'diff')} AS loss, lag(sma9) OVER b AS sma9_1, lag(sma20) OVER b AS sma20_1 FROM s0 {FRAMES}),
@@ -118,8 +117,8 @@ def q_sustained(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_candles(spark: SparkSession, sf: str) -> DataFrame:
-    hits = S.long_form(S.candle_frame(daily_bars(spark, sf)), S.CANDLES, ["symbol", "trade_date"])
-    return hits.withColumn("bias", S.bias(F.col("signal")))
+    hits = S.long_form(K.candle_frame(daily_bars(spark, sf)), K.CANDLES, ["symbol", "trade_date"])
+    return hits.withColumn("bias", K.bias(F.col("signal")))
 
 
 def q_range_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,8 +131,8 @@ def q_spring_combos(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_pattern_stats(spark: SparkSession, sf: str) -> DataFrame:
-    f = S.with_forward(S.range_frame(S.candle_frame(daily_bars(spark, sf))))
-    hits = S.long_form(f, S.CANDLES | S.RANGE_EVENTS, [c for h in H for c in (f"fwd_{h}", f"mfe_{h}", f"mae_{h}")])
+    f = S.with_forward(S.range_frame(K.candle_frame(daily_bars(spark, sf))))
+    hits = S.long_form(f, K.CANDLES | S.RANGE_EVENTS, [c for h in H for c in (f"fwd_{h}", f"mfe_{h}", f"mae_{h}")])
     return S.return_stats(S.stacked_horizons(hits, ["signal"]), ["signal", "horizon"], "ret", means=("mfe", "mae"))
 
 

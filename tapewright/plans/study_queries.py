@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.operators import pivots as V
+from tapewright.operators import candles as K
 from tapewright.operators import signals as S
 from tapewright.operators import statistics as T
 from tapewright.plans.indicator_queries import FRAMES, full
 from tapewright.plans.signal_queries import CANDLE_CTES, hits_sql
 from tapewright.sources.panels import BARS_SQL, daily_bars
 
-EVENTS = BARS_SQL + CANDLE_CTES + ", fx AS (SELECT *, lead(close, 10) OVER b / close - 1 AS fwd FROM cf WINDOW b AS (PARTITION BY symbol ORDER BY bar_ix)), ev AS (" + hits_sql("fx", S.CANDLES, "symbol, trade_date, bar_ix, fwd", "fwd IS NOT NULL") + ")"
+EVENTS = BARS_SQL + CANDLE_CTES + ", fx AS (SELECT *, lead(close, 10) OVER b / close - 1 AS fwd FROM cf WINDOW b AS (PARTITION BY symbol ORDER BY bar_ix)), ev AS (" + hits_sql("fx", K.CANDLES, "symbol, trade_date, bar_ix, fwd", "fwd IS NOT NULL") + ")"
 WILSON_SQL = EVENTS + """, a AS (SELECT signal, count(*) AS n, CAST(sum(CASE WHEN fwd > 0 THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM ev GROUP BY signal), z AS (SELECT *, CAST(hits AS DOUBLE) / n AS p, 3.8416 AS zz FROM a)
 SELECT signal, n, hits, round(p, 6) AS share, round((p + zz / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + zz / (4.0 * n * n))) / (1 + zz / n), 6) AS low, round((p + zz / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + zz / (4.0 * n * n))) / (1 + zz / n), 6) AS high FROM z"""
 CLUSTER_SQL = EVENTS + """, c AS (SELECT signal, trade_date, count(*) AS m, sum(fwd) AS s FROM ev GROUP BY signal, trade_date), a AS (SELECT signal, sum(s) / sum(m) AS mean, CAST(sum(m) AS BIGINT) AS n, count(*) AS clusters FROM c GROUP BY signal),
@@ -57,8 +58,8 @@ FROM d JOIN bars ON bars.symbol = d.symbol AND bars.bar_ix > fx AND bars.bar_ix
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
-    f = S.candle_frame(daily_bars(spark, sf)).withColumn("fwd", S.P.lead("close", 10) / F.col("close") - 1)
-    return S.long_form(f.filter("fwd is not null"), S.CANDLES, ["symbol", "trade_date", "bar_ix", "fwd"])
+    f = K.candle_frame(daily_bars(spark, sf)).withColumn("fwd", S.P.lead("close", 10) / F.col("close") - 1)
+    return S.long_form(f.filter("fwd is not null"), K.CANDLES, ["symbol", "trade_date", "bar_ix", "fwd"])
 
 
 def q_wilson(spark, sf):
@@ -98,8 +99,8 @@ def q_trade_stats(spark, sf):
 
 
 def q_walk_forward(spark, sf):
-    f = T.split_position(S.candle_frame(daily_bars(spark, sf)).withColumn("fwd", S.P.lead("close", 10) / F.col("close") - 1))
-    return T.walk_forward(S.long_form(f.filter("fwd is not null"), S.CANDLES, ["fwd", "part"]), "fwd")
+    f = T.split_position(K.candle_frame(daily_bars(spark, sf)).withColumn("fwd", S.P.lead("close", 10) / F.col("close") - 1))
+    return T.walk_forward(S.long_form(f.filter("fwd is not null"), K.CANDLES, ["fwd", "part"]), "fwd")
 
 
 def q_bootstrap(spark, sf):

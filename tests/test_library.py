@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions import scalars
 from tapewright.functions.windows import asof_backward, run_length
+from tapewright.operators import candles as candle_rules
 from tapewright.operators import evidence, indicators, kernels, pivots, signals, statistics
 from tapewright.sources import readers
 
@@ -45,7 +46,7 @@ def test_kernels_equal_pandas_ewm(spark):
     assert np.allclose(got["macd_signal"], macd.ewm(span=9, adjust=False).mean())
 
 
-@pytest.mark.parametrize("build", [lambda b: indicators.trend(b), lambda b: indicators.volume(b), lambda b: kernels.recursive(b), lambda b: kernels.supertrend(b), lambda b: signals.candle_frame(b), lambda b: signals.range_frame(b)])
+@pytest.mark.parametrize("build", [lambda b: indicators.trend(b), lambda b: indicators.volume(b), lambda b: kernels.recursive(b), lambda b: kernels.supertrend(b), lambda b: candle_rules.candle_frame(b), lambda b: signals.range_frame(b)])
 def test_the_future_changes_nothing(spark, build):
     """Cutting the future off leaves the past as it was."""
     p = walk(200)
@@ -62,7 +63,7 @@ def test_pivots_are_known_only_when_confirmed(spark):
 
 def test_golden_candles(spark):
     rows = [(10, 11, 9, 10)] * 12 + [(10, 10.2, 8.9, 9), (8.8, 10.4, 8.7, 10.3)]
-    got = signals.long_form(signals.candle_frame(spark.createDataFrame(candles([tuple(map(float, r)) for r in rows]), BARS)), signals.CANDLES, ["bar_ix"]).filter("bar_ix = 14").collect()
+    got = signals.long_form(candle_rules.candle_frame(spark.createDataFrame(candles([tuple(map(float, r)) for r in rows]), BARS)), candle_rules.CANDLES, ["bar_ix"]).filter("bar_ix = 14").collect()
     assert "Bullish engulfing" in {r.signal for r in got}
 
 
