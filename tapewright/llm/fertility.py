@@ -10,8 +10,8 @@ fall back to bytes, and repetition has low entropy.
 Base figures beside them (words are runs of other than ASCII white space): see
 ``base_figures``.
 
-The vocabulary file is read by the driver (its path is a parameter) and sent to the tasks;
-it is under 2 MB whatever the corpus.  Rows are scored where they lie, without a shuffle.
+The vocabulary file is sent to the tasks; it is under 2 MB whatever the corpus.  Its path is a parameter:
+a plain path is one of the driver's machine, one with a scheme is read through Spark.  Rows are scored where they lie, without a shuffle.
 
 Defined results: null texts have no words, so they fail the base rules; a text without
 tokens has null measures; an unknown language falls to its script's band; repeated rows are
@@ -25,6 +25,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,9 @@ from tapewright.llm.common import column_or_null
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the public pre-tokenisation pattern of the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs of white space (Unicode's property, as in PATTERN) that are cut out before the pattern meets them: its look-ahead
+#: steps back over a run one by one and gives up on very long ones.
+_LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{65536,}")
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _SPACES = " \t\n\r\x0b\x0c"
 SCORES = (
@@ -104,9 +108,20 @@ class Vocabulary:
             except UnicodeDecodeError:
                 self.fragment[k] = True
 
+    def tokens(self, text: str) -> np.ndarray:
+        """The pattern makes one piece of a run of white space but for its last character where more text follows;
+        before and behind that piece it matches as if these were texts of their own."""
+        parts, at = [], 0
+        for run in _LONG_RUN.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            parts += [self.encoding.encode_to_numpy(text[at : run.start()], disallowed_special=()), self.encoding._encode_single_piece(text[run.start() : end])]
+            at = end
+        rest = self.encoding.encode_to_numpy(text[at:], disallowed_special=())
+        return np.concatenate([*parts, rest]).astype(np.int64) if parts else rest
+
     def measures(self, text: str) -> tuple[int, float, float, float] | None:
         """Tokens, characters per token, byte-fallback share, entropy in bits."""
-        ids = self.encoding.encode_to_numpy(text, disallowed_special=())
+        ids = self.tokens(text)
         n = len(ids)
         if not n:
             return None
@@ -150,7 +165,10 @@ def score_text(vocab: Vocabulary, lang: str | None, text: str | None) -> tuple:
 
 
 def _pass(docs: DataFrame, columns: list[str], schema, path: str, whole: bool) -> DataFrame:
-    data = b"\n".join(bytes(r[0]) for r in docs.sparkSession.read.format("binaryFile").load(path).select("content").collect())
+    if "://" in path:
+        data = b"\n".join(bytes(r[0]) for r in docs.sparkSession.read.format("binaryFile").load(path).select("content").collect())
+    else:
+        data = Path(path).read_bytes()
     sent = docs.sparkSession.sparkContext.broadcast(data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
