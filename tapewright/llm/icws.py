@@ -1,10 +1,13 @@
 """Near-duplicate classes by improved consistent weighted sampling.
 
 A text is a weighted set of its runs of five words (lower-cased): weight = (1 + ln tf) times a
-smoothed inverse document frequency.  The document frequencies of the whole corpus are
-kept in a sketch of ``2 ** SKETCH_BITS`` counters, so what is sent to the tasks has a fixed size;
-the smoothing keeps weights within a fifth of each other (``IDF_SHARE``), for otherwise
-the very copies in a large group would push down the weight of what they share.
+smoothed inverse document frequency.  The rarity of a run is the mean of its words' inverse document
+frequencies, which are exact counts over the whole corpus: the share of documents that hold a word does not
+depend on the size of the corpus, so a pair of texts is as similar in a large corpus as in a small one.
+Words in fewer than ``RARE`` of the documents are equally rare, so the words sent to the tasks are at most
+the mean number of words in a document divided by ``RARE``, and never more than ``WORDS`` (the limit of rarity
+is doubled until they fit).  The smoothing keeps weights within a factor of two (``IDF_SHARE``), for otherwise the
+very copies in a large group would push down the weight of what they share.
 
 Improved consistent weighted sampling draws ``BANDS * ROWS`` samples of each text; two texts
 agree on a sample with probability equal to their weighted Jaccard similarity.  Texts that
@@ -49,22 +52,28 @@ from tapewright.llm.word_hash import word_hashes
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
-SKETCH_BITS = 16
-IDF_SHARE = 0.2
+IDF_SHARE = 0.5
+RARE = 2.0**-12
+WORDS = 1 << 20
+#: Words that a task counts before it hands them on.
+PENDING = 1 << 21
+#: Members of a bucket beyond which its rows are not sent to the task of their key.
+HOT = 4096
+#: Most buckets that count as hot: what is broadcast to spread them.
+HOT_KEYS = 1 << 15
 HUB_PAIRS = 64
 
 
-def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted 64-bit hashes of a text's shingles, and how often each occurs."""
-    h = word_hashes(text)
+def shingles(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted 64-bit hashes of the shingles of words ``h``, where each first stands, and how often each occurs."""
     if not len(h):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     width = min(SHINGLE, len(h))
     out = np.full(len(h) - width + 1, width, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(width):
             out = out * _A + h[k : k + len(out)]
-    return np.unique(_mix(out), return_counts=True)
+    return np.unique(_mix(out), return_index=True, return_counts=True)
 
 
 def _gamma_quantiles(n: int) -> np.ndarray:
@@ -80,20 +89,27 @@ def _gamma_quantiles(n: int) -> np.ndarray:
 
 
 class Sampler:
-    """Weights under a document-frequency sketch, samples and band keys of a text."""
+    """Weights under document frequencies (words in order, documents of each), samples and band keys of a text."""
 
-    def __init__(self, counts: np.ndarray, n_docs: int):
-        beyond = np.maximum(counts - np.median(counts), 0.0)  # above what chance puts in any counter
-        idf = np.log((n_docs + 1.0) / (beyond + 1.0)) / np.log(n_docs + 2.0)
-        self.idf = 1.0 - IDF_SHARE + IDF_SHARE * np.clip(idf, 0.0, 1.0)
+    def __init__(self, words: np.ndarray, docs: np.ndarray, n_docs: int, floor: float = 1.0):
+        self.words, top = words, np.log((n_docs + 1.0) / floor)
+        self.rarity = np.append(np.log((n_docs + 1.0) / np.maximum(docs, floor)) / top, 1.0)  # last: of all other words
         r = _gamma_quantiles(1 << 12)
         self.r, self.inv_r = r.astype(np.float32), (1.0 / r).astype(np.float32)
         self.ln_c = np.log(_gamma_quantiles(1 << 16)).astype(np.float32)
         self.seeds = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _A)
 
     def weighted(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        x, tf = shingles(text)
-        return x, (1.0 + np.log(tf)) * self.idf[(x >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] if len(x) else np.empty(0)
+        h = word_hashes(text)
+        x, first, tf = shingles(h)
+        if not len(x):
+            return x, np.empty(0)
+        at = np.searchsorted(self.words, h)
+        if len(self.words):
+            at[self.words[np.minimum(at, len(self.words) - 1)] != h] = len(self.words)
+        word, width = self.rarity[at], min(SHINGLE, len(h))
+        rarity = sum(word[first + k] for k in range(width)) / width  # in this order, so equal shingles weigh the same to the last bit
+        return x, (1.0 + np.log(tf)) * (1.0 - IDF_SHARE + IDF_SHARE * rarity)
 
     def bands(self, x: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """A key for each band.  For each sample and shingle r, c ~ Gamma(2, 1) and b ~ U(0, 1) come from
@@ -133,30 +149,49 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(low / (a[1].sum() + b[1].sum() - low))
 
 
-def frequency_sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents by counter over all rows, and the number of rows.  The driver gets one row for each
-    counter, whatever the corpus."""
+def _merged(words: list[np.ndarray], docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(np.concatenate(words), return_inverse=True)
+    return found, np.bincount(at, np.concatenate(docs), len(found)).astype(np.int64)
+
+
+def word_frequencies(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int, float]:
+    """The words in at least ``RARE`` of the documents by hash, the documents that hold each, the number of all
+    documents, and the limit of rarity."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(1 << SKETCH_BITS, np.int64), 0
+        words, n = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        hand_on = lambda w, n: pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], ["word", "docs"])
+        size = 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                at = (shingles(text)[0] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                total[at[np.flatnonzero(np.diff(at, prepend=-1))]] += 1  # hashes come sorted: each counter once
-                n += 1
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(total[at], n), pa.int64())], ["counter", "docs"]
-        )
-
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(count, "counter int, docs long").groupBy("counter").agg(F.sum("docs"))
-    out, n = np.zeros(1 << SKETCH_BITS), 0
-    for counter, docs_there in rows.collect():
-        if counter < 0:
-            n = docs_there
-        else:
-            out[counter] = docs_there
-    return out, n
+                words.append(np.unique(word_hashes(text)))
+                n.append(np.ones(len(words[-1]), np.int64))
+                size += len(words[-1])
+                if size > 2 * PENDING:
+                    w, m = _merged(words, n)
+                    if len(w) > PENDING:
+                        yield hand_on(w, m)
+                        w, m = w[:0], m[:0]
+                    words, n, size = [w], [m], len(w)
+        yield hand_on(*_merged(words, n))
+
+    n_docs = docs.count()
+    floor = max(1.0, RARE * n_docs)
+    counted = docs.select(F.col("text").cast("string")).mapInArrow(count, "word long, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
+    frequent = cut(counted.filter(F.col("docs") >= floor), "icws-words")
+    while frequent.count() > WORDS:
+        floor *= 2
+        frequent = frequent.filter(F.col("docs") >= floor)
+    found = frequent.toArrow()
+    words, n = (found.column(c).to_numpy() for c in ("word", "docs"))
+    order = np.argsort(words.view(np.uint64))
+    return words.view(np.uint64)[order], n[order], n_docs, floor
+
+
+def _by_bucket(rows: DataFrame, table: DataFrame, hot: DataFrame) -> DataFrame:
+    """``rows`` joined to a table of one row for each bucket.  Rows of hot buckets stay where they are."""
+    few = table.join(F.broadcast(hot), "bucket", "left_semi")
+    return rows.join(F.broadcast(few), "bucket").unionByName(rows.join(F.broadcast(hot), "bucket", "left_anti").join(table, "bucket"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -267,7 +302,7 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     """(doc_id, k) of every row, and (k, rep, class_id, class_k) of every distinct text: its smallest doc_id
     and the smallest doc_id of its class, with the text that has it."""
     spark = docs.sparkSession
-    sampler_args = frequency_sketch(docs)
+    sampler_args = word_frequencies(docs)
     sent = spark.sparkContext.broadcast(sampler_args)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,8 +324,11 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     signed = cut(own.select("doc_id", "k", "text").mapInArrow(sign, "doc_id long, k binary, bands array<long>, mass double"), "icws-signed")
     nodes = cut(signed.groupBy("k").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("mass").alias("mass")), "icws-nodes")
     spread = nodes.select("k", "rep", "mass", F.explode("bands").alias("bucket"))
-    sizes = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = cut(spread.join(sizes, "bucket"), "icws-members")
+    sizes = cut(spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "icws-sizes")
+    # buckets above the limit hold more than HOT_KEYS-th of all places, so there are fewer than HOT_KEYS
+    places = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = cut(sizes.filter(F.col("n") > max(HOT, places // HOT_KEYS)).select("bucket"), "icws-hot")
+    members = cut(_by_bucket(spread, sizes, hot), "icws-members")
     company = members.groupBy("k").agg(F.sum("n").alias("company"))
     members = cut(members.join(company, "k").select("bucket", "k", "rep", "mass", "company"), "icws-members")
     wanted = members.select("k", F.col("rep").alias("doc_id")).distinct()
@@ -300,7 +338,7 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     texts = cut(named.groupBy("k").agg(F.first("text").alias("text")), "icws-texts")
     best = F.struct("company", -F.coalesce("rep", F.lit(2**62)), "k")
     hubs = members.groupBy("bucket").agg(F.max_by(F.struct("k", "mass"), best).alias("hub"))
-    members = cut(members.join(hubs, "bucket").filter(F.col("k") != F.col("hub.k")).select("bucket", "k", "mass", "hub"), "icws-members")
+    members = cut(_by_bucket(members, hubs, hot).filter(F.col("k") != F.col("hub.k")).select("bucket", "k", "mass", "hub"), "icws-members")
     # similarity cannot exceed the ratio of the masses
     near = F.least("mass", "hub.mass") >= threshold * F.greatest("mass", "hub.mass") - 1e-9
     pairs = members.filter(near).select(F.col("k").alias("a"), F.col("hub.k").alias("b")).distinct()
@@ -310,7 +348,7 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     own_root = members.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     open_buckets = own_root.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("bucket")
     hub_root = roots.select(F.col("node").alias("b"), F.col("root").alias("hub_root"))
-    open_members = own_root.join(open_buckets, "bucket").select(F.col("k").alias("a"), F.col("hub.k").alias("b"), "root").distinct()
+    open_members = _by_bucket(own_root, open_buckets, hot).select(F.col("k").alias("a"), F.col("hub.k").alias("b"), "root").distinct()
     open_members = open_members.join(hub_root, "b", "left").select("a", "b", "root", (F.col("root") != F.coalesce("hub_root", "b")).alias("outlier"))
     open_members = cut(open_members, "icws-open")
     if open_members.head(1):

@@ -451,8 +451,20 @@ def test_rare_terms_and_equal_examples_are_searched_exactly(monkeypatch):
 
 
 def brute_classes(rows, threshold=0.8):
-    sampler = icws.Sampler(np.zeros(1 << icws.SKETCH_BITS), len(rows))
-    w = [sampler.weighted(r[1]) for r in rows]
+    texts = [re.findall(r"\w+", (r[1] or "").lower()) for r in rows]
+    df = Counter(w for t in texts for w in set(t))
+    top = np.log(len(rows) + 1)
+    sets = []
+    for t in texts:
+        width = min(5, len(t))
+        tf = Counter(tuple(t[i : i + width]) for i in range(len(t) - width + 1)) if t else {}
+        sets.append({x: (1 + np.log(n)) * (0.5 + 0.5 * np.mean([np.log((len(rows) + 1) / df[w]) / top for w in x])) for x, n in tf.items()})
+
+    def similar(i, j):
+        low = sum(min(x, sets[j].get(k, 0)) for k, x in sets[i].items())
+        high = sum(sets[i].values()) + sum(sets[j].values()) - low
+        return bool(high) and low / high >= threshold
+
     root = list(range(len(rows)))
 
     def find(i):
@@ -462,7 +474,7 @@ def brute_classes(rows, threshold=0.8):
 
     for i in range(len(rows)):
         for j in range(i):
-            if (rows[i][1] or "") == (rows[j][1] or "") or icws.weighted_jaccard(w[i], w[j]) >= threshold:
+            if (rows[i][1] or "") == (rows[j][1] or "") or similar(i, j):
                 root[find(i)] = find(j)
     out = defaultdict(list)
     for i in range(len(rows)):
@@ -481,6 +493,14 @@ def near_copies(seed=9):
                 w[rng.randrange(len(w))] = f"edit{rng.randint(0, 10**6)}"
             rows.append((n, " ".join(w), "en", "s", 0))
             n += 1
+    # a group whose members are mostly unlike each other but linked in chains
+    base = [f"h{i}" for i in range(150)]
+    for _ in range(40):
+        w = list(base)
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(len(w))] = f"other{rng.randint(0, 30)}"
+        rows.append((n, " ".join(w), "en", "s", 0))
+        n += 1
     return rows + [(500, None, None, None, 0), (501, "", None, None, 0), (502, "two words", None, None, 0), (503, "Two, words!", None, None, 0), (3, rows[3][1], "en", "s", 0), (None, rows[4][1], "en", "s", 0), (504, "!!", "en", "s", 0)]
 
 
@@ -499,9 +519,41 @@ def test_near_duplicates_against_brute_force(spark, empty):
     assert icws.near_duplicates(empty).collect() == []
 
 
-def test_word_hashes_follow_words():
-    import re
+def test_near_duplicates_with_hot_buckets(spark, monkeypatch):
+    """The same classes where every bucket of more than two counts as hot."""
+    monkeypatch.setattr(icws, "HOT", 2)
+    rows = near_copies(seed=19)
+    classes = defaultdict(list)
+    for r in icws.near_duplicates(spark.createDataFrame(rows, DOCS)).collect():
+        classes[r.class_id].append(-1 if r.doc_id is None else r.doc_id)
+    assert sorted(sorted(v) for v in classes.values()) == brute_classes(rows)
 
+
+def test_word_frequencies_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(icws, "PENDING", 50)
+    rng = random.Random(4)
+    rows = [(i, words(rng, rng.randint(0, 60), 90), "en", "s", 0) for i in range(200)] + [(200, None, None, None, 0)]
+    want = Counter(w for r in rows for w in set((r[1] or "").split()))
+    w, n, n_docs, floor = icws.word_frequencies(spark.createDataFrame(rows, DOCS))
+    assert n_docs == 201 and floor == 1.0 and dict(zip(w.tolist(), n.tolist())) == {icws.word_hashes(x)[0].item(): c for x, c in want.items()}
+    monkeypatch.setattr(icws, "WORDS", 20)
+    w, n, _, floor = icws.word_frequencies(spark.createDataFrame(rows, DOCS))
+    assert len(w) <= 20 and floor > 1 and sorted(n.tolist()) == sorted(c for c in want.values() if c >= floor)
+
+
+def test_weights_do_not_depend_on_the_size_of_the_corpus():
+    """The same shares of documents give nearly the same similarity at 10,000 and at 10,000,000,000 documents."""
+    a, b = (" ".join(f"w{i if i != k else 99}" for i in range(60)) for k in (10, 30))
+    h = np.sort(np.unique(icws.word_hashes(a + " " + b)))
+    share = np.random.default_rng(2).random(len(h))
+    found = []
+    for n in (10**4, 10**10):
+        sampler = icws.Sampler(h, share * n, n, n * icws.RARE)
+        found.append(icws.weighted_jaccard(sampler.weighted(a), sampler.weighted(b)))
+    assert abs(found[0] - found[1]) < 1e-4
+
+
+def test_word_hashes_follow_words():
     rng = random.Random(11)
     for text in ["", " ", "a", "Ab aB ab_1 ab-1", "é É e\u0301 ß ẞ", "漢字 kana カナ", "x\x00y \u2014 \U0001F600 ٣٤", "z" * 5000] + ["".join(rng.choice("abAB _-.é") for _ in range(60)) for _ in range(60)]:
         words = re.findall(r"\w+", text.lower())
@@ -520,7 +572,7 @@ def test_word_hashes_follow_words():
 
 
 def test_samples_agree_as_often_as_the_weighted_jaccard():
-    sampler = icws.Sampler(np.zeros(1 << icws.SKETCH_BITS), 1000)
+    sampler = icws.Sampler(np.empty(0, np.uint64), np.empty(0), 1000)
     rng = np.random.default_rng(3)
     hits = total = 0
     for _ in range(300):
@@ -537,7 +589,7 @@ def test_samples_agree_as_often_as_the_weighted_jaccard():
 def test_delta_prefix_keeps_every_link():
     """Members of one bucket: every pair at the threshold shares a prefix element and passes the filters."""
     rng = random.Random(10)
-    sampler = icws.Sampler(np.zeros(1 << icws.SKETCH_BITS), 1000)
+    sampler = icws.Sampler(np.empty(0, np.uint64), np.empty(0), 1000)
     base = [f"b{i}" for i in range(80)]
     texts = []
     for _ in range(60):
