@@ -63,3 +63,11 @@ def salt_of(*cols: Column) -> Column:
 def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
     """A column of the input by name, or nulls of that type where it has none."""
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A column name that the table does not have, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

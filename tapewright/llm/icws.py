@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import cut, salt_of, text_key
+from tapewright.llm.common import cut, salt_of, text_key, unused
 from tapewright.llm.word_hash import A as _A
 from tapewright.llm.word_hash import B as _B
 from tapewright.llm.word_hash import C as _C
@@ -379,6 +379,7 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     """``docs`` with one row for each class: that of its smallest doc_id."""
     _, classes = text_classes(docs, threshold)
     pick = lambda k, doc_id: F.md5(F.concat_ws("|", F.hex(k), F.coalesce(doc_id.cast("string"), F.lit(""))))
-    kept = classes.filter(F.col("k") == F.col("class_k")).select(pick(F.col("k"), F.col("class_id")).alias("__pick"))
-    marked = docs.withColumn("__pick", pick(text_key(F.col("text").cast("string")), F.col("doc_id").cast("long")))
-    return marked.join(kept, "__pick", "left_semi").dropDuplicates(["__pick"]).drop("__pick")
+    name = unused("pick", docs.columns)
+    kept = classes.filter(F.col("k") == F.col("class_k")).select(pick(F.col("k"), F.col("class_id")).alias(name))
+    marked = docs.withColumn(name, pick(text_key(F.col("text").cast("string")), F.col("doc_id").cast("long")))
+    return marked.join(kept, name, "left_semi").dropDuplicates([name]).drop(name)

@@ -85,10 +85,17 @@ def step_table(sizes: DataFrame, epochs: float) -> DataFrame:
 
 
 def mix_sources(
-    docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 7, rest_rate: float = 1.0
+    docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 7, rest_rate: float = 1.0,
+    replica: str = "replica", mix_key: str = "mix_key",
 ) -> DataFrame:
     """``docs`` with each row repeated by its count, plus ``replica`` (from 0) and ``mix_key``
-    (its place in the global shuffle: rows are dealt to partitions and sorted by it)."""
+    (its place in the global shuffle: rows are dealt to partitions and sorted by it), which replace columns of these
+    names; all other columns are kept."""
+    if weights is not None and not (all(w >= 0 and math.isfinite(w) for w in weights.values()) and any(weights.values())):
+        raise ValueError("weights must be finite, not negative, and not all zero")
+    own = "__"  # of helper columns: a prefix that no column of the table has
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
     steps_by_source = None
     if weights is None:
         found = source_sizes(docs)
@@ -104,7 +111,7 @@ def mix_sources(
     draw = hash_unit(seed, *key)
 
     def below(steps: Column, parts: Column) -> Column:
-        one = F.size(F.filter(steps, lambda s: s <= F.col("__draw")))
+        one = F.size(F.filter(steps, lambda s: s <= F.col(own + "draw")))
         many = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda n, i: n + F.size(F.filter(steps, lambda s: s <= hash_unit(seed, i, *key))))
         return F.when(parts == 1, one).otherwise(many)
 
@@ -113,7 +120,7 @@ def mix_sources(
         parts = max(1, math.ceil(rate / MAX_TABLED))
         steps = F.array(*[F.lit(s) for s in poisson_steps(rate / parts)])
         if parts == 1:
-            return F.size(F.filter(steps, lambda s: s <= F.col("__draw")))
+            return F.size(F.filter(steps, lambda s: s <= F.col(own + "draw")))
         return F.aggregate(
             F.sequence(F.lit(1), F.lit(parts)), F.lit(0),
             lambda n, i: n + F.size(F.filter(steps, lambda s: s <= hash_unit(seed, i, *key))),
@@ -123,20 +130,20 @@ def mix_sources(
     for source, rate in sorted(rates.items()):
         count = F.when(F.col("source") == source, steps_below(rate)).otherwise(count)
     count = F.coalesce(count, steps_below(rest_rate) if rest_rate != 1.0 else F.lit(1))
-    kept = [c for c in docs.columns if c.lower() not in ("replica", "mix_key")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("__draw", draw)
+    kept = [c for c in docs.columns if c.lower() not in (replica.lower(), mix_key.lower())]
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn(own + "draw", draw)
     if steps_by_source is not None:
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        table = steps_by_source.select(F.col("source").alias("__source"), salts.alias("__salt_of"), F.col("parts").alias("__parts"), F.col("steps").alias("__steps"))
-        rows = rows.withColumn("__salt", salt_of(F.col("__draw")))
-        rows = rows.join(table, (F.col("source") == F.col("__source")) & (F.col("__salt") == F.col("__salt_of")), "left").drop("__source", "__salt", "__salt_of")
-        count = F.coalesce(F.when(F.col("__parts").isNotNull(), below(F.col("__steps"), F.col("__parts"))), count)
+        table = steps_by_source.select(F.col("source").alias(own + "source"), salts.alias(own + "salt_of"), F.col("parts").alias(own + "parts"), F.col("steps").alias(own + "steps"))
+        rows = rows.withColumn(own + "salt", salt_of(F.col(own + "draw")))
+        rows = rows.join(table, (F.col("source") == F.col(own + "source")) & (F.col(own + "salt") == F.col(own + "salt_of")), "left").drop(own + "source", own + "salt", own + "salt_of")
+        count = F.coalesce(F.when(F.col(own + "parts").isNotNull(), below(F.col(own + "steps"), F.col(own + "parts"))), count)
     out = (
-        rows.withColumn("__count", count)
-        .drop("__parts", "__steps")
-        .filter("__count > 0")
-        .withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("__count") - 1)))
+        rows.withColumn(own + "count", count)
+        .drop(own + "parts", own + "steps")
+        .filter(F.col(own + "count") > 0)
+        .withColumn(replica, F.explode(F.sequence(F.lit(0), F.col(own + "count") - 1)))
     )
-    place = F.md5(F.concat_ws("|", F.lit(f"mix{seed}"), F.col("__draw").cast("string"), F.col("doc_id").cast("string"), F.col("replica").cast("string")))
-    out = out.withColumn("mix_key", place).drop("__draw", "__count")
-    return out.repartition(F.col("mix_key")).sortWithinPartitions("mix_key")
+    place = F.md5(F.concat_ws("|", F.lit(f"mix{seed}"), F.col(own + "draw").cast("string"), F.col("doc_id").cast("string"), F.col(replica).cast("string")))
+    out = out.withColumn(mix_key, place).drop(own + "draw", own + "count")
+    return out.repartition(F.col(mix_key)).sortWithinPartitions(mix_key)

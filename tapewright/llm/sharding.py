@@ -6,14 +6,15 @@ product with the unit's own (bytes, tokens, rows) vector, all as shares of the t
 
 How the greedy order scales: only units above ``1 / (shards * FINE)`` of some total can
 unbalance a shard by themselves, and there are fewer than ``3 * shards * FINE`` of those
-whatever the input; one task places them.  The small units are dealt by hash into cells;
+whatever the input (24,000 rows of five numbers for 8 shards, 3 million for 1,024); one task places them.  The small units are dealt by hash into cells;
 every cell is packed by its own task against its share of what the large units left free.
 
 Defined results: a null text has no bytes and groups with the empty text; rows with a null
 ``doc_id`` are placed like others; fully repeated rows stay in one group and get slots of
-their own; an empty table gives no rows; other columns of the input are ignored.  A group
-above ``1 / (4 * shards)`` of a total is split by a hash of doc_id into up to 64 pieces,
-since no shard could take it and stay level.
+their own; an empty table gives no rows; other columns of the input are ignored.  Groups stay whole but for those
+with more than ``1 / shards`` of the bytes, tokens or rows: no shard could take such a group and stay level, so
+it is split by a hash of doc_id (of the row where that is null) into up to 64 pieces, whose number is in ``piece``;
+``piece`` is null for groups that stay whole.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ def _pack(pdf: pd.DataFrame, totals: list[float], shares: np.ndarray, turn: int)
 
 
 def plan_shards(docs: DataFrame, n_shards: int = 8) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard, tokens), one row for each
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard, tokens, piece), one row for each
     input row.  ``law`` is ``bytes``: shards hold nearly the same number of bytes."""
     spark = docs.sparkSession
     text = F.col("text")
@@ -74,7 +75,7 @@ def plan_shards(docs: DataFrame, n_shards: int = 8) -> DataFrame:
             F.crc32(utf8(text)).alias("text_crc32"),
             F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long").alias("tokens"),
             text_key(text).alias("k"),
-            salt_of("doc_id").alias("salt"),
+            F.when(F.col("doc_id").isNull(), salt_of(F.monotonically_increasing_id())).otherwise(salt_of("doc_id")).alias("salt"),
         ),
         "shard-rows",
     )
@@ -89,8 +90,8 @@ def plan_shards(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     def share_over(limit: float):
         return F.greatest(*(F.col(d) / max(t, 1.0) for d, t in zip(DIMS, totals))) > limit
 
-    # at most 3 * 4 * n_shards groups can be that large
-    heavy = groups.filter(share_over(1 / (4 * n_shards))).select("k")
+    # at most 3 * n_shards groups can be that large
+    heavy = groups.filter(share_over(1 / n_shards)).select("k")
     units = cut(
         groups.join(F.broadcast(heavy), "k", "left_anti").select("k", F.lit(-1).alias("piece"), *DIMS)
         .unionByName(pieces.join(F.broadcast(heavy), "k", "left_semi").select("k", F.col("salt").alias("piece"), *DIMS)),
@@ -125,10 +126,10 @@ def plan_shards(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     where = placed[0] if len(placed) == 1 else placed[0].unionByName(placed[1])
     where = cut(where.select("k", "piece", "shard"), "shard-where")
     # every (text, salt) learns its shard first: at most SALTS rows for a text, so no text is hot
-    at = pieces.select("k", "salt").join(where, "k").filter("piece = -1 or piece = salt").select("k", "salt", "shard")
+    at = pieces.select("k", "salt").join(where, "k").filter("piece = -1 or piece = salt").select("k", "salt", "shard", "piece")
     n_buckets = max(32, -(-int(totals[2]) // SLOT_ROWS))
     dealt = rows.join(at, ["k", "salt"]).withColumn(
-        "bucket", F.pmod(F.xxhash64("doc_id", "k", F.lit(29)), F.lit(n_buckets)).cast("int")
+        "bucket", F.pmod(F.xxhash64("doc_id", "k", "salt", F.lit(29)), F.lit(n_buckets)).cast("int")
     )
     # slots: rows are numbered within (shard, bucket), and buckets start where the one before ends
     dealt = cut(dealt.drop("salt"), "shard-dealt")
@@ -142,6 +143,6 @@ def plan_shards(docs: DataFrame, n_shards: int = 8) -> DataFrame:
         .select(
             "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
             (F.col("start") + F.col("rank") - 1).cast("long").alias("slot"),
-            F.lit(None).cast("int").alias("grown_shard"), "tokens",
+            F.lit(None).cast("int").alias("grown_shard"), "tokens", F.when(F.col("piece") >= 0, F.col("piece")).alias("piece"),
         )
     )

@@ -4,6 +4,7 @@ very long texts, and columns whose names clash with the operators' own."""
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -59,12 +60,40 @@ def test_shards_cover_rows_and_balance(docs):
     assert all(len(s) == 1 for s in where.values())  # equal texts stay together
 
 
-def test_shards_near_equal_bytes_with_a_hot_text(spark):
+def spread_of(rows):
+    """How far apart the fullest and the emptiest shard are, as shares of the mean, by bytes, tokens and rows."""
+    loads = defaultdict(lambda: np.zeros(3))
+    for r in rows:
+        loads[r.shard] += (r["size"], r.tokens, 1)
+    at = np.array([loads[k] for k in range(8)])
+    return (at.max(axis=0) - at.min(axis=0)) / at.mean(axis=0)
+
+
+@pytest.mark.parametrize("fine, cell", [(sharding.FINE, sharding.CELL_UNITS), (2, 150)])
+def test_shards_near_equal_with_a_hot_text(spark, monkeypatch, fine, cell):
+    """A third of the rows are one text; placed by one task, and in hashed cells."""
+    monkeypatch.setattr(sharding, "FINE", fine)
+    monkeypatch.setattr(sharding, "CELL_UNITS", cell)
     rng = random.Random(2)
     rows = [(i, "the very same text " * 5 if i % 3 == 0 else words(rng, rng.randint(20, 60)), "en", "s", 0) for i in range(3000)]
-    got = sharding.plan_shards(spark.createDataFrame(rows, DOCS), 8).groupBy("shard").sum("size").collect()
-    total = [r[1] for r in got]
-    assert len(total) == 8 and max(total) - min(total) < 0.02 * max(total)
+    rows += [(None, "the very same text " * 5, "en", "s", 0)] * 200
+    got = sharding.plan_shards(spark.createDataFrame(rows, DOCS), 8).collect()
+    assert len(got) == len(rows) and (spread_of(got) < 0.03).all()
+    hot = zlib.crc32(("the very same text " * 5).encode())
+    assert len({r.piece for r in got if r.text_crc32 == hot}) == 64 and {r.piece for r in got if r.text_crc32 != hot} == {None}
+    assert max(Counter((r.shard, r.piece) for r in got if r.doc_id is None).values()) < 20
+
+
+def test_groups_up_to_the_share_of_a_shard_stay_whole(spark):
+    rng = random.Random(3)
+    texts = [f"copy {g} " + words(rng, 30) for g in range(4)]
+    rows = [(i, texts[i % 10] if i % 10 < 4 else words(rng, 30) + f" {i}", "en", "s", 0) for i in range(1000)]  # a tenth of all rows each
+    got = sharding.plan_shards(spark.createDataFrame(rows, DOCS), 8).collect()
+    where = defaultdict(set)
+    for r in got:
+        where[r.text_crc32].add(r.shard)
+    assert all(len(s) == 1 for s in where.values()) and {r.piece for r in got} == {None}
+    assert (spread_of(got) < 0.05).all()
 
 
 def test_place_matches_brute_force():
@@ -233,8 +262,51 @@ def test_leaks(spark, docs, empty):
     assert got == {(1, 1): (1.0, 1), (2, 1): (1.0, 2), (4, 4): (1.0, 1)}
     assert sorted(r.doc_id for r in decontam.drop_leaks(d, bench).collect()) == [3, 5, 6]
     assert decontam.find_leaks(empty, bench).collect() == [] and decontam.find_leaks(d, bench.limit(0)).collect() == []
-    many = spark.createDataFrame([(i, item + f" x{i}") for i in range(40)], "item_id long, text string")
-    assert sum(len(b) for b in decontam.benchmark_blocks(many, 500)) == 40 and len(list(decontam.benchmark_blocks(many, 500))) > 3
+
+
+def test_leaks_against_brute_force(spark):
+    """Whole queries, with the benchmark sent to the tasks and joined by seeds: equal to tiling every pair."""
+    rng = random.Random(14)
+    bench = [(i, words(rng, rng.randint(1, 40), 60)) for i in range(25)] + [(25, "Only, Two"), (25, "only two"), (26, "..."), (27, None), (28, "solo")]
+    rows = []
+    for i in range(60):
+        parts = [words(rng, rng.randint(0, 30), 60)]
+        for _ in range(rng.randint(0, 2)):
+            t = (bench[rng.randrange(25)][1]).split()
+            cut = rng.randint(0, len(t))
+            parts += [" ".join(t[cut:]), words(rng, rng.randint(0, 3), 60), " ".join(t[:cut])]
+        rows.append((i, " ".join(parts) + rng.choice(["", " only two", " Solo!"]), "en", "s", 0))
+    rows += [(3, rows[3][1], "en", "s", 0), (70, None, None, None, 0), (None, rows[4][1], None, None, 0)]
+    want = Counter()
+    items = {(i, tuple(decontam.words_of(t))) for i, t in bench}
+    for doc_id, text, *_ in rows:
+        doc = decontam.words_of(text)
+        for item_id, w in items:
+            if not w:
+                continue
+            ids = {x: n for n, x in enumerate(w)}
+            covered = brute_tiles([ids[x] for x in w], [ids.get(x, -1) for x in doc], min(5, len(w)))
+            if covered >= 0.8 * len(w):
+                want[doc_id, item_id, covered] += 1
+    assert len(want) > 20
+    d, b = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS row", "2 AS item"), spark.createDataFrame(bench, "item_id long, text string")
+    leaking = Counter()
+    for doc_id, text, *_ in rows:
+        leaking[doc_id] += not any(k[0] == doc_id for k in want)
+    for block_bytes in (decontam.BLOCK_BYTES, 0):
+        got = Counter((r.doc_id, r.item_id, r.covered_words) for r in decontam.find_leaks(d, b, block_bytes=block_bytes).collect())
+        assert got == want
+        kept = decontam.drop_leaks(d, b, block_bytes=block_bytes)
+        assert kept.columns == d.columns and Counter(r.doc_id for r in kept.collect()) == +leaking
+
+
+def test_repetitive_texts_are_tiled_in_time():
+    """A place is visited once however often a run is repeated: these would be ten million pairs a width."""
+    item = decontam.words_of("a b c d " * 300)
+    index = decontam.ItemIndex([(1, " ".join(item))])
+    began = time.process_time()
+    found = decontam.leaks_in(index, "a b c d " * 40_000, 0.8)
+    assert [f[2] for f in found] == [1200] and time.process_time() - began < 20
 
 
 # 6 fertility
