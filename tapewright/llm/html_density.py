@@ -8,8 +8,8 @@ smallest density on the path from that node up to the body is the threshold.
 Furniture is taken out before: elements that never hold text of an article (scripts, styles, controls), blocks that
 are links for the most part, and elements whose tag, role, class or id names a menu, header, footer,
 sidebar, notice, advert, form or reader comments.  A name alone is not enough: an element that holds the article or main
-element, or more than half of the page's text outside links, is none of these whatever it is called (comments by name
-may be longer than the article).  Names count as whole words at the start of a class or id, or at its end for words
+element, or more than half of the page's text outside links, is none of these whatever it is called (comments by name,
+and elements whose tag says so, may be longer than the article).  Names count as whole words at the start of a class or id, or at its end for words
 that mean nothing else there, so ``market-share`` is no share bar.
 
 What is kept: the article or main element around the densest node, or else the branch of the body around it.  Branches
@@ -102,7 +102,7 @@ class _Tree(HTMLParser):
     def _furniture(self, tag: str, attrs) -> str:
         in_article = self.opened["article"] > 0 or self.opened["main"] > 0
         if tag in SECTIONS or tag == "header" and not in_article:
-            return tag
+            return tag if tag == "form" else f"<{tag}>"  # a form may be around the whole page
         if tag in ("html", "body", "main"):
             return ""
         for name, value in attrs:
@@ -214,7 +214,7 @@ def _furniture(tree: _Tree) -> tuple[list[bool], float]:
     sentence = [False] * n
     for i in range(1, n):
         sentence[i] = sentence[parents[i]] or tree.tags[i] == "p"
-        named = tree.named[i] and not core[i] and (tree.named[i] in COMMENTS or 2 * (chars[i] - link_chars[i]) <= page)
+        named = tree.named[i] and not core[i] and (tree.named[i] in COMMENTS or tree.named[i].startswith("<") or 2 * (chars[i] - link_chars[i]) <= page)
         links = tree.tags[i] in BLOCK and not sentence[i] and tree.tags[i] not in ("html", "body", "main", "article")
         links = links and link_tags[i] >= LINKS_LEAST and link_chars[i] >= LINK_SHARE * chars[i]
         out[i] = out[i] or out[parents[i]] or bool(named) or links
