@@ -35,20 +35,34 @@ def cluster_interval(df: DataFrame, by: list[str], cluster: str, value: str, z:
     return out.select(*by, "n", "clusters", F.round("mean", 6).alias("mean"), F.round(se, 6).alias("se"), F.round(F.col("mean") - z * se, 6).alias("low"), F.round(F.col("mean") + z * se, 6).alias("high"))
 
 
+_SUMS = ("xy", "x", "y", "xx", "m")
+
+
 def two_way_effect(df: DataFrame, flag: str, value: str, a: str, b: str) -> DataFrame:
     """Difference of means between flagged and other rows, with a variance clustered both ways:
     by a, plus by b, minus by both.  Only sums by cluster are shuffled."""
     x, y = F.col(flag).cast("double"), F.col(value)
-    m = df.agg(F.count("*").alias("n"), F.avg(x).alias("xbar"), (F.covar_pop(x, y) / F.var_pop(x)).alias("effect"), F.avg(y).alias("ybar"), (F.var_pop(x) * F.count("*")).alias("sxx"))
-    scored = df.select(F.col(a).alias("__a"), F.col(b).alias("__b"), x.alias("__x"), y.alias("__y")).crossJoin(F.broadcast(m))  # m is one row
-    score = (F.col("__x") - F.col("xbar")) * (F.col("__y") - F.col("ybar") - F.col("effect") * (F.col("__x") - F.col("xbar")))
-    cells = scored.groupBy("__a", "__b").agg(F.sum(score).alias("u"))
-
-    def squares(*keys):
-        return cells.groupBy(*keys).agg(F.sum("u").alias("u")).agg(F.sum(F.col("u") * F.col("u")).alias("v"))
-
-    v = squares("__a").select(F.col("v").alias("va")).crossJoin(squares("__b").select(F.col("v").alias("vb"))).crossJoin(squares("__a", "__b").select(F.col("v").alias("vab")))
-    out = m.crossJoin(v).withColumn("se", F.sqrt(F.greatest(F.col("va") + F.col("vb") - F.col("vab"), F.lit(0.0))) / F.col("sxx"))
+    # a cell is one (a, b): its sums are all that the estimate and the three variances need, so the rows are read once
+    cells = df.select(F.col(a).alias("a"), F.col(b).alias("b"), x.alias("x"), y.alias("y")).filter("x IS NOT NULL AND y IS NOT NULL").groupBy("a", "b").agg(
+        F.count("*").alias("m"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx")
+    )
+    # every way to cluster, and all rows together, as one pass of partial sums: (a, b), a, b, ()
+    sums = cells.groupingSets([["a", "b"], ["a"], ["b"], []], "a", "b").agg(F.grouping_id().alias("way"), *[F.sum(c).alias(c) for c in ("m", "x", "y", "xy", "xx")])
+    every = lambda c: F.max(F.when(F.col("way") == 3, F.col(c))).over(Window.partitionBy())
+    # the squares of a cluster's score need the estimate: expand u = sum (x - X)(y - Y - e (x - X)) into the sums
+    by_way = sums.groupBy("way").agg(*[F.first(c).alias(c) for c in ("m", "x", "y", "xy", "xx")], *[
+        F.sum(F.col(p) * F.col(q)).alias(f"{p}_{q}") for i, p in enumerate(_SUMS) for q in _SUMS[i:]
+    ])
+    t = by_way.withColumns({f"all_{c}": every(c) for c in ("m", "x", "y", "xy", "xx")})
+    n, xm, ym = F.col("all_m"), F.col("all_x") / F.col("all_m"), F.col("all_y") / F.col("all_m")
+    sxx = F.col("all_xx") - n * xm * xm
+    effect = F.try_divide(F.col("all_xy") - n * xm * ym, sxx)
+    # u as a linear form in a cluster's sums
+    form = {"xy": F.lit(1.0), "x": -ym + 2 * effect * xm, "y": -xm, "xx": -effect, "m": xm * ym - effect * xm * xm}
+    squares = sum((F.col(f"{p}_{q}") * form[p] * form[q] * (1 if p == q else 2) for i, p in enumerate(_SUMS) for q in _SUMS[i:]), F.lit(0.0))
+    sign = F.when(F.col("way") == 0, -1).when(F.col("way") == 3, 0).otherwise(1)
+    out = t.select(n.alias("n"), effect.alias("effect"), sxx.alias("sxx"), (sign * squares).alias("v")).groupBy("n", "effect", "sxx").agg(F.sum("v").alias("v"))
+    out = out.withColumn("se", F.sqrt(F.greatest(F.col("v"), F.lit(0.0))) / F.col("sxx"))
     out = out.withColumn("t", F.try_divide(F.col("effect"), F.col("se")))
     return out.select("n", F.round("effect", 8).alias("effect"), F.round("se", 8).alias("se"), F.round("t", 4).alias("t"))
 

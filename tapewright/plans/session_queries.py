@@ -53,18 +53,26 @@ a AS (SELECT symbol, session_date, count(*) AS bars, CAST(max(gap) AS INT) AS ma
 SELECT *, array_to_string(list_filter([CASE WHEN bars < 0.95 * 24 THEN 'missing_bars' END, CASE WHEN max_gap > 3 THEN 'gap' END, CASE WHEN zero_volume > 0 THEN 'zero_volume' END, CASE WHEN bad_price > 0 THEN 'bad_price' END], lambda x: x IS NOT NULL), ',') AS issues,
   CASE WHEN bad_price > 0 THEN 'ANOMALY' WHEN bars < 0.95 * 24 THEN 'INCOMPLETE' ELSE 'COMPLETE' END AS status FROM a"""
 
-HEAD_CTE = "WITH h AS (SELECT doc_id, source, lang, string_split(coalesce(text, ''), chr(10))[1] AS title FROM documents)"
+#: Stems, themes and weights of the test corpus, whose prose is invented.
+POSITIVE = {"heer": 2.0, "onre": 1.5, "tioned": 1.0, "erat": 0.5}
+NEGATIVE = {"thst": 2.0, "erea": 1.5, "idiot": 3.0, "stupid": 3.0}
+HIGH = ("tion", "ment")
+THEMES = {"energy": ("ther", "heat"), "banking": ("and", "inth"), "transport": ("ouhe", "shre")}
+GROUPS = {"sector": {"the": 1, "tion": 2, "ther": 3}, "macro": {"and": 1, "anti": 2}, "noise": {"idiot": -3, "clown": -3}}
+SOURCE_BONUS, RELEVANT = {"src1": 2, "src2": 3}, 3
+HEAD_CTE = """WITH ls AS (SELECT doc_id, source, lang, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+h AS (SELECT * FROM (SELECT doc_id, source, lang, CAST(unnest(range(len(ls))) AS INT) AS line, unnest(ls) AS title FROM ls) WHERE trim(title) <> '')"""
 _cnt = lambda words: " + ".join(f"contains(lower(title), '{w}')::INT" for w in words)
 _wsum = lambda d: " + ".join(f"CASE WHEN contains(lower(title), '{w}') THEN {v} ELSE 0 END" for w, v in d.items())
 _any = lambda words: " OR ".join(f"contains(lower(title), '{w}')" for w in words)
-CLASSIFY_SQL = HEAD_CTE + f", s AS (SELECT *, {_cnt(X.POSITIVE)} AS pos, {_cnt(X.NEGATIVE)} AS neg FROM h) SELECT doc_id, CAST(pos AS INT) AS pos, CAST(neg AS INT) AS neg, CASE WHEN pos > neg THEN 'POSITIVE' WHEN neg > pos THEN 'NEGATIVE' ELSE 'NEUTRAL / REVIEW' END AS direction, CASE WHEN {_any(X.HIGH)} THEN 'HIGH' ELSE 'MEDIUM' END AS materiality FROM s"
-SENTIMENT_SQL = HEAD_CTE + f""", s AS (SELECT source, greatest(-4, least(4, ({_wsum(X.POSITIVE)}) - ({_wsum(X.NEGATIVE)}))) AS s FROM h), a AS (SELECT source, count(*) AS n, avg(s) AS avg FROM s GROUP BY source),
+CLASSIFY_SQL = HEAD_CTE + f", s AS (SELECT *, {_cnt(POSITIVE)} AS pos, {_cnt(NEGATIVE)} AS neg FROM h) SELECT doc_id, line, CAST(pos AS INT) AS pos, CAST(neg AS INT) AS neg, CASE WHEN pos > neg THEN 'POSITIVE' WHEN neg > pos THEN 'NEGATIVE' ELSE 'NEUTRAL / REVIEW' END AS direction, CASE WHEN {_any(HIGH)} THEN 'HIGH' ELSE 'MEDIUM' END AS materiality FROM s"
+SENTIMENT_SQL = HEAD_CTE + f""", s AS (SELECT source, greatest(-4, least(4, ({_wsum(POSITIVE)}) - ({_wsum(NEGATIVE)}))) AS s FROM h), a AS (SELECT source, count(*) AS n, avg(s) AS avg FROM s GROUP BY source),
 r AS (SELECT *, round(greatest(0, least(100, 50 + avg * 11 * least(1.0, n / 4.0))), 4) AS score FROM a) SELECT source, n, score::DOUBLE AS score, CASE WHEN score > 56 THEN 'positive' WHEN score < 44 THEN 'negative' ELSE 'neutral' END AS direction, CASE WHEN n >= 3 AND abs(score - 50) >= 6 THEN 'medium' ELSE 'low' END AS confidence FROM r"""
-THEME_SQL = HEAD_CTE + ", t AS (" + " UNION ALL ".join(f"SELECT doc_id, source, '{n}' AS theme FROM h WHERE {_any(w)}" for n, w in X.THEMES.items()) + ") SELECT theme, source, count(*) AS headlines FROM t GROUP BY theme, source"
-_grp = ", ".join("greatest(" + ", ".join(f"CASE WHEN regexp_matches(low, '(^|[^a-z0-9]){t}($|[^a-z0-9])') THEN {w} END" for t, w in terms.items()) + f") AS g_{g}" for g, terms in X.GROUPS.items())
-RELEVANCE_SQL = HEAD_CTE + f""", l AS (SELECT doc_id, regexp_replace(lower(title), '[^a-z0-9\\- ]+', ' ', 'g') AS low, CASE source {' '.join(f"WHEN '{s}' THEN {b}" for s, b in X.SOURCE_BONUS.items())} ELSE 0 END AS bonus FROM h), g AS (SELECT *, {_grp} FROM l),
+THEME_SQL = HEAD_CTE + ", t AS (" + " UNION ALL ".join(f"SELECT doc_id, source, '{n}' AS theme FROM h WHERE {_any(w)}" for n, w in THEMES.items()) + ") SELECT theme, source, count(*) AS headlines FROM t GROUP BY theme, source"
+_grp = ", ".join("greatest(" + ", ".join(f"CASE WHEN regexp_matches(low, '(^|[^a-z0-9]){t}($|[^a-z0-9])') THEN {w} END" for t, w in terms.items()) + f") AS g_{g}" for g, terms in GROUPS.items())
+RELEVANCE_SQL = HEAD_CTE + f""", l AS (SELECT doc_id, line, regexp_replace(lower(title), '[^a-z0-9\\- ]+', ' ', 'g') AS low, CASE source {' '.join(f"WHEN '{s}' THEN {b}" for s, b in SOURCE_BONUS.items())} ELSE 0 END AS bonus FROM h), g AS (SELECT *, {_grp} FROM l),
 s AS (SELECT *, CASE WHEN coalesce(g_sector > 0 OR g_macro > 0 OR bonus >= 3, false) THEN coalesce(g_sector, 0) + coalesce(g_macro, 0) + coalesce(g_noise, 0) + bonus ELSE 0 END AS score FROM g)
-SELECT doc_id, CAST(score AS INT) AS score, score >= {X.RELEVANT} AS relevant, array_to_string(list_filter([{', '.join(f"CASE WHEN g_{g} IS NOT NULL THEN '{g}:' || g_{g} END" for g in X.GROUPS)}, CASE WHEN bonus > 0 THEN 'source:+' || bonus END], lambda x: x IS NOT NULL), ';') AS reasons FROM s"""
+SELECT doc_id, line, CAST(score AS INT) AS score, score >= {RELEVANT} AS relevant, array_to_string(list_filter([{', '.join(f"CASE WHEN g_{g} IS NOT NULL THEN '{g}:' || g_{g} END" for g in GROUPS)}, CASE WHEN bonus > 0 THEN 'source:+' || bonus END], lambda x: x IS NOT NULL), ';') AS reasons FROM s"""
 GROUND_SQL = "SELECT doc_id, item_id FROM documents d JOIN (SELECT DISTINCT item_id, text AS quote FROM benchmark) b ON contains(d.text, b.quote)"
 
 SPANS = "spans AS (SELECT o_orderpriority AS policy, CAST(o_orderstatus AS VARCHAR) AS grp, CAST(min(o_orderdate) AS DATE) + CAST(100 * (count(*) % 7) AS INT) AS valid_from, CASE WHEN count(*) % 5 = 0 THEN NULL ELSE CAST(min(o_orderdate) AS DATE) + CAST(100 * (count(*) % 7) + 500 + 100 * (count(*) % 11) AS INT) END AS valid_to FROM orders GROUP BY o_orderpriority, o_orderstatus)"
@@ -119,19 +127,19 @@ def _heads(spark, sf):
 
 
 def q_classify(spark, sf):
-    return X.classify(_heads(spark, sf)).select("doc_id", "pos", "neg", "direction", "materiality")
+    return X.classify(_heads(spark, sf), POSITIVE, NEGATIVE, HIGH).select("doc_id", "line", "pos", "neg", "direction", "materiality")
 
 
 def q_sentiment(spark, sf):
-    return X.score_sources(_heads(spark, sf)).drop("avg")
+    return X.score_sources(_heads(spark, sf), POSITIVE, NEGATIVE).drop("avg")
 
 
 def q_themes(spark, sf):
-    return X.themes(_heads(spark, sf)).groupBy("theme", "source").agg(F.count("*").alias("headlines"))
+    return X.themes(_heads(spark, sf), THEMES).groupBy("theme", "source").agg(F.count("*").alias("headlines"))
 
 
 def q_relevance(spark, sf):
-    return X.relevance(_heads(spark, sf))
+    return X.relevance(_heads(spark, sf), GROUPS, SOURCE_BONUS, RELEVANT)
 
 
 def q_chunks(spark, sf):
@@ -217,7 +225,11 @@ def q_last_n(spark, sf):
 
 def _run_stream(spark: SparkSession, sf: str, build) -> DataFrame:
     """A stream over the events, run to its end in the session's shared folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp()
     root = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
     return alerts.drain(build(alerts.event_stream(spark, f"{sf}/events.parquet")), f"{root}/out", f"{root}/state")
 

@@ -144,3 +144,24 @@ def test_discovery_control(spark):
     got = {r.p: r.q for r in statistics.benjamini_hochberg(spark.createDataFrame([(x,) for x in p], "p double")).collect()}
     raw = [x * 5 / (i + 1) for i, x in enumerate(p)]
     assert all(abs(got[x] - min(1.0, min(raw[i:]))) < 1e-12 for i, x in enumerate(p))
+
+
+def test_grounding_finds_every_letter_for_letter_quote(spark):
+    """Against plain substring search: quotes of any length, that start or end inside words, with letters beyond ASCII, nulls and repeats."""
+    from tapewright.operators import text
+
+    rng = random.Random(4)
+    prose = [" ".join(rng.choice(["ab", "abc", "é", "straße", "x-y", "Big", "big", "of", "漢字"]) for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    docs = list(enumerate(prose)) + [(3, prose[3]), (60, None), (61, "")]
+    quotes = [(i, p[a : a + rng.randint(1, 40)]) for i, p in enumerate(prose) if p for a in [rng.randrange(len(p))]] + [(70, None), (71, ""), (72, "not there at all, I am afraid"), (1, "ab")]
+    got = text.grounded(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(quotes, "item_id long, text string")).collect()
+    want = {(d, i) for d, t in docs for i, q in quotes if q and t and q in t}
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+
+
+def test_headlines_are_all_lines(spark):
+    from tapewright.operators import text
+
+    d = spark.createDataFrame([(1, "a\n\n b \n  ", "s", "en"), (2, None, None, None), (3, "", "s", "en")], "doc_id long, text string, source string, lang string")
+    assert sorted((r.doc_id, r.line, r.title) for r in text.headlines(d).collect()) == [(1, 0, "a"), (1, 2, " b ")]
+    assert text.headlines(d.limit(0)).collect() == []
