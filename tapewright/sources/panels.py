@@ -1,7 +1,7 @@
 """Panels built from raw tables: ticks, daily and weekly bars, intraday bars, quotes, headlines.
 
-Bars come out of one shuffle on the symbol; everything downstream is a window on the same key, so
-the partitioning is used again."""
+Ticks are shuffled once, by symbol and day, and reduced to days where they lie; everything downstream is a window on
+the symbol over these few rows."""
 
 from __future__ import annotations
 
@@ -64,33 +64,39 @@ def _ticks(spark: SparkSession, sf_dir: str, by_nation: bool) -> DataFrame:
     symbol = F.col("n_name" if by_nation else "c_mktsegment")
     sector = F.col("r_name") if by_nation else F.lit("ALL")
     joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(customers, orders.o_custkey == customers.c_custkey)
-    w = Window.partitionBy("symbol").orderBy(*TICK_ORDER)
     step = (F.round(F.col("l_discount") * 100).cast("long") - 5).alias("step")
-    ticks = joined.select(symbol.alias("symbol"), sector.alias("sector"), step, *TICK_ORDER)
-    return ticks.select(
-        "symbol", "sector", F.col("l_quantity").alias("qty"), F.to_date("l_shipdate").alias("trade_date"),
-        F.row_number().over(w).alias("tick_ix"),
-        (100 * F.exp(0.002 * F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)))).alias("px"),
-    )
+    return joined.select(symbol.alias("symbol"), sector.alias("sector"), step, F.to_date("l_shipdate").alias("trade_date"), F.col("l_quantity").alias("qty"), *TICK_ORDER)
 
 
-def _ohlcv(ticks: DataFrame, *keys) -> DataFrame:
-    return ticks.groupBy(*keys).agg(
-        F.min_by("px", "tick_ix").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"),
-        F.max_by("px", "tick_ix").alias("close"), F.sum("qty").alias("volume"), F.count("*").alias("n_ticks"),
-    )
+def _days(ticks: DataFrame) -> DataFrame:
+    """Daily bars.  A price is a function of the sum of all steps so far, and grows with it: steps are summed within each
+    day, days are reduced to their first, highest, lowest and last sum, and only these few rows are summed along
+    the symbol.  No task holds more than the ticks of one symbol and day."""
+    day = Window.partitionBy("symbol", "trade_date").orderBy(*TICK_ORDER)
+    sums = ticks.withColumns({"ix": F.row_number().over(day), "sum": F.sum("step").over(day.rowsBetween(Window.unboundedPreceding, 0))})
+    bars = sums.groupBy("symbol", "trade_date").agg(
+        F.first("sector").alias("sector"), F.min_by("sum", "ix").alias("open"), F.max("sum").alias("high"), F.min("sum").alias("low"),
+        F.max_by("sum", "ix").alias("close"), F.sum("qty").alias("volume"), F.count("*").alias("n_ticks"),
+    )
+    before = F.coalesce(F.sum("close").over(Window.partitionBy("symbol").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bars = bars.withColumn("before", before)
+    price = lambda c: (100 * F.exp(0.002 * (F.col("before") + F.col(c)))).alias(c)
+    return bars.select("symbol", "sector", "trade_date", *map(price, ("open", "high", "low", "close")), "volume", "n_ticks")
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, trade_date, open, high, low, close, volume, n_ticks, bar_ix."""
-    bars = _ohlcv(_ticks(spark, sf_dir, by_nation=False), "symbol", "trade_date")
+    bars = _days(_ticks(spark, sf_dir, by_nation=False)).drop("sector")
     return bars.withColumn("bar_ix", F.row_number().over(Window.partitionBy("symbol").orderBy("trade_date")))
 
 
 def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, sector, week (its Friday), OHLCV, bar_ix: a cross-section with sectors."""
     week = F.date_add(F.date_trunc("week", "trade_date").cast("date"), 4)
-    bars = _ohlcv(_ticks(spark, sf_dir, by_nation=True).withColumn("week", week), "symbol", "sector", "week").drop("n_ticks")
+    bars = _days(_ticks(spark, sf_dir, by_nation=True)).groupBy("symbol", "sector", week.alias("week")).agg(
+        F.min_by("open", "trade_date").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.max_by("close", "trade_date").alias("close"), F.sum("volume").alias("volume"),
+    )
     return bars.withColumn("bar_ix", F.row_number().over(Window.partitionBy("symbol").orderBy("week")))
 
 
