@@ -20,6 +20,7 @@ the input are ignored.  Archive names and contents depend only on the rows of th
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import uuid
 from collections.abc import Iterator
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapewright.llm.common import cut, fresh_path, salt_of, utf8
@@ -46,8 +48,10 @@ RECORD_SCHEMA = (
 )
 
 
-def record_id(page_id: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}')}>"
+def record_id(page_id: int | None, digest: str, repeat: int = 0) -> str:
+    """One for each row: rows of the same page and payload are told apart by the number of the repeat."""
+    name = f"{page_id}:{digest}" + (f":{repeat}" if repeat else "")
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
 
 
 def warc_record(row: dict) -> bytes:
@@ -56,17 +60,20 @@ def warc_record(row: dict) -> bytes:
     body = b"" if revisit else row["payload"]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % row["n"]
     block = http + body
-    uri = (row["url"] or "urn:none").replace("\r", "%0D").replace("\n", "%0A")
+    url = row["url"]
+    uri = (url or "urn:none").replace("\r", "%0D").replace("\n", "%0A")
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(row['page_id'], row['digest'])}",
+        f"WARC-Record-ID: {record_id(row['page_id'], row['digest'], row['repeat'])}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {uri}",
         f"WARC-Payload-Digest: sha256:{row['digest']}",
         f"X-Page-ID: {'' if row['page_id'] is None else row['page_id']}",
         f"X-Payload-Length: {row['n']}",
     ]
+    if uri != url:  # null, empty, or not fit for a header
+        lines.append(f"X-URL: {json.dumps(url)}")
     if revisit:
         lines += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
@@ -116,7 +123,7 @@ class BundleWriter:
     def add(self, row: dict) -> None:
         data = warc_record(row)
         self.index.append(
-            (record_id(row["page_id"], row["digest"]), row["page_id"], self.name, len(self.sizes), self.frame_bytes, len(data))
+            (record_id(row["page_id"], row["digest"], row["repeat"]), row["page_id"], self.name, len(self.sizes), self.frame_bytes, len(data))
         )
         self.frame.append(data)
         self.frame_bytes += len(data)
@@ -162,7 +169,7 @@ def _saver(folder: str):
 
 
 def mark_revisits(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, n, digest, revisit, first: what each record will be."""
+    """page_id, url, payload, n, digest, revisit, first, repeat: what each record will be."""
     p = pages.select("page_id", "url", utf8(F.col("html")).alias("payload")).select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "payload",
         F.octet_length("payload").cast("long").alias("n"),
@@ -175,8 +182,10 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
     shared = units.groupBy("digest").agg(F.min("first").alias("first"), F.sum("rows").alias("rows")).filter("rows > 1")
     # each (payload, salt) learns its response first, so a payload that many pages share is spread
     at = units.select("digest", "salt").join(shared.select("digest", "first"), "digest")
-    return p.join(at, ["digest", "salt"], "left").select(
-        "page_id", "url", "n", "digest", "first",
+    # the join's own partitioning serves: all rows of one page and payload are in one task
+    same = Window.partitionBy("digest", "salt", "page_id").orderBy("url")
+    return p.join(at, ["digest", "salt"], "left").withColumn("repeat", F.row_number().over(same) - 1).select(
+        "page_id", "url", "n", "digest", "first", "repeat",
         (F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"), "payload",
     ).withColumn("payload", F.when(~F.col("revisit"), F.col("payload")))
 
@@ -205,7 +214,7 @@ def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
         if writer:
             writer.close()
 
-    index = mark_revisits(pages).sortWithinPartitions("page_id", "digest", "url").mapInArrow(write, INDEX_SCHEMA)
+    index = mark_revisits(pages).mapInArrow(write, INDEX_SCHEMA)  # in the order of the window
     index.write.parquet(f"{folder}/index")
     return pages.sparkSession.read.schema(INDEX_SCHEMA).parquet(f"{folder}/index")
 
@@ -229,7 +238,7 @@ def parse_record(data: bytes) -> dict:
     return {
         "record_id": head["WARC-Record-ID"],
         "page_id": int(head["X-Page-ID"]) if head["X-Page-ID"].strip() else None,
-        "url": head["WARC-Target-URI"],
+        "url": json.loads(head["X-URL"]) if "X-URL" in head else head["WARC-Target-URI"],
         "record_type": head["WARC-Type"],
         "refers_to": int(head["X-Refers-To-Page-ID"]) if revisit else None,
         "payload_bytes": int(head["X-Payload-Length"]) if revisit else len(payload),

@@ -128,6 +128,8 @@ def test_warc_round_trip(spark):
         want[p, len((h or "").encode()), digest(h), "revisit" if revisit else "response", min(q for q, _, g in rows if g == h and q is not None) if revisit else None] += 1
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in records) == want
     assert all(hashlib.sha256(r.payload).hexdigest() == r.payload_digest for r in records if r.record_type == "response")
+    assert Counter((r.page_id, r.url) for r in records) == Counter((p, u) for p, u, _ in rows)
+    assert len({r.record_id for r in records}) == len({i.record_id for i in index}) == len(rows)  # repeated rows too
     files = {r.path.rpartition("/")[2]: bytes(r.content) for r in spark.read.format("binaryFile").load(folder + "/archives").collect()}
     for i in index:  # random access by the index
         r = warc.read_record(files[i.archive], i.frame, i.offset)
