@@ -1,11 +1,14 @@
 """License notices by an exact set-similarity join against templates.
 
-A text block (a line) matches a template if it holds at least ``CONTAINMENT`` of the
-template's distinct words.  Words are ordered by how many blocks of the whole corpus hold
-them, rare first.  A matching block must hold a word of the template's prefix (all but the
+A text block matches a template if it holds at least ``CONTAINMENT`` of the template's
+distinct words.  A block is a line, or a run of lines without an empty one between them, as
+notices are wrapped: a run counts if neither its first nor its last line can be left out and
+if it has no more than ``SLACK`` times the template's words.  Words are ordered by how many
+lines of the whole corpus hold them, rare first.  A matching block must hold a word of the template's prefix (all but the
 share of words that may be missing), must hold enough template words at all (length filter),
 and the words left behind a shared position must still suffice (positional filter).  What
-passes is verified exactly, so no block that meets the threshold is missed.
+passes is verified exactly, so no block that meets the threshold is missed.  Runs are looked
+for in paragraphs that pass the same filters, by one sweep over the paragraph's lines.
 
 The templates are a constant of the library (or a parameter of checked size); they and the
 counts of their own words are all that is sent to tasks.  Documents are scanned in place.
@@ -13,13 +16,15 @@ counts of their own words are all that is sent to tasks.  Documents are scanned
 Base figures beside the method: where the words of a known phrase stand consecutively.
 
 Defined results: null texts count as empty; repeated rows are scanned each; lines of any
-length are whole blocks; a template that is contained in another matching template of the
-same block adds no label; other columns are ignored.
+length are whole blocks; a template that is contained in another template, matching a block
+that covers its own, adds no label; ``n_blocks`` counts the lines at which a matching block
+starts, ``best_block`` is the first such line of the best block; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CONTAINMENT = 0.9
+SLACK = 2
 MAX_TEMPLATE_WORDS = 100_000
 #: Phrases with their labels, and the wording of common notices.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -65,10 +71,6 @@ _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97
 _BASE = [(tuple(p.encode().split()), label) for p, label in PHRASES.items()]
 
 
-def block_words(line: bytes) -> list[bytes]:
-    return line.split()
-
-
 def as_words(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(_WORDS)
 
@@ -79,9 +81,10 @@ class TemplateIndex:
     def __init__(self, templates: list[tuple[str, str]], frequency: dict[bytes, int], threshold: float):
         self.order: dict[bytes, tuple[int, bytes]] = {}
         self.templates: list[tuple[str, frozenset[bytes], int]] = []
+        self.room: list[int] = []  # words that a run of lines may have
         self.prefixes: dict[bytes, list[tuple[int, int]]] = {}
         for label, text in templates:
-            words = set(as_words(text).split())
+            words = set(listed := as_words(text).split())
             if not words:
                 continue
             need = max(1, math.ceil(threshold * len(words) - 1e-9))
@@ -91,6 +94,7 @@ class TemplateIndex:
             for i, w in enumerate(ranked[: len(words) - need + 1]):
                 self.prefixes.setdefault(w, []).append((len(self.templates), i))
             self.templates.append((label, frozenset(words), need))
+            self.room.append(SLACK * len(listed))
         self.rare = frozenset(self.prefixes)
 
     def matches(self, words: set[bytes]) -> list[tuple[int, float]]:
@@ -111,9 +115,56 @@ class TemplateIndex:
                 found.append((t, shared / len(full)))
         return found
 
-    def labels(self, found: list[tuple[int, float]]) -> set[str]:
-        sets = [self.templates[t][1] for t, _ in found]
-        return {self.templates[t][0] for t, _ in found if not any(self.templates[t][1] < other for other in sets)}
+    def runs(self, t: int, lines: list[list[bytes]]) -> list[tuple[int, int, float]]:
+        """(first, last, containment) of every run of two or more lines that meets a template and would not without its first
+        or its last line."""
+        _, full, need = self.templates[t]
+        own = [full.intersection(line) for line in lines]
+        held: Counter[bytes] = Counter()
+        found, first, size, shared = [], 0, 0, 0
+        for last, line in enumerate(lines):
+            size += len(line)
+            for w in own[last]:
+                held[w] += 1
+                shared += held[w] == 1
+            while first < last:
+                lost = sum(held[w] == 1 for w in own[first])
+                if size <= self.room[t] and shared - lost < need:
+                    break
+                for w in own[first]:
+                    held[w] -= 1
+                shared, size, first = shared - lost, size - len(lines[first]), first + 1
+            if first < last and shared >= need and shared - sum(held[w] == 1 for w in own[last]) < need:
+                found.append((first, last, shared / len(full)))
+        return found
+
+    def labels(self, found: list[tuple[int, int, int, float]]) -> set[str]:
+        """Labels of matches (template, first line, last line, containment)."""
+        kept = set()
+        for t, first, last, _ in found:
+            label, words, _ = self.templates[t]
+            if label not in kept and not any(a <= first and last <= b and words < self.templates[o][1] for o, a, b, _ in found):
+                kept.add(label)
+        return kept
+
+
+def matches_of(index: TemplateIndex, data: bytes) -> list[tuple[int, int, int, float]]:
+    """Every match of a text's lines and runs of lines: (template, first line, last line, containment)."""
+    found, paragraph = [], []
+    for k, line in enumerate([*data.split(b"\n"), b""]):
+        words = line.split()
+        if words:
+            paragraph.append(words)
+            if not index.rare.isdisjoint(words):
+                found += [(t, k, k, share) for t, share in index.matches(set(words))]
+            continue
+        if len(paragraph) > 1:
+            block = set().union(*paragraph)
+            if not index.rare.isdisjoint(block):
+                start = k - len(paragraph)
+                found += [(t, start + a, start + b, share) for t, _ in index.matches(block) for a, b, share in index.runs(t, paragraph)]
+        paragraph = []
+    return found
 
 
 def scan_text(index: TemplateIndex, text: str | None) -> tuple:
@@ -130,19 +181,12 @@ def scan_text(index: TemplateIndex, text: str | None) -> tuple:
                         base.add(label)
                         first = at if first is None else min(first, at)
                         last = at if last is None else max(last, at)
-    labels, best, best_block, n_blocks = set(base), 0.0, None, 0
-    if not index.rare.isdisjoint(words):
-        for k, line in enumerate(data.split(b"\n")):
-            block = set(line.split())
-            if index.rare.isdisjoint(block):
-                continue
-            found = index.matches(block)
-            if found:
-                n_blocks += 1
-                labels |= index.labels(found)
-                top = max(c for _, c in found)
-                if top > best:
-                    best, best_block = top, k
+    found = [] if index.rare.isdisjoint(words) else matches_of(index, data)
+    labels, n_blocks = base | index.labels(found), len({first_line for _, first_line, _, _ in found})
+    best, best_block = 0.0, None
+    for _, first_line, _, share in sorted(found, key=lambda m: m[1]):
+        if share > best:
+            best, best_block = share, first_line
     score = 1.0 if base else best
     return (
         len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score, n_blocks, best_block,
@@ -150,7 +194,7 @@ def scan_text(index: TemplateIndex, text: str | None) -> tuple:
 
 
 def word_frequencies(docs: DataFrame, templates: list[tuple[str, str]]) -> dict[bytes, int]:
-    """Blocks of the whole corpus that hold each template word: a row for each such word."""
+    """Lines of the whole corpus that hold each template word: a row for each such word."""
     wanted = frozenset(w for _, t in templates for w in as_words(t).split())
     if len(wanted) > MAX_TEMPLATE_WORDS:
         raise ValueError(f"{len(wanted)} template words; scan with several sets of templates")

@@ -100,7 +100,7 @@ SELECT doc_id, source, lang, CAST(unnest(range(CAST(n AS BIGINT))) AS BIGINT) AS
 
 
 def _op7_sql() -> str:
-    """Every line against every template, without filters."""
+    """Every line that holds a word of notices against every template; runs of lines are tested by brute force instead."""
     def sql_text(t):
         return "'" + t.replace("'", "''") + "'"
 
