@@ -139,6 +139,10 @@ class Sampler:
                 out = _mix(out * _A + rows[:, k])
         return out.view(np.int64)
 
+    @staticmethod
+    def linked(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], threshold: float) -> bool:
+        return weighted_jaccard(a, b) >= threshold
+
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Sum of the smaller weights over the sum of the larger."""
@@ -223,7 +227,12 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return members.join(hubs, ["b", "salt"]).drop("salt")
 
 
-def _compared(batches: Iterator[pa.RecordBatch], sampler: Sampler):
+def _measure(sent):
+    measure, args = sent.value
+    return measure(*args)
+
+
+def _compared(batches: Iterator[pa.RecordBatch], sampler):
     """(batch, [(weighted a, weighted b)]); a hub's text comes many times in a row."""
     last, last_b = None, None
     for batch in batches:
@@ -240,8 +249,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, sampler_args, threshold: float)
     sent = pairs.sparkSession.sparkContext.broadcast(sampler_args)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, both in _compared(batches, Sampler(*sent.value)):
-            yes = pa.array([weighted_jaccard(x, y) >= threshold for x, y in both], pa.bool_())
+        measure = _measure(sent)
+        for batch, both in _compared(batches, measure):
+            yes = pa.array([measure.linked(x, y, threshold) for x, y in both], pa.bool_())
             yield batch.select(["a", "b"]).filter(yes).rename_columns(["u", "v"])
 
     return _with_texts(pairs, texts).mapInArrow(check, "u binary, v binary")
@@ -274,7 +284,7 @@ def _delta_pairs(open_members: DataFrame, texts: DataFrame, sampler_args, thresh
     kinds = {"a": pa.binary(), "b": pa.binary(), "root": pa.binary(), "outlier": pa.bool_(), "mass": pa.float64(), "total": pa.float64(), "keys": pa.list_(pa.int64()), "rests": pa.list_(pa.float64())}
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, both in _compared(batches, Sampler(*sent.value)):
+        for batch, both in _compared(batches, _measure(sent)):
             found = [delta_prefix(x, y, o, threshold) for (x, y), o in zip(both, batch.column("outlier").to_pylist())]
             yield pa.RecordBatch.from_arrays([
                 *[batch.column(c) for c in ("a", "b", "root", "outlier")], pa.array([float(x[1].sum()) for x, _ in both], pa.float64()),
@@ -299,14 +309,20 @@ def _delta_pairs(open_members: DataFrame, texts: DataFrame, sampler_args, thresh
 
 
 def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, k) of every row, and (k, rep, class_id, class_k) of every distinct text: its smallest doc_id
+    """(doc_id, k, mass) of every row, and (k, rep, class_id, class_k) of every distinct text: its smallest doc_id
     and the smallest doc_id of its class, with the text that has it."""
+    return linked_classes(docs, Sampler, word_frequencies(docs), threshold)
+
+
+def linked_classes(docs: DataFrame, measure, measure_args: tuple, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """:func:`text_classes` by any measure: ``measure(*measure_args)`` gives a text's ``weighted`` set, the ``bands`` that texts meet
+    in, and whether two sets are ``linked``."""
     spark = docs.sparkSession
-    sampler_args = word_frequencies(docs)
+    sampler_args = (measure, measure_args)
     sent = spark.sparkContext.broadcast(sampler_args)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(*sent.value)
+        sampler = _measure(sent)
         for batch in batches:
             done: dict[bytes, tuple] = {}
             out = []
@@ -360,7 +376,7 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     of = cut(of, "icws-classes")
     heads = of.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("no"), "rep", "k")).alias("head"))
     classes = of.join(heads, "root").select("k", "rep", F.col("head.rep").alias("class_id"), F.col("head.k").alias("class_k"))
-    return signed.select("doc_id", "k"), classes
+    return signed.select("doc_id", "k", "mass"), classes
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import decontam, fertility, html_density, icws, license_scan, mixing, pairwise_rank, sharding, toxicity, warc
+from tapewright.llm import decontam, fertility, filter_audit, html_density, icws, license_scan, mixing, ngram_join, pairwise_rank, sharding, token_alignment, toxicity, warc
 from tapewright.session import prepare, table
 
 
@@ -54,11 +54,24 @@ def op10_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_sorted_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return filter_audit.audit_orders(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_ngram_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(prepare(spark), sf_dir, "documents"))
+
+
+def op13_dangling_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_tokens(table(prepare(spark), sf_dir, "documents"))
+
+
 def queries() -> dict:
     own = [
         op1_vector_bin_packing, op2_warc_bundles, op3_composite_text_density, op4_poisson_replication,
         op5_greedy_string_tiling, op6_tokeniser_fertility, op7_license_templates, op8_pairwise_ranking,
-        op9_weighted_minhash, op10_toxic_neighbours,
+        op9_weighted_minhash, op10_toxic_neighbours, op11_sorted_audit, op12_ngram_product, op13_dangling_suffix,
     ]
     return {f.__name__: f for f in own}
 
@@ -99,6 +112,59 @@ SELECT doc_id, source, lang, CAST(unnest(range(CAST(n AS BIGINT))) AS BIGINT) AS
 """
 
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), f AS (
+  SELECT doc_id, part, [
+    len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text),
+    regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)
+  ] AS fails FROM d
+), l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), c AS (
+  SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l ON l.doc_id = f.doc_id GROUP BY part, fails
+), x AS (SELECT i FROM range(1, 6) r(i)),
+o AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS p FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), s AS (
+  SELECT c.*, array_to_string(list_transform(p, lambda i: substr('ABCDE', i, 1)), '') AS filter_order, CAST(k.i AS INTEGER) AS step, p[k.i] AS own, fails[p[k.i]] AS bad,
+    len(list_filter(p[1:k.i - 1], lambda i: fails[i])) > 0 AS gone, len(list_filter(fails, lambda b: b)) AS n_bad
+  FROM c, o, x k
+), r AS (
+  SELECT part, filter_order, step, own, sum(CASE WHEN NOT gone AND NOT bad THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND bad THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN gone AND bad THEN n ELSE 0 END) AS redundant, sum(CASE WHEN bad AND n_bad = 1 THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN NOT gone AND bad THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND bad THEN toxic ELSE 0 END) AS toxic_lost
+  FROM s GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r
+"""
+
+
+OP12_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), g AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS x FROM t
+), e AS (SELECT r, len(x) AS n, unnest(x) AS s FROM g),
+p AS (
+  SELECT a.r AS u, b.r AS v FROM e a JOIN e b ON a.s = b.s AND a.r <> b.r AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)
+  GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), c AS (
+  SELECT r AS node, r AS seen FROM g UNION SELECT c.node, p.v FROM c JOIN p ON p.u = c.seen
+)
+SELECT g.doc_id, CAST(len(any_value(g.x)) AS BIGINT) AS n_shingles, CASE WHEN len(any_value(g.x)) = 0 THEN g.doc_id ELSE min(o.doc_id) END AS component_id
+FROM c JOIN g ON g.r = c.node JOIN g o ON o.r = c.seen GROUP BY g.r, g.doc_id
+"""
+
+
 def _op7_sql() -> str:
     """Every line that holds a word of notices against every template; runs of lines are tested by brute force instead."""
     def sql_text(t):
@@ -145,4 +211,4 @@ FROM b LEFT JOIN s ON s.row_no = b.row_no LEFT JOIN best ON best.row_no = b.row_
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_bundles": OP2_SQL, "op4_poisson_replication": OP4_SQL, "op7_license_templates": _op7_sql()}
+    return {"op2_warc_bundles": OP2_SQL, "op4_poisson_replication": OP4_SQL, "op7_license_templates": _op7_sql(), "op11_sorted_audit": OP11_SQL, "op12_ngram_product": OP12_SQL}

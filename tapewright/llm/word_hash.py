@@ -53,7 +53,11 @@ def word_hashes(text: str | None, inside: np.ndarray | None = None, stem: int =
     """A hash of each run of ``inside`` characters (default: :func:`word_characters`), lower-cased, in order;
     with ``stem``, of the first so many letters of each longer word after them."""
     codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    inside = (word_characters() if inside is None else inside)[codes]
+    return hashed_runs(codes, (word_characters() if inside is None else inside)[codes], stem)
+
+
+def hashed_runs(codes: np.ndarray, inside: np.ndarray, stem: int = 0) -> np.ndarray:
+    """:func:`word_hashes` of code points, as they are, and whether each is inside a word."""
     if len(codes) <= CHUNK:
         return _hash_words(codes, inside, stem)
     parts, at = [], 0
