@@ -8,15 +8,13 @@ that the other side has not met; the next token of the other side either leaves
 the rest of its own bytes, or ends with it, which closes the group.  Every token but the first of a group
 gives one link, to the token that dangles.  Transitions are kept by (state, token), states by (side, bytes).
 
-Texts are cut before a space that stands alone between other characters: A's pattern starts a token there, and so does B, as no
-piece holds a space behind another character (checked when the model is read).  So the tokens of a text are
-those of its stretches, and a stretch that comes again is looked up in a cache of bounded size.
+Long texts are cut before a space that stands alone between other characters: A's pattern starts a token there, and so does B, as no
+piece holds a space behind another character (checked when the model is read).  So the tokens of a text are those of its pieces.
 
 Counts over the whole corpus.  A task hands on *chunks*: documents of up to ``CHUNK_BYTES`` of text (or one larger
-document).  A chunk has each of its stretches once, with their links, and sums of its id pairs; its documents hold the numbers of
-their stretches.  The sums are added over all chunks, the highest for each B id is found, and each chunk gets back the
-counts of its own pairs, which are at most as many as its links.  Nothing is sent to all tasks but the two vocabularies
-(under 4 MB), and no task holds more than a chunk.
+document), each with its distinct id pairs and how often it has them, and the chunk's sums of them.  The sums are added over
+all chunks, the highest for each B id is found, and each chunk gets back the counts of its own pairs, which are at most as many as
+its links.  Nothing is sent to all tasks but the two vocabularies (under 4 MB), and no task holds more than a chunk.
 
 Defined results: texts that are null or empty, or whose joined bytes on either side differ from space + text, have zeros
 and ``''``; of several id pairs with the highest count of their B id all count as best; rows are measured
@@ -28,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -44,15 +43,17 @@ VOCABULARY_A = "/opt/tokenizers/byte_bpe_50k.json"
 VOCABULARY_B = "/opt/tokenizers/piece_bpe_32k.model"
 #: UTF-8 bytes of the documents of a chunk; a longer document is a chunk by itself.
 CHUNK_BYTES = 8 << 20
-#: Stretches kept in a task's cache, and the characters of the longest.
-CACHED, CACHED_CHARS = 1 << 16, 64
+#: Characters that are tokenised at once, about.
+PIECE_CHARS = 1 << 20
+#: UTF-8 bytes of documents whose tokens are held at once; a longer document is by itself.
+AT_ONCE = 1 << 19
 #: Transitions kept before they are found anew.
 KEPT_STEPS = 1 << 20
 #: A lone space between two characters that are no white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: An id pair is one number: A's id times this, plus B's.
 PAIR = 1 << 16
-COLUMNS = "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, parts array<int>, times array<int>, pairs array<long>, ends array<int>"
+COLUMNS = "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>, whole boolean"
 
 
 def read_file(df: DataFrame, path: str) -> bytes:
@@ -81,7 +82,9 @@ class ByteVocabulary(Vocabulary):
         ordinary = set(merges) | set(byte_of)
         ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token in ordinary}
         self.encoding = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.bytes = {i: b for b, i in ranks.items()}
+        self.bytes = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            self.bytes[i] = token
 
 
 class PieceVocabulary:
@@ -108,7 +111,10 @@ class Transducer:
         self.suffixes: list[bytes] = [b""]
         self.numbers: dict[tuple[int, bytes], int] = {}
         self.start: dict[int, int] = {}
-        self.step: dict[tuple[int, int], int] = {}
+        self.step: dict[int, int] = {}
+        #: groups of one token on either side, by their link
+        self.single: dict[int, str] = {}
+        self.names = [str(i) for i in range(max(len(bytes_a), len(bytes_b)))]
 
     def _state(self, side: int, suffix: bytes) -> int:
         """A leads at odd places of the list of states, B at even ones."""
@@ -135,147 +141,141 @@ class Transducer:
             to = self._state(1 - side, other[len(suffix) :])
         if len(self.step) >= KEPT_STEPS:
             self.step.clear()
-        self.step[state, token] = to
+        self.step[state * PAIR + token] = to
         return to
 
-    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[int]]:
-        """(tokens of A and of B up to the end of each group, links as id pairs), for ids whose joined bytes are equal."""
-        closed, links, i, j, step = [], [], 0, 0, self.step
-        while i < len(a):
+    def align(self, a: list[int], b: list[int]) -> tuple[list[str], list[int]]:
+        """The groups as text, and the links as id pairs.  Fails where the two sides' joined bytes differ."""
+        texts, links, i, j = [], [], 0, 0
+        step, single, names, n = self.step, self.single, self.names, len(a)
+        while i < n:
             lead = a[i]
-            i += 1
-            state = self.start.get(lead)
-            if state is None:
-                state = self.start[lead] = self._state(0, self.bytes[0][lead])
-            while state:
-                if state % 2:  # A leads
-                    token = b[j]
-                    j += 1
-                    links.append(lead * PAIR + token)
-                else:
-                    token = a[i]
-                    i += 1
-                    links.append(token * PAIR + lead)
-                to = step.get((state, token))
-                if to is None:
-                    to = self._next(state, token)
-                if (to ^ state) & 1:
-                    lead = token  # only of use where the other side leads now
-                state = to
-            closed.append((i, j))
-        return closed, links
+            link = lead * PAIR + b[j]
+            text = single.get(link)
+            if text is None:
+                at_i, at_j = i, j
+                i += 1
+                state = self.start.get(lead)
+                if state is None:
+                    state = self.start[lead] = self._state(0, self.bytes[0][lead])
+                while state:
+                    if state % 2:  # A leads
+                        token = b[j]
+                        j += 1
+                        links.append(lead * PAIR + token)
+                    else:
+                        token = a[i]
+                        i += 1
+                        links.append(token * PAIR + lead)
+                    to = step.get(state * PAIR + token)
+                    if to is None:
+                        to = self._next(state, token)
+                    if (to ^ state) & 1:
+                        lead = token  # only of use where the other side leads now
+                    state = to
+                text = ",".join([names[t] for t in a[at_i:i]]) + "|" + ",".join([names[t] for t in b[at_j:j]])
+                if i - at_i == j - at_j == 1:
+                    if len(single) >= KEPT_STEPS:
+                        single.clear()
+                    single[link] = text
+            else:  # the step of this pair from the empty suffix closes at once
+                i += 1
+                j += 1
+                links.append(link)
+            texts.append(text)
+        if j != len(b):
+            raise ValueError("the two sides differ in their bytes")
+        return texts, links
 
 
 class Aligner:
-    """Tokens, groups and links of the stretches of a text, by a cache."""
+    """Tokens, groups and links of whole texts."""
 
     def __init__(self, data_a: bytes, data_b: bytes):
         self.a, self.b = ByteVocabulary(data_a), PieceVocabulary(data_b)
         self.transducer = Transducer(self.a.bytes, self.b.bytes)
-        self.cache: dict[str, tuple] = {}
-
-    def stretch(self, part: str, b: list[int]) -> tuple | None:
-        """(tokens of A, tokens of B, groups, groups as text, id pairs) of space + part; None where bytes differ."""
-        want = (" " + part).encode()
-        a = self.a.tokens(" " + part).tolist()
-        if b"".join(self.a.bytes[t] for t in a) != want or b"".join(self.b.bytes[t] for t in b) != want:
-            return None
-        closed, links = self.transducer.align(a, b)
-        text, i, j = [], 0, 0
-        for to_i, to_j in closed:
-            text.append(",".join(map(str, a[i:to_i])) + "|" + ",".join(map(str, b[j:to_j])))
-            i, j = to_i, to_j
-        return len(a), len(b), len(closed), ";".join(text), np.array(links, np.int64)
-
-    def stretches(self, text: str) -> list[tuple[str, tuple | None]]:
-        parts = _CUT.split(" " + text)
-        parts[0] = parts[0][1:]
-        if len(self.cache) > CACHED:
-            self.cache.clear()
-        found = {p: self.cache.get(p) for p in parts}
-        new = [p for p, x in found.items() if x is None]
-        for p, b in zip(new, self.b.tokens(new)):
-            found[p] = x = self.stretch(p, b)
-            if x is not None and len(p) <= CACHED_CHARS:
-                self.cache[p] = x
-        return [(p, found[p]) for p in parts]
+
+    def measured(self, texts: list[str]) -> list[tuple[int, int, list[str], list[int]] | None]:
+        """Tokens of A and of B, groups as text, and links of each space + text; None where joined bytes differ from it.  One tokeniser
+        goes over all texts after the other, which takes less time than by turns."""
+        parts = [(k, piece) for k, text in enumerate(texts) for piece in pieces(text)]
+        of_a = [self.a.tokens(" " + piece).tolist() for _, piece in parts]
+        of_b = self.b.tokens([piece for _, piece in parts])
+        out: list = [(0, 0, [], []) for _ in texts]
+        for (k, piece), a, b in zip(parts, of_a, of_b):
+            if out[k] is None:
+                continue
+            if self.a.encoding.decode_bytes(a) != (" " + piece).encode():
+                out[k] = None
+                continue
+            try:  # A's bytes are the text's, so B's are if the two align
+                groups, links = self.transducer.align(a, b)
+            except (ValueError, IndexError):
+                out[k] = None
+                continue
+            n_a, n_b, before, linked = out[k]
+            out[k] = (n_a + len(a), n_b + len(b), before + groups if before else groups, linked + links if linked else links)
+        return out
+
+
+def pieces(text: str) -> Iterator[str]:
+    """The text, cut at lone spaces (which are left out) after every ``PIECE_CHARS`` characters or so."""
+    at = 0
+    while len(text) - at > PIECE_CHARS:
+        gap = _CUT.search(text, at + PIECE_CHARS)
+        if not gap:
+            break
+        yield text[at : gap.start()]
+        at = gap.end()
+    yield text[at:] if at else text
+
+
+def n_bytes(text: str | None) -> int:
+    return len(text or "") if (text or "").isascii() else len((text or "").encode())
 
 
 class Chunk:
-    """Documents of one chunk, and its stretches by number."""
+    """Documents of one chunk."""
 
     def __init__(self, number: int):
-        self.number, self.size = number, 0
-        self.numbers: dict[str, int] = {}
-        self.pairs: list[np.ndarray] = []
-        self.uses: list[int] = []
-        self.rows: list[tuple] = []
-
-    def add(self, doc_id: int | None, text: str | None, aligner: Aligner) -> None:
-        parts = aligner.stretches(text) if text else []
-        if any(x is None for _, x in parts):
-            parts = []
-        at = []
-        for p, x in parts:
-            k = self.numbers.get(p)
-            if k is None:
-                k = self.numbers[p] = len(self.pairs)
-                self.pairs.append(x[4])
-                self.uses.append(0)
-            at.append(k)
-        own, times = np.unique(np.array(at, np.int32), return_counts=True)
-        for k, n in zip(own.tolist(), times.tolist()):
-            self.uses[k] += n
-        n_a, n_b, n_groups = (sum(x[i] for _, x in parts) for i in range(3))
-        sha = hashlib.sha256(";".join(x[3] for _, x in parts).encode()).hexdigest() if parts else ""
-        # every token but the first of each group gives one link
-        self.rows.append((doc_id, n_a, n_b, n_groups, n_a + n_b - n_groups, sha, own, times.astype(np.int32)))
-        self.size += len(text or "") if (text or "").isascii() else len((text or "").encode())
+        self.number, self.size, self.rows = number, 0, []
+
+    def add(self, rows: list[tuple[int | None, str | None]], aligner: Aligner) -> None:
+        measured = aligner.measured([text or "" for _, text in rows])
+        for (doc_id, text), found in zip(rows, measured):
+            n_a, n_b, groups, links = found if found and text else (0, 0, [], [])
+            counts = Counter(links)
+            n = len(counts)
+            own, times = np.fromiter(counts.keys(), np.int64, n), np.fromiter(counts.values(), np.int32, n)
+            sha = hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else ""
+            self.rows.append((doc_id, n_a, n_b, len(groups), len(links), sha, own, times))
+            self.size += n_bytes(text)
 
     def batch(self) -> pa.RecordBatch:
-        """A row for each document, and last one for the chunk: its stretches' pairs, the end of each, the uses of each."""
+        """A row for each document, and last one for the chunk: its distinct pairs, and how often it has each."""
         names = [c.split()[0] for c in COLUMNS.split(", ")]
-        ends = np.cumsum([len(p) for p in self.pairs]).astype(np.int32)
-        pairs = np.concatenate(self.pairs) if self.pairs else np.empty(0, np.int64)
-        ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+        pairs, at = np.unique(np.concatenate([r[6] for r in self.rows]), return_inverse=True)
+        times = np.bincount(at, np.concatenate([r[7] for r in self.rows]), len(pairs)).astype(np.int32)
         n = len(self.rows)
         cols = [pa.array([r[i] for r in self.rows] + [None], pa.int64()) for i in range(5)]
         return pa.RecordBatch.from_arrays([
             pa.array([self.number] * (n + 1), pa.int64()), *cols, pa.array([r[5] for r in self.rows] + [None], pa.string()),
-            pa.array([r[6] for r in self.rows] + [None], ints), pa.array([r[7] for r in self.rows] + [np.array(self.uses, np.int32)], ints),
-            pa.array([None] * n + [pairs], longs), pa.array([None] * n + [ends], ints),
+            pa.array([r[6] for r in self.rows] + [pairs], pa.list_(pa.int64())), pa.array([r[7] for r in self.rows] + [times], pa.list_(pa.int32())),
+            pa.array([False] * n + [True]),
         ], names)
 
-    @staticmethod
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(chunk, pair, n) of the chunks' rows."""
-        for batch in batches:
-            for chunk, times, pairs, ends in zip(*(batch.column(c) for c in ("chunk", "times", "pairs", "ends"))):
-                pairs, ends = pairs.values.to_numpy(), ends.values.to_numpy()
-                found, at = np.unique(pairs, return_inverse=True)
-                n = np.bincount(at, np.repeat(times.values.to_numpy(), np.diff(ends, prepend=0)), len(found)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), chunk.as_py())), pa.array(found), pa.array(n)], ["chunk", "pair", "n"])
-
 
 def _finish(docs: pa.Table, counts: pa.Table) -> pa.Table:
     """The measures of a chunk's documents, from the counts of its pairs."""
     keys = counts.column("pair").to_numpy()
     order = np.argsort(keys)
-    keys = keys[order]
-    best, total = counts.column("best").to_numpy()[order].astype(np.int64), counts.column("total").to_numpy()[order]
-    whole = docs.column("pairs").is_valid().to_numpy(zero_copy_only=False)
-    row = docs.filter(pa.array(whole))
-    pairs, ends = row.column("pairs")[0].values.to_numpy(), row.column("ends")[0].values.to_numpy()
-    at = np.searchsorted(keys, pairs)
-    upto = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[ends], prepend=0) if len(ends) else np.zeros(0, np.int64)
-    best, total = upto(best[at]), upto(total[at])
-    out = docs.filter(pa.array(~whole))
+    keys, best, total = keys[order], counts.column("best").to_numpy()[order].astype(np.int64), counts.column("total").to_numpy()[order]
     sums = [[], []]
-    for parts, times in zip(out.column("parts"), out.column("times")):
-        k, n = parts.values.to_numpy(), times.values.to_numpy().astype(np.int64)
-        sums[0].append(int((best[k] * n).sum()))
-        sums[1].append(int((total[k] * n).sum()))
-    out = out.append_column("n_best", pa.array(sums[0], pa.int64())).append_column("count_sum", pa.array(sums[1], pa.int64()))
+    for pairs, times in zip(docs.column("pairs"), docs.column("times")):
+        at, n = np.searchsorted(keys, pairs.values.to_numpy()), times.values.to_numpy().astype(np.int64)
+        sums[0].append(int(best[at] @ n))
+        sums[1].append(int(total[at] @ n))
+    out = docs.append_column("n_best", pa.array(sums[0], pa.int64())).append_column("count_sum", pa.array(sums[1], pa.int64()))
     return out.select(["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
 
@@ -285,24 +285,30 @@ def align_tokens(docs: DataFrame, vocabulary_a: str = VOCABULARY_A, vocabulary_b
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, pid, number = Aligner(*sent.value), TaskContext.get().partitionId(), 0
-        open_chunk = Chunk(pid << 32)
+        open_chunk, rows, size = Chunk(pid << 32), [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
-                open_chunk.add(doc_id.as_py(), text.as_py(), aligner)
+                rows.append((doc_id.as_py(), text.as_py()))
+                size += n_bytes(rows[-1][1])
+                if size >= AT_ONCE or open_chunk.size + size >= chunk_bytes:
+                    open_chunk.add(rows, aligner)
+                    rows, size = [], 0
                 if open_chunk.size >= chunk_bytes:
                     yield open_chunk.batch()
                     number += 1
                     open_chunk = Chunk((pid << 32) + number)
+        open_chunk.add(rows, aligner)
         if open_chunk.rows:
             yield open_chunk.batch()
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     written = cut(own.mapInArrow(chunks, COLUMNS), "alignment-chunks")
-    sums = cut(written.filter("pairs IS NOT NULL").select("chunk", "times", "pairs", "ends").mapInArrow(Chunk.sums, "chunk long, pair long, n long"), "alignment-sums")
+    own_sums = written.filter("whole").select("chunk", F.explode(F.arrays_zip("pairs", "times")).alias("z"))
+    sums = cut(own_sums.select("chunk", F.col("z.pairs").alias("pair"), F.col("z.times").alias("n")), "alignment-sums")
     totals = cut(sums.groupBy("pair").agg(F.sum("n").alias("total")), "alignment-totals")
     # at most one row for each id of B
     highest = totals.groupBy((F.col("pair") % PAIR).alias("b")).agg(F.max("total").alias("highest"))
     marked = totals.withColumn("b", F.col("pair") % PAIR).join(F.broadcast(highest), "b").select("pair", "total", (F.col("total") == F.col("highest")).alias("best"))
     counts = sums.select("chunk", "pair").join(marked, "pair")
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    return written.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_finish, schema)
+    return written.filter("NOT whole").groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_finish, schema)

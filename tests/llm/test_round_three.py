@@ -283,6 +283,19 @@ def token_rows():
     return texts
 
 
+def test_pieces_have_the_tokens_of_the_text(monkeypatch):
+    monkeypatch.setattr(token_alignment, "PIECE_CHARS", 7)
+    with open(token_alignment.VOCABULARY_A, "rb") as a, open(token_alignment.VOCABULARY_B, "rb") as b:
+        aligner = token_alignment.Aligner(a.read(), b.read())
+    for text, want in zip(token_rows(), brute_alignment(token_rows())):
+        if text:
+            cut = list(token_alignment.pieces(text))
+            assert " ".join(cut) == text and (len(cut) > 1 or len(text) < 200 or " " not in text.strip())
+            got = aligner.measured([text])[0] or (0, 0, [], [])
+            assert (got[0], got[1], len(got[2]), len(got[3])) == want[:4]
+            assert not got[2] or hashlib.sha256(";".join(got[2]).encode()).hexdigest() == want[6]
+
+
 @pytest.mark.parametrize("chunk_bytes", [300, token_alignment.CHUNK_BYTES])
 def test_alignment_against_brute_force(spark, empty, chunk_bytes):
     texts = token_rows()
@@ -300,7 +313,7 @@ def test_alignment_against_brute_force(spark, empty, chunk_bytes):
 def test_transducer_forgets_and_refuses(monkeypatch):
     monkeypatch.setattr(token_alignment, "KEPT_STEPS", 2)
     t = token_alignment.Transducer([b"ab", b"c", b"d", b"abc"], [b"a", b"bc", b"d", b"abcd"])
-    assert t.align([0, 1, 2], [0, 1, 2]) == ([(2, 2), (3, 3)], [0 * token_alignment.PAIR, 1, token_alignment.PAIR + 1, 2 * token_alignment.PAIR + 2])
-    assert t.align([0, 1, 2], [3]) == ([(3, 1)], [3, token_alignment.PAIR + 3, 2 * token_alignment.PAIR + 3])
+    assert t.align([0, 1, 2], [0, 1, 2]) == (["0,1|0,1", "2|2"], [0 * token_alignment.PAIR, 1, token_alignment.PAIR + 1, 2 * token_alignment.PAIR + 2])
+    assert t.align([0, 1, 2], [3]) == (["0,1,2|3"], [3, token_alignment.PAIR + 3, 2 * token_alignment.PAIR + 3])
     with pytest.raises(ValueError):
         t.align([1], [2])
