@@ -10,7 +10,8 @@ are links for the most part, and elements whose tag, role, class or id names a m
 sidebar, notice, advert, form or reader comments.  A name alone is not enough: an element that holds the article or main
 element, or more than half of the page's text outside links, is none of these whatever it is called (comments by name,
 and elements whose tag says so, may be longer than the article).  Names count as whole words at the start of a class or id, or at its end for words
-that mean nothing else there, so ``market-share`` is no share bar.
+that mean nothing else there, so ``market-share`` is no share bar.  Within an article or main element, names that its own sections may have
+too (``AMBIGUOUS``) count only where the element is thinner than the path to the densest node, or links for the half of it.
 
 What is kept: the article or main element around the densest node, or else the branch of the body around it.  Branches
 that hang off the path within it are kept if they are text, headings, lists or tables, or containers that reach the
@@ -62,11 +63,13 @@ AT_END = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer footers ad ads advert adverts advertisement banner"
     " banners cookie cookies consent notice notices popup modal newsletter widget widgets masthead topbar toolbar comments disqus pagination".split()
 )
+#: Names that sections and sentences of an article have too: within one they count only where the density agrees.
+AMBIGUOUS = frozenset("discussion related recommended recommendations social share sharing privacy disclaimer copyright consent gdpr".split())
 #: Words before a name that do not change it; those of an article make a header its own.
 OF_ARTICLE = frozenset("article content entry post story text".split())
 QUALIFIERS = OF_ARTICLE | frozenset("site page main global top bottom left right primary secondary blog web user reader js wp block".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-LINKS_LEAST, LINK_SHARE = 2, 0.75
+LINKS_LEAST, LINKS_IN_ARTICLE, LINK_SHARE = 2, 3, 0.75
 OPEN_SIBLINGS = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
     "th": ("td", "th"), "option": ("option",),
@@ -200,8 +203,16 @@ def _gathered(tree: _Tree, out: list[bool]) -> tuple[list[int], list[int], list[
     return chars, tags, link_chars, link_tags
 
 
-def _furniture(tree: _Tree) -> tuple[list[bool], float]:
-    """Which nodes are furniture or lie in it, and the share of link characters in the whole page."""
+def _in_article(tree: _Tree) -> list[bool]:
+    found = [False] * len(tree.tags)
+    for i in range(1, len(found)):
+        p = tree.parents[i]
+        found[i] = found[p] or tree.tags[p] in ("article", "main") and not tree.named[p]
+    return found
+
+
+def _furniture(tree: _Tree, spared: frozenset[int] = frozenset()) -> tuple[list[bool], float]:
+    """Which nodes are furniture or lie in it, and the share of link characters in the whole page.  The names of spared nodes do not count."""
     n, parents = len(tree.tags), tree.parents
     out = [False] * n
     for i in range(1, n):
@@ -211,12 +222,12 @@ def _furniture(tree: _Tree) -> tuple[list[bool], float]:
     for i in range(n - 1, 0, -1):
         core[parents[i]] += core[i] + (tree.tags[i] in ("article", "main") and not tree.named[i] and not out[i])
     page = chars[0] - link_chars[0]
-    sentence = [False] * n
+    sentence, inside = [False] * n, _in_article(tree)
     for i in range(1, n):
         sentence[i] = sentence[parents[i]] or tree.tags[i] == "p"
-        named = tree.named[i] and not core[i] and (tree.named[i] in COMMENTS or tree.named[i].startswith("<") or 2 * (chars[i] - link_chars[i]) <= page)
+        named = tree.named[i] and i not in spared and not core[i] and (tree.named[i] in COMMENTS or tree.named[i].startswith("<") or 2 * (chars[i] - link_chars[i]) <= page)
         links = tree.tags[i] in BLOCK and not sentence[i] and tree.tags[i] not in ("html", "body", "main", "article")
-        links = links and link_tags[i] >= LINKS_LEAST and link_chars[i] >= LINK_SHARE * chars[i]
+        links = links and link_tags[i] >= (LINKS_IN_ARTICLE if inside[i] else LINKS_LEAST) and link_chars[i] >= LINK_SHARE * chars[i]
         out[i] = out[i] or out[parents[i]] or bool(named) or links
     return out, link_chars[0] / max(chars[0], 1)
 
@@ -227,17 +238,10 @@ def densities(tree: _Tree, out: list[bool], ratio: float) -> list[float]:
     return [0.0 if out[i] else composite_density(*f, ratio) for i, f in enumerate(figures)]
 
 
-def main_text(html: str | None) -> str:
-    if not html:
-        return ""
-    tree = _Tree()
-    tree.feed(html)
-    tree.close()
+def _path(tree: _Tree, out: list[bool], density: list[float]) -> tuple[list[list[int]], list[int], int, float]:
+    """The children of each node, the path up from the node with the largest density sum, the place of the body in it, and the
+    smallest density up to there."""
     n, parents = len(tree.tags), tree.parents
-    out, ratio = _furniture(tree)
-    if all(out[node] or not text.strip() for node, _, text in tree.texts):
-        return ""
-    density = densities(tree, out, ratio)
     sums, children = [0.0] * n, [[] for _ in range(n)]
     for i in range(1, n):
         sums[parents[i]] += density[i]
@@ -248,7 +252,26 @@ def main_text(html: str | None) -> str:
     while parents[path[-1]] >= 0:
         path.append(parents[path[-1]])
     body = next((k for k, i in enumerate(path) if tree.tags[i] == "body"), len(path) - 1)
-    threshold = min(density[i] for i in path[: body + 1])
+    return children, path, body, min(density[i] for i in path[: body + 1])
+
+
+def main_text(html: str | None) -> str:
+    if not html:
+        return ""
+    tree = _Tree()
+    tree.feed(html)
+    tree.close()
+    n, parents = len(tree.tags), tree.parents
+    out, ratio = _furniture(tree)
+    if doubtful := [i for i, (name, inside) in enumerate(zip(tree.named, _in_article(tree))) if inside and name in AMBIGUOUS]:
+        threshold = _path(tree, out, densities(tree, out, ratio))[3]
+        maybe, _ = _furniture(tree, frozenset(doubtful))
+        density, (chars, _, links, _) = densities(tree, maybe, ratio), _gathered(tree, maybe)
+        out, ratio = _furniture(tree, frozenset(i for i in doubtful if density[i] >= threshold > 0 and 2 * links[i] < chars[i]))
+    if all(out[node] or not text.strip() for node, _, text in tree.texts):
+        return ""
+    density = densities(tree, out, ratio)
+    children, path, body, threshold = _path(tree, out, density)
     whole = next((k for t in ("article", "main") for k, i in enumerate(path) if tree.tags[i] == t), None)
     titled = [tree.tags[i] in HEADINGS for i in range(n)]  # nodes with a heading, themselves or below
     for i in range(n - 1, 0, -1):

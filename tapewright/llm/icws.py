@@ -5,8 +5,7 @@ smoothed inverse document frequency.  The rarity of a run is the mean of its wor
 frequencies, which are exact counts over the whole corpus: the share of documents that hold a word does not
 depend on the size of the corpus, so a pair of texts is as similar in a large corpus as in a small one.
 Words in fewer than ``RARE`` of the documents are equally rare, so the words sent to the tasks are at most
-the mean number of words in a document divided by ``RARE``, and never more than ``WORDS`` (the limit of rarity
-is doubled until they fit).  The smoothing keeps weights within a factor of two (``IDF_SHARE``), for otherwise the
+the mean number of different words in a document divided by ``RARE``, however many documents there are.  The smoothing keeps weights within a factor of two (``IDF_SHARE``), for otherwise the
 very copies in a large group would push down the weight of what they share.
 
 Improved consistent weighted sampling draws ``BANDS * ROWS`` samples of each text; two texts
@@ -54,7 +53,6 @@ THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
 IDF_SHARE = 0.5
 RARE = 2.0**-12
-WORDS = 1 << 20
 #: Words that a task counts before it hands them on.
 PENDING = 1 << 21
 #: Members of a bucket beyond which its rows are not sent to the task of their key.
@@ -91,9 +89,10 @@ def _gamma_quantiles(n: int) -> np.ndarray:
 class Sampler:
     """Weights under document frequencies (words in order, documents of each), samples and band keys of a text."""
 
-    def __init__(self, words: np.ndarray, docs: np.ndarray, n_docs: int, floor: float = 1.0):
-        self.words, top = words, np.log((n_docs + 1.0) / floor)
-        self.rarity = np.append(np.log((n_docs + 1.0) / np.maximum(docs, floor)) / top, 1.0)  # last: of all other words
+    def __init__(self, words: np.ndarray, docs: np.ndarray, n_docs: int):
+        self.words = words
+        share = np.maximum(docs / max(n_docs, 1), RARE)
+        self.rarity = np.append(np.log(share) / np.log(RARE), 1.0)  # last: of all other words
         r = _gamma_quantiles(1 << 12)
         self.r, self.inv_r = r.astype(np.float32), (1.0 / r).astype(np.float32)
         self.ln_c = np.log(_gamma_quantiles(1 << 16)).astype(np.float32)
@@ -158,9 +157,8 @@ def _merged(words: list[np.ndarray], docs: list[np.ndarray]) -> tuple[np.ndarray
     return found, np.bincount(at, np.concatenate(docs), len(found)).astype(np.int64)
 
 
-def word_frequencies(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int, float]:
-    """The words in at least ``RARE`` of the documents by hash, the documents that hold each, the number of all
-    documents, and the limit of rarity."""
+def word_frequencies(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """The words in at least ``RARE`` of the documents by hash, the documents that hold each, and the number of all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, n = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
@@ -180,16 +178,12 @@ def word_frequencies(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int, floa
         yield hand_on(*_merged(words, n))
 
     n_docs = docs.count()
-    floor = max(1.0, RARE * n_docs)
     counted = docs.select(F.col("text").cast("string")).mapInArrow(count, "word long, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
-    frequent = cut(counted.filter(F.col("docs") >= floor), "icws-words")
-    while frequent.count() > WORDS:
-        floor *= 2
-        frequent = frequent.filter(F.col("docs") >= floor)
+    frequent = cut(counted.filter(F.col("docs") >= RARE * n_docs), "icws-words")
     found = frequent.toArrow()
     words, n = (found.column(c).to_numpy() for c in ("word", "docs"))
     order = np.argsort(words.view(np.uint64))
-    return words.view(np.uint64)[order], n[order], n_docs, floor
+    return words.view(np.uint64)[order], n[order], n_docs
 
 
 def _by_bucket(rows: DataFrame, table: DataFrame, hot: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """License notices by an exact set-similarity join against templates.
 
 A text block matches a template if it holds at least ``CONTAINMENT`` of the template's
-distinct words.  A block is a line, or a run of lines without an empty one between them, as
-notices are wrapped: a run counts if neither its first nor its last line can be left out and
-if it has no more than ``SLACK`` times the template's words.  Words are ordered by how many
+distinct words.  A block is a line, or a stretch of words over several lines without an empty one between them, as
+notices are wrapped wherever their lines begin: a stretch has no word at either end that it could do without, and at most
+``SLACK`` times the template's words, whatever else stands in its lines.  (So words of a paragraph that lie far apart are no notice,
+and a notice with empty lines between its own is not one block.)  Words are ordered by how many
 lines of the whole corpus hold them, rare first.  A matching block must hold a word of the template's prefix (all but the
 share of words that may be missing), must hold enough template words at all (length filter),
 and the words left behind a shared position must still suffice (positional filter).  What
@@ -17,7 +18,7 @@ Base figures beside the method: where the words of a known phrase stand consecut
 
 Defined results: null texts count as empty; repeated rows are scanned each; lines of any
 length are whole blocks; a template that is contained in another template, matching a block
-that covers its own, adds no label; ``n_blocks`` counts the lines at which a matching block
+that covers its own, adds no label (but a line that is a notice by itself outweighs a stretch of lines); ``n_blocks`` counts the lines at which a matching block
 starts, ``best_block`` is the first such line of the best block; other columns are ignored.
 """
 
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CONTAINMENT = 0.9
+#: Words from the first to the last word that a stretch over several lines shares with a template, by the template's words.
 SLACK = 2
 MAX_TEMPLATE_WORDS = 100_000
 #: Phrases with their labels, and the wording of common notices.
@@ -81,7 +83,7 @@ class TemplateIndex:
     def __init__(self, templates: list[tuple[str, str]], frequency: dict[bytes, int], threshold: float):
         self.order: dict[bytes, tuple[int, bytes]] = {}
         self.templates: list[tuple[str, frozenset[bytes], int]] = []
-        self.room: list[int] = []  # words that a run of lines may have
+        self.room: list[int] = []  # words of a stretch over several lines
         self.prefixes: dict[bytes, list[tuple[int, int]]] = {}
         for label, text in templates:
             words = set(listed := as_words(text).split())
@@ -116,34 +118,41 @@ class TemplateIndex:
         return found
 
     def runs(self, t: int, lines: list[list[bytes]]) -> list[tuple[int, int, float]]:
-        """(first, last, containment) of every run of two or more lines that meets a template and would not without its first
-        or its last line."""
+        """(first line, last line, containment by these lines) of every stretch of words over two or more lines that meets a template, would
+        not without its first or its last word, and has room."""
         _, full, need = self.templates[t]
-        own = [full.intersection(line) for line in lines]
+        at, hits = 0, []  # (place in the paragraph, line, word) of the template's words
+        for k, line in enumerate(lines):
+            hits += [(at + i, k, w) for i, w in enumerate(line) if w in full]
+            at += len(line)
         held: Counter[bytes] = Counter()
-        found, first, size, shared = [], 0, 0, 0
-        for last, line in enumerate(lines):
-            size += len(line)
-            for w in own[last]:
-                held[w] += 1
-                shared += held[w] == 1
-            while first < last:
-                lost = sum(held[w] == 1 for w in own[first])
-                if size <= self.room[t] and shared - lost < need:
-                    break
-                for w in own[first]:
-                    held[w] -= 1
-                shared, size, first = shared - lost, size - len(lines[first]), first + 1
-            if first < last and shared >= need and shared - sum(held[w] == 1 for w in own[last]) < need:
-                found.append((first, last, shared / len(full)))
-        return found
+        found, left = set(), 0
+        for place, last, w in hits:
+            held[w] += 1
+            while held[hits[left][2]] > 1:  # the first word stands again behind
+                held[hits[left][2]] -= 1
+                left += 1
+            while len(held) > need:
+                del held[hits[left][2]]
+                left += 1
+                while held[hits[left][2]] > 1:
+                    held[hits[left][2]] -= 1
+                    left += 1
+            if len(held) == need and held[w] == 1 and hits[left][1] < last and place - hits[left][0] < self.room[t]:
+                found.add((hits[left][1], last))
+        return [(a, b, len(full.intersection(*[set().union(*lines[a : b + 1])])) / len(full)) for a, b in sorted(found)]
 
     def labels(self, found: list[tuple[int, int, int, float]]) -> set[str]:
-        """Labels of matches (template, first line, last line, containment)."""
+        """Labels of matches (template, first line, last line, containment).  Where a line by itself is a notice, a stretch around it that needs
+        a word more from another line is none of a longer one."""
         kept = set()
         for t, first, last, _ in found:
             label, words, _ = self.templates[t]
-            if label not in kept and not any(a <= first and last <= b and words < self.templates[o][1] for o, a, b, _ in found):
+            longer = [(a, b) for o, a, b, _ in found if a <= first and last <= b and words < self.templates[o][1]]
+            shorter = [(a, b) for o, a, b, _ in found if first <= a and b <= last and self.templates[o][1] < words]
+            covered = any(a == b or first < last for a, b in longer)
+            accidental = first < last and any(a == b for a, b in shorter)
+            if not covered and not accidental:
                 kept.add(label)
         return kept
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.llm.common import SALTS, salt_of, utf8
@@ -31,6 +31,8 @@ MAX_CONSTANTS = 200
 TAIL = 1e-13
 #: A larger mean is the sum of equal parts of at most this mean, each drawn on its own.
 MAX_TABLED = 50.0
+#: Rows whose count has more parts than this draw them in blocks of so many, spread over tasks.
+PARTS_AT_ONCE = 64
 
 
 def poisson_steps(rate: float) -> list[float]:
@@ -52,27 +54,27 @@ def hash_unit(seed: int, *cols: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
-def source_rates(docs: DataFrame, weights: dict[str, float], epochs: float) -> dict[str, float]:
+def source_rates(docs: DataFrame, weights: dict[str, float], epochs: float, most_epochs: float = math.inf) -> dict[str, float]:
     """Mean repetitions of each named source; the budget is ``epochs`` times the bytes of
     the named sources together."""
     named = source_sizes(docs.filter(F.col("source").isin(list(weights))))
-    return rates_of({r["source"]: r["bytes"] for r in named.collect()}, weights, epochs)
+    return rates_of({r["source"]: r["bytes"] for r in named.collect()}, weights, epochs, most_epochs)
 
 
 def source_sizes(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("source").isNotNull()).groupBy("source").agg(F.sum(F.octet_length(utf8(F.col("text"))).cast("long")).alias("bytes"))
 
 
-def rates_of(sizes: dict[str, int], weights: dict[str, float], epochs: float) -> dict[str, float]:
+def rates_of(sizes: dict[str, int], weights: dict[str, float], epochs: float, most_epochs: float = math.inf) -> dict[str, float]:
     budget, weight = epochs * sum(sizes.values()), sum(w for s, w in weights.items() if sizes.get(s))
-    return {s: weights[s] / weight * budget / n for s, n in sizes.items() if n and weight > 0}
+    return {s: min(weights[s] / weight * budget / n, most_epochs) for s, n in sizes.items() if n and weight > 0}
 
 
-def step_table(sizes: DataFrame, epochs: float) -> DataFrame:
+def step_table(sizes: DataFrame, epochs: float, most_epochs: float = math.inf) -> DataFrame:
     """(source, parts, steps) of every source at the same weight: :func:`poisson_steps` of rate / parts, as columns."""
     sizes = sizes.filter("bytes > 0")
     total, n = sizes.agg(F.sum("bytes"), F.count("*")).first()
-    rate = F.lit(epochs * (total or 0) / max(n, 1)) / F.col("bytes")
+    rate = F.least(F.lit(epochs * (total or 0) / max(n, 1)) / F.col("bytes"), F.lit(most_epochs))
     table = sizes.withColumn("parts", F.greatest(F.lit(1), F.ceil(rate / MAX_TABLED)).cast("int")).withColumn("mean", rate / F.col("parts"))
     last = F.ceil(F.col("mean") + 12 * F.sqrt("mean") + 30).cast("int")
     first = F.struct(F.exp(-F.col("mean")).alias("p"), F.array(F.exp(-F.col("mean"))).alias("steps"))
@@ -86,11 +88,12 @@ def step_table(sizes: DataFrame, epochs: float) -> DataFrame:
 
 def mix_sources(
     docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 7, rest_rate: float = 1.0,
-    replica: str = "replica", mix_key: str = "mix_key",
+    replica: str = "replica", mix_key: str = "mix_key", most_epochs: float = math.inf,
 ) -> DataFrame:
     """``docs`` with each row repeated by its count, plus ``replica`` (from 0) and ``mix_key``
     (its place in the global shuffle: rows are dealt to partitions and sorted by it), which replace columns of these
-    names; all other columns are kept."""
+    names; all other columns are kept.  ``most_epochs`` bounds the mean repetitions of a source; without it a tiny source beside a huge
+    one repeats as often as its weight asks for."""
     if weights is not None and not (all(w >= 0 and math.isfinite(w) for w in weights.values()) and any(weights.values())):
         raise ValueError("weights must be finite, not negative, and not all zero")
     own = "__"  # of helper columns: a prefix that no column of the table has
@@ -101,12 +104,12 @@ def mix_sources(
         found = source_sizes(docs)
         some = found.limit(MAX_CONSTANTS + 1).collect()
         if len(some) > MAX_CONSTANTS:
-            rates, steps_by_source = {}, step_table(found, epochs)
+            rates, steps_by_source = {}, step_table(found, epochs, most_epochs)
         else:
             sizes = {r["source"]: r["bytes"] for r in some}
-            rates = rates_of(sizes, dict.fromkeys(sizes, 1 / max(sum(n > 0 for n in sizes.values()), 1)), epochs)
+            rates = rates_of(sizes, dict.fromkeys(sizes, 1 / max(sum(n > 0 for n in sizes.values()), 1)), epochs, most_epochs)
     else:
-        rates = source_rates(docs, weights, epochs)
+        rates = source_rates(docs, weights, epochs, most_epochs)
     key = (F.col("doc_id"), F.md5(utf8(F.col("text"))))
     draw = hash_unit(seed, *key)
 
@@ -138,12 +141,42 @@ def mix_sources(
         rows = rows.withColumn(own + "salt", salt_of(F.col(own + "draw")))
         rows = rows.join(table, (F.col("source") == F.col(own + "source")) & (F.col(own + "salt") == F.col(own + "salt_of")), "left").drop(own + "source", own + "salt", own + "salt_of")
         count = F.coalesce(F.when(F.col(own + "parts").isNotNull(), below(F.col(own + "steps"), F.col(own + "parts"))), count)
-    out = (
-        rows.withColumn(own + "count", count)
-        .drop(own + "parts", own + "steps")
-        .filter(F.col(own + "count") > 0)
-        .withColumn(replica, F.explode(F.sequence(F.lit(0), F.col(own + "count") - 1)))
-    )
+    many = {s: max(1, math.ceil(r / MAX_TABLED)) for s, r in rates.items()}
+    many = {s: n for s, n in many.items() if n > PARTS_AT_ONCE}
+    often = F.lit(False)
+    if steps_by_source is not None:
+        most = steps_by_source.agg(F.max("parts")).first()[0] or 0
+        often = F.coalesce(F.col(own + "parts") > PARTS_AT_ONCE, F.lit(False)) if most > PARTS_AT_ONCE else often
+    elif many:
+        often = F.coalesce(F.col("source").isin(list(many)), F.lit(False))
+    in_blocks = bool(many) or steps_by_source is not None and most > PARTS_AT_ONCE
+    counted = (rows.filter(~often) if in_blocks else rows).withColumn(own + "count", count).filter(F.col(own + "count") > 0)
+    out = counted.withColumn(replica, F.explode(F.sequence(F.lit(0), F.col(own + "count") - 1))).drop(own + "parts", own + "steps", own + "count")
+    if in_blocks:
+        out = out.unionByName(_in_blocks(rows.filter(often), rates, many, seed, key, replica, own))
     place = F.md5(F.concat_ws("|", F.lit(f"mix{seed}"), F.col(own + "draw").cast("string"), F.col("doc_id").cast("string"), F.col(replica).cast("string")))
-    out = out.withColumn(mix_key, place).drop(own + "draw", own + "count")
+    out = out.withColumn(mix_key, place).drop(own + "draw")
     return out.repartition(F.col(mix_key)).sortWithinPartitions(mix_key)
+
+
+def _in_blocks(rows: DataFrame, rates: dict[str, float], many: dict[str, int], seed: int, key: tuple[Column, Column], replica: str, own: str) -> DataFrame:
+    """Rows with very many parts, repeated: each (row, block of parts) draws in some task, and replicas go on where those of the blocks before end.
+    No row makes more of them at once than a block's."""
+    if not many:
+        parts, steps = F.col(own + "parts"), F.col(own + "steps")
+    else:
+        parts, steps = F.lit(None).cast("int"), F.lit(None).cast("array<double>")
+        for source, n in sorted(many.items()):
+            parts = F.when(F.col("source") == source, n).otherwise(parts)
+            steps = F.when(F.col("source") == source, F.array(*[F.lit(s) for s in poisson_steps(rates[source] / n)])).otherwise(steps)
+    row, block, first = own + "row", own + "block", own + "first"
+    of_row = rows.withColumns({row: F.monotonically_increasing_id(), own + "parts": parts, own + "steps": steps})
+    blocks = of_row.withColumn(block, F.explode(F.sequence(F.lit(0), F.ceil(F.col(own + "parts") / PARTS_AT_ONCE).cast("int") - 1)))
+    blocks = blocks.repartition(F.col(row), F.col(block))
+    ids = F.sequence(F.col(block) * PARTS_AT_ONCE + 1, F.least(F.col(own + "parts"), (F.col(block) + 1) * PARTS_AT_ONCE))
+    drawn = F.aggregate(ids, F.lit(0), lambda n, i: n + F.size(F.filter(own + "steps", lambda s: s <= hash_unit(seed, i, *key))))
+    before = Window.partitionBy(row).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    small = blocks.withColumn(own + "count", drawn).drop(own + "steps", own + "parts").withColumn(first, F.coalesce(F.sum(own + "count").over(before), F.lit(0)))
+    spread = small.filter(F.col(own + "count") > 0).repartition(F.col(row), F.col(block))
+    each = F.explode(F.sequence(F.col(first), F.col(first) + F.col(own + "count") - 1))
+    return spread.withColumn(replica, each).withColumn(replica, F.col(replica).cast("int")).drop(row, block, first, own + "count")

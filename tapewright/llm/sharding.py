@@ -75,7 +75,8 @@ def plan_shards(docs: DataFrame, n_shards: int = 8) -> DataFrame:
             F.crc32(utf8(text)).alias("text_crc32"),
             F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long").alias("tokens"),
             text_key(text).alias("k"),
-            F.when(F.col("doc_id").isNull(), salt_of(F.monotonically_increasing_id())).otherwise(salt_of("doc_id")).alias("salt"),
+            # of the row, for rows of one doc_id and text may be many; written once with the rows
+            salt_of(F.monotonically_increasing_id()).alias("salt"),
         ),
         "shard-rows",
     )

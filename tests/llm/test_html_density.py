@@ -29,6 +29,12 @@ PAGES = [
     (f'<body><div class="cookie-notice"><p>We use cookies</p></div><div class="story"><h1>A</h1>{P}</div><div class="relatedPosts"><h3>R</h3></div></body>', ["A", T]),
     (f"<body><article><header><h1>A</h1><p>Sub</p></header>{P}<footer>f</footer></article></body>", ["A", "Sub", T]),
     (f"<body><div>Loose text <br>here{P}and behind</div></body>", ["Loose text here", T, "and behind"]),
+    (f'<body><article><h1>A</h1>{P}<section id="discussion"><h2>Discussion</h2>{P}</section></article></body>', ["A", T, "Discussion", T]),
+    (f'<body><article><h1>A</h1>{P}<section class="related-work"><h2>Related work</h2>{P}</section></article></body>', ["A", T, "Related work", T]),
+    (f'<body><main><h1>A</h1>{P}<section id="social-policy"><h2>Policy</h2>{P}</section></main></body>', ["A", T, "Policy", T]),
+    (f'<body><article><h1>A</h1>{P}<p class="share">{LONG}</p></article></body>', ["A", T, T]),
+    (f"<body><article><h1>A</h1>{P}<ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul>{P}</article></body>", ["A", T, "One", "Two", T]),
+    (f'<body><article><h1>A</h1>{P * 2}<div class="share">Share <a href=1>on this</a> <a href=2>on that</a></div><div id="comments">{P}</div></article></body>', ["A", T, T]),
     ("<p>Hello <b>big</b> &amp; &#8212; world</p>", ["Hello big & — world"]),
 ]
 

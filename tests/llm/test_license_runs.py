@@ -19,6 +19,17 @@ def test_wrapped_notices_are_found():
             assert scanned[7] >= 1 and scanned[8] == 2
 
 
+def test_short_notices_wrapped_in_running_text():
+    index = index_of(license_scan.TEMPLATES)
+    words = "some words of a sentence that came before it and go on".split()
+    for label, text in license_scan.TEMPLATES:
+        parts = text.split()
+        for at in range(1, len(parts)):
+            lines = [" ".join(words + parts[:at]), " ".join(parts[at:] + words)]
+            scanned = license_scan.scan_text(index, "\n".join(["An opening line", *lines, "and a last one"]))
+            assert label in scanned[5].split(","), (label, lines, scanned)
+
+
 def test_runs_end_at_empty_lines_and_at_far_words():
     index = index_of(license_scan.TEMPLATES)
     assert license_scan.scan_text(index, "Released under\n\nthe MIT\n\nLicense.")[7] == 0
@@ -34,15 +45,17 @@ def test_runs_against_brute_force():
             templates = [(f"l{i}", " ".join(f"t{rng.randint(0, 12)}" for _ in range(rng.randint(1, 8)))) for i in range(4)]
             index = index_of(templates, threshold)
             lines = [[f"t{rng.randint(0, 16)}" for _ in range(rng.choice([0, 1, 2, 3, 5]))] for _ in range(14)]
-            want = []
+            want = set()
             for t, (_, full, need) in enumerate(index.templates):
-                shared = lambda a, b: len(full & {w.encode() for line in lines[a : b + 1] for w in line})  # noqa: B023, E731
-                for a in range(len(lines)):
-                    for b in range(a, len(lines)):
-                        if not all(lines[a : b + 1]) or shared(a, b) < need:
-                            continue
-                        words = sum(map(len, lines[a : b + 1]))
-                        if a == b or (words <= index.room[t] and shared(a + 1, b) < need and shared(a, b - 1) < need):
-                            want.append((t, a, b, shared(a, b) / len(full)))
+                for k, line in enumerate(lines):
+                    if (n := len(full & {w.encode() for w in line})) >= need:
+                        want.add((t, k, k, n / len(full)))
+                words = [(k, w.encode()) for k, line in enumerate(lines) for w in line]
+                shared = lambda x: len(full & {w for _, w in x})  # noqa: B023, E731
+                for a in range(len(words)):
+                    for b in range(a + 1, min(len(words), a + index.room[t])):
+                        x, (first, last) = words[a : b + 1], (words[a][0], words[b][0])
+                        if first < last and all(lines[first : last + 1]) and shared(x) >= need and shared(x[1:]) < need and shared(x[:-1]) < need:
+                            want.add((t, first, last, shared([w for w in words if first <= w[0] <= last]) / len(full)))
             got = license_scan.matches_of(index, "\n".join(" ".join(line) for line in lines).encode())
             assert sorted(got) == sorted(want)

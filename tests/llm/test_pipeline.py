@@ -66,4 +66,4 @@ def test_stages_on_an_empty_table(spark):
 
 def test_queries_are_registered():
     names = list(queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] and set(oracle_sql()) <= set(names)
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)] and set(oracle_sql()) <= set(names)
