@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tapewright.operators import decision_states as D
 from tapewright.operators import masked as M
+from tapewright.operators import models
 from tapewright.operators import replay as R
 from tapewright.plans.decision_queries import SCORE_CTE, STEALTH_SQL, TECH_SQL
 from tapewright.plans.indicator_queries import FRAMES, rounded
@@ -165,6 +166,22 @@ JOIN LATERAL (SELECT max(CASE x.sig WHEN 'EXTREME' THEN 3 WHEN 'READY' THEN 2 WH
 WHERE f.bar_ix >= 41"""
 
 
+#: Each bar against the bars after it, without arrays.
+BARRIER_SQL = BARS_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+t0 AS (SELECT bars.*, greatest(high - low, abs(high - lag(close) OVER b), abs(low - lag(close) OVER b)) AS tr FROM bars {FRAMES}),
+a AS (
+  SELECT symbol, bar_ix, tr AS atr FROM t0 WHERE bar_ix = 1
+  UNION ALL SELECT t0.symbol, t0.bar_ix, a.atr + (t0.tr - a.atr) / 14 FROM a JOIN t0 ON t0.symbol = a.symbol AND t0.bar_ix = a.bar_ix + 1
+),
+t AS (SELECT t0.*, CASE WHEN t0.bar_ix >= 14 THEN atr END AS atr FROM t0 JOIN a ON a.symbol = t0.symbol AND a.bar_ix = t0.bar_ix),
+h AS (
+  SELECT t.symbol, t.trade_date, t.bar_ix, t.atr, count(n.bar_ix) AS n, min(CASE WHEN n.high >= t.close + 2 * t.atr THEN n.bar_ix END) AS hit, min(CASE WHEN n.low <= t.close - 1.5 * t.atr THEN n.bar_ix END) AS stop
+  FROM t LEFT JOIN t n ON n.symbol = t.symbol AND n.bar_ix > t.bar_ix AND n.bar_ix <= t.bar_ix + 15 GROUP BY t.symbol, t.trade_date, t.bar_ix, t.atr
+)
+SELECT symbol, trade_date, round(atr, 6) AS atr, CAST(CASE WHEN atr IS NULL THEN NULL WHEN stop IS NOT NULL AND (hit IS NULL OR stop <= hit) THEN -1 WHEN hit IS NOT NULL THEN 1 WHEN n = 15 THEN 0 END AS INT) AS label,
+  CAST(least(hit, stop) - bar_ix AS INT) AS touch_bar FROM h"""
+
+
 def q_signal_states(spark, sf):
     f = D.signal_states(D.signal_inputs(daily_bars(spark, sf)), RULES)
     early = D.early_watch(*[F.col(c) for c in ("score", "flow", "breakdown", "price", "lo20", "strength")])
@@ -194,7 +211,17 @@ def q_limit_days(spark, sf):
     return R.limit_days(R.replayed(daily_bars(spark, sf)))
 
 
+def q_barriers(spark, sf):
+    return models.atr_barriers(daily_bars(spark, sf)).select("symbol", "trade_date", F.round("atr", 6).alias("atr"), "label", "touch_bar")
+
+
+def q_model(spark, sf):
+    _, report = models.train_time_split(models.barrier_features(daily_bars(spark, sf)), trees=60)
+    return report.select("part", "name", "metric", F.round("value", 6).alias("value"))
+
+
 QUERIES = {
+    "st_atr_barriers": (q_barriers, BARRIER_SQL), "st_barrier_model": (q_model, None),
     "dec_signal_states": (q_signal_states, STATES_SQL), "ind_locked_atr": (q_locked, LOCKED_SQL), "ind_rsi_variants": (q_rsi, RSI_SQL),
     "pat_regression_triangle": (q_triangles, TRIANGLE_SQL), "bt_replay": (q_replay, REPLAY_SQL), "bt_limit_days": (q_limit_days, LIMIT_SQL),
 }
