@@ -59,9 +59,13 @@ PATTERNS: dict[str, str] = {
 }
 
 
-def trade_levels(hits: DataFrame) -> DataFrame:
+#: Patterns that are traded short.
+SHORT = frozenset({"BEAR_ENGULF", "THREE_LINE_STRIKE", "FIVE_BAR_BEAR", "EVENING_STAR", "BEAR_TREND_BAR"})
+
+
+def trade_levels(hits: DataFrame, short: frozenset[str] = SHORT) -> DataFrame:
     """Entry, a stop one ATR beyond the bar, and targets at one and two times the risk."""
-    bear = F.col("signal").rlike("BEAR|EVENING|STRIKE")
+    bear = F.col("signal").isin(*sorted(short))
     stop = F.when(bear, F.col("h") + F.col("atr14")).otherwise(F.col("l") - F.col("atr14"))
     risk = F.abs(F.col("c") - stop)
     side = F.when(bear, -1).otherwise(1)
@@ -92,17 +96,33 @@ def contractions(bars: DataFrame, least: int = 2) -> DataFrame:
     return r.select("symbol", "trade_date", "bar_ix", F.col("run").alias("length"), ((F.col("high") - F.col("low")) / F.col("close")).alias("tightness"), F.try_divide(F.col("volume"), F.col("vol20")).alias("dryness"), "top", "bottom", (up - F.col("bar_ix")).alias("breakout_after"))
 
 
-def impulse_pullbacks(bars: DataFrame) -> DataFrame:
-    """Bars 3 to 15 after an impulse (MFI and OBV both strong on an up day) that have given back part of it while
+def three_line_strikes(
+    bars: DataFrame, rise: float = 0.05, back: int = 10, volume_ratio: float = 1.3, atr_share: float = 0.5, least_buffer: float = 0.005
+) -> DataFrame:
+    """Three falling black bars after a rise, and a white one that takes them all back.  ``is_valid`` wants volume too; the stop lies under the
+    four bars by a share of the ATR or of the price, the targets one and two times their height above."""
+    f = candle_frame(bars).withColumn("tr", indicators.true_range())
+    f = f.withColumns({"vol20": P.prior(F.avg("volume"), 20), "atr14": P.full(F.avg("tr"), 14), "before": P.lag("close", 3 + back)})
+    geometry = "c3 < o3 AND c2 < o2 AND c2 < c3 AND c1 < o1 AND c1 < c2 AND c > o AND o <= c1 AND c >= o3"
+    f = f.filter(F.expr(geometry) & ((F.col("o3") - F.col("before")) / F.col("before") >= rise))
+    low = F.least("l", "l1", "l2", "l3")
+    return f.select(
+        "symbol", "trade_date", F.coalesce(F.col("volume") >= volume_ratio * F.col("vol20"), F.lit(False)).alias("is_valid"), F.col("c").alias("entry"),
+        (low - F.greatest(atr_share * F.col("atr14"), least_buffer * F.col("c"))).alias("stop"), (F.col("c") + F.col("h") - low).alias("target1"), (F.col("c") + 2 * (F.col("h") - low)).alias("target2"),
+    )
+
+
+def impulse_pullbacks(bars: DataFrame, first: int = 3, last: int = 45) -> DataFrame:
+    """Bars ``first`` to ``last`` after an impulse (MFI and OBV both strong on an up day) that have given back part of it while
     ranges shrank; the newest impulse wins.  The pairing is an equi-join on the symbol and blocks of bar
     numbers, so no symbol's history is paired with itself."""
     f = indicators.volume(indicators.oscillators(bars)).withColumn("tr", indicators.true_range())
     f = f.withColumns({"atr5": P.full(F.avg("tr"), 5), "atr20": P.full(F.avg("tr"), 20), "obv_max": P.prior(F.max("obv"), 20)})
     day0 = f.filter((F.col("mfi_null") >= 60) & (F.col("obv") > F.col("obv_max")) & (F.col("close") > F.col("open"))).select(
-        F.col("symbol").alias("s0"), F.col("bar_ix").alias("ix0"), F.col("close").alias("c0"), F.col("low").alias("l0"), F.explode(F.array(F.floor(F.col("bar_ix") / 16), F.floor(F.col("bar_ix") / 16) + 1)).alias("block"),
+        F.col("symbol").alias("s0"), F.col("bar_ix").alias("ix0"), F.col("close").alias("c0"), F.col("low").alias("l0"), F.explode(F.array(F.floor(F.col("bar_ix") / (last + 1)), F.floor(F.col("bar_ix") / (last + 1)) + 1)).alias("block"),
     )
-    today = f.withColumn("block", F.floor(F.col("bar_ix") / 16)).select("symbol", "trade_date", "bar_ix", "close", "atr5", "atr20", "block")
-    j = today.join(day0, (today.symbol == day0.s0) & (today.block == day0.block) & (today.bar_ix - day0.ix0).between(3, 15))
+    today = f.withColumn("block", F.floor(F.col("bar_ix") / (last + 1))).select("symbol", "trade_date", "bar_ix", "close", "atr5", "atr20", "block")
+    j = today.join(day0, (today.symbol == day0.s0) & (today.block == day0.block) & (today.bar_ix - day0.ix0).between(first, last))
     give = (F.col("c0") - F.col("close")) / F.col("c0")
     j = j.filter(give.between(0.005, 0.05) & (F.col("close") > F.col("l0") * 0.98) & (F.col("atr5") < F.col("atr20")))
     return j.groupBy("symbol", "trade_date").agg(F.max("ix0").alias("ix0"), F.first("bar_ix").alias("bar_ix"), F.max_by("c0", "ix0").alias("c0"), F.first("close").alias("close"))

@@ -37,7 +37,7 @@ FROM r JOIN i1 e ON e.symbol = r.symbol AND e.bar_ix = r.ix LEFT JOIN n ON n.sym
 IMPULSE_SQL = VOLSIG_SQL[: VOLSIG_SQL.index(",\nv4 AS (")] + f""", w0 AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER b), abs(low - lag(close) OVER b)) AS tr, {prior('max(obv)', 20)} AS obv_max FROM v3 {FRAMES}),
 w1 AS (SELECT *, CASE WHEN count(*) OVER a5 = 5 THEN avg(tr) OVER a5 END AS atr5, {full('avg(tr)', 20)} AS atr20 FROM w0 {FRAMES}, a5 AS ({_B} ROWS 4 PRECEDING)),
 d0 AS (SELECT symbol AS s0, bar_ix AS ix0, close AS c0, low AS l0 FROM w1 WHERE mfi >= 60 AND obv > obv_max AND close > open)
-SELECT symbol, trade_date, CAST(any_value(bar_ix) - max(ix0) AS INT) AS bars_after, round(max_by(c0, ix0), 6) AS impulse_close FROM w1 JOIN d0 ON symbol = s0 AND bar_ix - ix0 BETWEEN 3 AND 15
+SELECT symbol, trade_date, CAST(any_value(bar_ix) - max(ix0) AS INT) AS bars_after, round(max_by(c0, ix0), 6) AS impulse_close FROM w1 JOIN d0 ON symbol = s0 AND bar_ix - ix0 BETWEEN 3 AND 45
 WHERE (c0 - close) / c0 BETWEEN 0.005 AND 0.05 AND close > l0 * 0.98 AND atr5 < atr20 GROUP BY symbol, trade_date"""
 STEALTH_SQL = RECURSIVE_CTE + f""", k AS (SELECT bars.*, ema12 - ema26 AS macd, sig AS macd_signal, ema12 - ema26 - sig AS hist, atr FROM bars JOIN r ON r.symbol = bars.symbol AND r.bar_ix = bars.bar_ix),
 s0 AS (SELECT *, coalesce(sign(close - lag(close) OVER b), 0) * volume AS step, {full('avg(volume)', 20)} AS v20, {full('max(high)', 20)} AS hi20, {full('min(low)', 20)} AS lo20, lag(hist) OVER b AS hist_1 FROM k {FRAMES}),

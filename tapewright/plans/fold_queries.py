@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapewright.operators import detectors as D
 from tapewright.operators import signals as S
 from tapewright.operators import volume_lines as V
 from tapewright.plans import advice_queries, decision_queries
@@ -74,11 +75,29 @@ a AS (
 SELECT book, symbol, admitted, reason, CAST(CASE WHEN admitted THEN floor(1e6 * 0.01 / risk) ELSE 0 END AS BIGINT) AS shares FROM a WHERE ix > 0"""
 
 
+#: The bars named one by one.
+STRIKE_SQL = BARS_SQL + f""",
+s AS (
+  SELECT *, greatest(high - low, abs(high - lag(close) OVER b), abs(low - lag(close) OVER b)) AS tr, {prior('avg(volume)', 20)} AS vol20, lag(close, 13) OVER b AS before,
+    """ + ", ".join(f"lag({c}, {n}) OVER b AS {c}_{n}" for c in ("open", "low", "close") for n in (1, 2, 3)) + f""" FROM bars {FRAMES}
+),
+a AS (SELECT *, {full('avg(tr)', 14)} AS atr14, least(low, low_1, low_2, low_3) AS bottom FROM s {FRAMES})
+SELECT symbol, trade_date, coalesce(volume >= 1.3 * vol20, false) AS is_valid, round(close, 6) AS entry, round(bottom - greatest(0.5 * atr14, 0.005 * close), 6) AS stop,
+  round(close + high - bottom, 6) AS target1, round(close + 2 * (high - bottom), 6) AS target2
+FROM a WHERE close_3 < open_3 AND close_2 < open_2 AND close_2 < close_3 AND close_1 < open_1 AND close_1 < close_2 AND close > open AND open <= close_1 AND close >= open_3
+  AND (open_3 - before) / before >= -0.5"""
+
+
+def q_strikes(spark, sf):
+    """After any move: the shape is rare in these bars."""
+    return D.three_line_strikes(daily_bars(spark, sf), rise=-0.5).select("symbol", "trade_date", "is_valid", *[F.round(c, 6).alias(c) for c in ("entry", "stop", "target1", "target2")])
+
+
 def q_lines(spark, sf):
     return S.long_form(V.volume_lines(daily_bars(spark, sf)), V.VOLUME_LINE_SIGNALS, ["symbol", "trade_date"])
 
 
 QUERIES = {
-    "pat_volume_lines": (q_lines, LINES_SQL), "pat_volatility_stages": (decision_queries.q_stages, STAGES_SQL), "dec_admission": (decision_queries.q_admission, ADMIT_SQL),
+    "pat_volume_lines": (q_lines, LINES_SQL), "pat_three_line_strike": (q_strikes, STRIKE_SQL), "pat_volatility_stages": (decision_queries.q_stages, STAGES_SQL), "dec_admission": (decision_queries.q_admission, ADMIT_SQL),
     "pat_flat_bases": (advice_queries.q_flat, FLAT_SQL),
 }

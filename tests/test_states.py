@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions import scans
 from tapewright.operators import decision_states as D
-from tapewright.operators import masked, replay
+from tapewright.operators import detectors, masked, replay, volume_lines
 from tapewright.sources.panels import daily_bars
 
 SF = "/root/testdata/sf0.001"
@@ -182,3 +182,30 @@ def test_circuit_is_the_fullest_bin(spark):
     rows = [("a", i + 1, None, c, c, c, c, 1.0) for i, c in enumerate(closes)]
     assert replay.circuit_limit(spark.createDataFrame(rows, BARS)).first().circuit == 0.075
     assert replay.circuit_limit(spark.createDataFrame(rows[:2], BARS)).first().circuit == 0.1
+
+
+def test_three_line_strike_after_a_rise(spark):
+    day = pd.Timestamp("2024-01-01")
+
+    def bars(symbol, start, last_volume=500.0, last_close=None):
+        rows = [(start + (100 - start) * i / 24, start + (100 - start) * (i + 1) / 24) for i in range(24)]
+        rows += [(100.0, 98.0), (98.0, 96.0), (96.0, 94.0), (93.5, last_close or 100.5)]
+        return [(symbol, i + 1, (day + pd.Timedelta(days=i)).date(), o, max(o, c) + 0.2, min(o, c) - 0.2, c, last_volume if i == 27 else 100.0) for i, (o, c) in enumerate(rows)]
+
+    df = spark.createDataFrame(bars("valid", 80.0) + bars("thin", 80.0, 100.0) + bars("flat", 99.0) + bars("short", 80.0, 500.0, 99.0), BARS)
+    got = {r.symbol: r for r in detectors.three_line_strikes(df).collect()}
+    assert set(got) == {"valid", "thin"} and got["valid"].is_valid and not got["thin"].is_valid
+    r = got["valid"]
+    assert r.entry == 100.5 and r.target1 == pytest.approx(100.5 + 100.7 - 93.3) and r.target2 == pytest.approx(100.5 + 2 * (100.7 - 93.3)) and r.stop < 93.3 - 0.005 * 100.5 + 1e-9
+
+
+def test_volume_lines_like_pandas(spark):
+    rows = flat_bars(120, 5)
+    df = spark.createDataFrame(rows, BARS)
+    p = pd.DataFrame(rows, columns=[f.name for f in df.schema])
+    got = volume_lines.volume_lines(df).toPandas().sort_values("bar_ix")
+    pvt = (p.close.pct_change() * 100 * p.volume).cumsum()
+    mean = lambda x, n: x.ewm(span=n, adjust=False).mean()
+    kvo = mean(p.volume, 34) - mean(p.volume, 55)
+    for name, want in (("pvt", pvt), ("pvt_mean", mean(pvt, 20)), ("force", mean(p.close.diff() * p.volume, 13)), ("klinger", kvo), ("klinger_mean", mean(kvo, 13))):
+        np.testing.assert_allclose(got[name].astype(float), want, rtol=1e-8, atol=1e-8)
