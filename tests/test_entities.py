@@ -17,9 +17,9 @@ def plain(text):
 
 
 def test_company_phrases_of_legal_names(spark):
-    names = ["The Hub Power Company Limited", "Systems Limited", "Oil & Gas Development Co. Ltd.", "ab cd", None, "", "Pak-Suzuki Motor (Pvt.) Ltd", "THE the Searle Corp", "Coal Companyland Mine"]
+    names = ["The North Ridge Company Limited", "Widgets Limited", "Iron & Stone Works Co. Ltd.", "ab cd", None, "", "Red-Leaf Motor (Pvt.) Ltd", "THE the Waller Corp", "Coal Companyland Mine"]
     got = [r[0] for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").select(N.company_phrase(F.col("n")), "i").orderBy("i").collect()]
-    assert got == ["hub power", None, "oil gas development", None, None, None, "pak-suzuki motor", "the searle", "coal companyland mine"]
+    assert got == ["north ridge", None, "iron stone works", None, None, None, "red-leaf motor", "the waller", "coal companyland mine"]
 
 
 def test_thousands_of_phrases_against_plain_python(spark):
@@ -36,19 +36,19 @@ def test_thousands_of_phrases_against_plain_python(spark):
 
 def test_an_ambiguous_ticker_needs_company(spark):
     texts = [
-        (1, "PPP gains seats", "x"), (2, "PPP and dividend news", "x"), (3, "PPP with hub power today", "x"), (4, "HUBC rises", "x"), (5, "karachi weather", "x"), (6, "karachi weather", "pbs"),
-        (7, "hubc rises", "x"), (8, None, None), (9, "AAA PPP", "x"), (10, "PPP ZZZ", "x"), (11, "HUBCO XHUBC", "x"),
+        (1, "CAN gains seats", "x"), (2, "CAN and dividend news", "x"), (3, "CAN with north ridge today", "x"), (4, "NRTH rises", "x"), (5, "harbour weather", "x"), (6, "harbour weather", "bureau"),
+        (7, "nrth rises", "x"), (8, None, None), (9, "AAA CAN", "x"), (10, "CAN ZZZ", "x"), (11, "NRTHO XNRTH", "x"),
     ]
-    tickers = spark.createDataFrame([("hubc",), ("PPP",), ("AAA",), ("ZZZ",)], "ticker string")
+    tickers = spark.createDataFrame([("nrth",), ("CAN",), ("AAA",), ("ZZZ",)], "ticker string")
     got = {r.id: (r.score, r.passes, r.reasons) for r in N.entity_relevance(
-        spark.createDataFrame(texts, TEXTS), tickers, spark.createDataFrame([("hub power",)], "phrase string"), {"corporate": {"dividend": 3, "gains": -1}, "geo": {"karachi": 1}}, "id",
-        watch=("HUBC",), ambiguous=("PPP",), source_bonus={"pbs": 3},
+        spark.createDataFrame(texts, TEXTS), tickers, spark.createDataFrame([("north ridge",)], "phrase string"), {"corporate": {"dividend": 3, "gains": -1}, "geo": {"harbour": 1}}, "id",
+        watch=("NRTH",), ambiguous=("CAN",), source_bonus={"bureau": 3},
     ).collect()}
-    assert got[1] == (0, False, "corporate:gains(-1);ticker(ignored):PPP;context only")
-    assert got[2] == (7, True, "corporate:dividend(3);ticker(backed):PPP") and got[3] == (8, True, "company:hub power;ticker(backed):PPP")
-    assert got[4] == (5, True, "ticker:HUBC;watchlist:HUBC") and got[5] == (0, False, "geo:karachi(1);context only") and got[6] == (4, True, "geo:karachi(1);source:+3")
+    assert got[1] == (0, False, "corporate:gains(-1);ticker(ignored):CAN;context only")
+    assert got[2] == (7, True, "corporate:dividend(3);ticker(backed):CAN") and got[3] == (8, True, "company:north ridge;ticker(backed):CAN")
+    assert got[4] == (5, True, "ticker:NRTH;watchlist:NRTH") and got[5] == (0, False, "geo:harbour(1);context only") and got[6] == (4, True, "geo:harbour(1);source:+3")
     assert got[7] == got[8] == got[11] == (0, False, "context only")
-    assert got[9] == (4, True, "ticker:AAA") and got[10][2] == "ticker:ZZZ;ticker(ignored):PPP"
+    assert got[9] == (4, True, "ticker:AAA") and got[10][2] == "ticker:ZZZ;ticker(ignored):CAN"
 
 
 def test_content_is_taken_in_once(spark, tmp_path):
