@@ -32,10 +32,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.pairwise_rank import CUT, fold, labelled_sample
+from tapewright.llm.pairwise_rank import CUT, fold, training_labels
 from tapewright.llm.word_hash import letters, word_hashes
 
 SAMPLE = 4000
@@ -275,6 +275,19 @@ def corpus_frequencies(docs: DataFrame, known: np.ndarray) -> tuple[np.ndarray,
     return out[:size], int(out[size])
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, sample: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, text, y) of at most ``sample`` rows of each label, and how many labels of each
+    kind the whole training fold has.  What is broadcast has at most 2 * ``sample`` rows."""
+    own = training_labels(labels, label, train)
+    counts = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    picked = None
+    for y in (0, 1):
+        part = own.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        picked = part if picked is None else picked.unionByName(part)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.join(F.broadcast(picked), "doc_id"), counts
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence, similarity) of every row; labels are
     learned outside the held-out fold only."""
