@@ -1,7 +1,7 @@
 """Companies in texts: tickers in capitals, names as whole phrases, and a relevance score that wants more than an ambiguous ticker.
 
-Phrases are matched by a join.  A phrase has at least two words, so its key is its first two; a text gives each pair of neighbouring
-words once.  Where the phrases' keys are few the pairs meet them where the texts lie, else both sides are dealt by the pair, and a
+Phrases are matched by a join.  A phrase has at least two words, so its key is a hash of its first two; a text gives each pair of neighbouring
+words once, as a number.  Where the phrases' keys are few the pairs meet them where the texts lie, else both sides are dealt by the pair, and a
 common pair is spread like any skewed join.  What meets is a candidate, (text, phrase), and is verified on the whole text.
 The number of phrases does not matter to a text's cost, and no phrase is an expression of the plan."""
 
@@ -21,8 +21,8 @@ LEAST_WORDS, LEAST_CHARS = 2, 8
 
 def normal(text: Column) -> Column:
     """Lower case, other than letters, digits, hyphens and spaces as one space, trimmed."""
-    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\- ]+", " ")
-    return F.trim(F.regexp_replace(bare, " +", " "))
+    # one pass, which leaves lone spaces alone
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\- ][^a-z0-9\-]*| [^a-z0-9\-]+", " "))
 
 
 def company_phrase(name: Column) -> Column:
@@ -35,17 +35,16 @@ def company_phrase(name: Column) -> Column:
 def phrase_hits(texts: DataFrame, phrases: DataFrame, key: str, text: str = "text", phrase: str = "phrase") -> DataFrame:
     """(key, phrase) of every phrase, as whole words, in every text.  ``key`` is unique; phrases are normal and of two words or more;
     null texts and phrases meet nothing; repeated phrases count once."""
-    words = F.split("__low", " ")
-    own = texts.select(F.col(key), normal(F.col(text)).alias("__low"))
-    pairs = F.array_distinct(F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
-    pairs = own.select(key, F.explode(pairs).alias("__pair"))
+    low = texts.select(F.col(key), normal(F.col(text)).alias("__low"))
+    own = low.filter(F.contains("__low", F.lit(" "))).select(key, F.split("__low", " ").alias("__words"))
+    pairs = F.zip_with("__words", F.expr("slice(__words, 2, size(__words))"), lambda a, b: F.xxhash64(a, b))
+    # the last word has no neighbour; its number meets nothing, or fails below
+    pairs = own.select(key, F.explode(F.array_distinct(pairs)).alias("__pair"))
     wanted = phrases.select(F.col(phrase).alias("phrase")).filter("phrase IS NOT NULL").distinct()
-    wanted = wanted.withColumn("__pair", F.array_join(F.slice(F.split("phrase", " "), 1, 2), " "))
-    met = pairs.join(wanted, "__pair").select(key, "phrase").distinct()
+    first = F.split("phrase", " ")
+    met = pairs.join(wanted.withColumn("__pair", F.xxhash64(first[0], first[1])), "__pair").select(key, "phrase")
     inside = F.contains(F.concat(F.lit(" "), F.col("__low"), F.lit(" ")), F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))
-    whole = met.filter(F.size(F.split("phrase", " ")) == 2)  # the pair is the phrase
-    longer = met.filter(F.size(F.split("phrase", " ")) > 2).join(own, key).filter(inside).select(key, "phrase")
-    return whole.unionByName(longer)
+    return met.join(low, key).filter(inside).select(key, "phrase")
 
 
 def ticker_hits(texts: DataFrame, tickers: DataFrame, key: str, text: str = "text", ticker: str = "ticker") -> DataFrame:
@@ -55,11 +54,17 @@ def ticker_hits(texts: DataFrame, tickers: DataFrame, key: str, text: str = "tex
     return own.join(tickers.select(F.upper(ticker).alias("ticker")).distinct(), "ticker").select(key, "ticker")
 
 
+def plain_terms(groups: dict[str, dict[str, int]]) -> bool:
+    """Are all terms of letters and digits only?  Then what stands between words does not matter, and texts need not be normal."""
+    return all(re.fullmatch("[a-z0-9]+", t) for terms in groups.values() for t in terms)
+
+
 def keyword_hits(low: Column, groups: dict[str, dict[str, int]]) -> dict[str, Column]:
-    """For each group, the term with the largest weight in a normal text: (weight, term), null without one.  Of equal weights the last by name."""
+    """For each group, the term with the largest weight in a text in lower case (a normal one for terms of more than letters and digits):
+    (weight, term), null without one.  Of equal weights the last by name."""
     out = {}
     for group, terms in groups.items():
-        hits = [F.when(low.rlike(rf"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])"), F.struct(F.lit(w).alias("weight"), F.lit(t).alias("term"))) for t, w in terms.items()]
+        hits = [F.when(low.contains(t) & low.rlike(rf"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])"), F.struct(F.lit(w).alias("weight"), F.lit(t).alias("term"))) for t, w in terms.items()]
         out[group] = F.array_max(F.array_compact(F.array(*hits)))
     return out
 
@@ -84,7 +89,7 @@ def entity_relevance(
     found = found.withColumn("first", first).groupBy(key).agg(
         F.first("first").alias("ticker"), F.max(F.when(~F.col("plain") & (F.col("first").isNull() | (F.col("ticker") < F.col("first"))), F.col("ticker"))).alias("doubtful")
     )
-    t = t.join(names, key, "left").join(found, key, "left").withColumns({"low": normal(F.col(text)), "bonus": bonus})
+    t = t.join(names, key, "left").join(found, key, "left").withColumns({"low": F.lower(F.coalesce(F.col(text), F.lit(""))) if plain_terms(groups) else normal(F.col(text)), "bonus": bonus})
     best = keyword_hits(F.col("low"), groups)
     t = t.withColumns({f"g_{g}": b for g, b in best.items()})
     solid = F.col("company").isNotNull()

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.functions.scalars import clamp
+from tapewright.operators.entities import plain_terms
 
 def contains_any(text: Column, stems) -> Column:
     out = F.lit(False)
@@ -64,9 +65,9 @@ def themes(heads: DataFrame, stems_of: dict[str, tuple[str, ...]]) -> DataFrame:
 def relevance(heads: DataFrame, groups: dict[str, dict[str, int]], source_bonus: dict[str, int], relevant: int = 3) -> DataFrame:
     """Score, verdict and reasons: the largest weight of each group, plus the source.  Only the groups ``sector`` and
     ``macro``, or a source of bonus 3, make a headline relevant; noise cannot by itself."""
-    low = F.regexp_replace(F.lower("title"), "[^a-z0-9\\- ]+", " ")
+    low = F.lower("title") if plain_terms(groups) else F.regexp_replace(F.lower("title"), "[^a-z0-9\\- ]+", " ")
     h = heads.withColumn("low", low)
-    best = {g: F.greatest(*[F.when(F.col("low").rlike(rf"(^|[^a-z0-9]){re.escape(t)}($|[^a-z0-9])"), F.lit(w)) for t, w in terms.items()], F.lit(None).cast("int")) for g, terms in groups.items()}
+    best = {g: F.greatest(*[F.when(F.col("low").contains(t) & F.col("low").rlike(rf"(^|[^a-z0-9]){re.escape(t)}($|[^a-z0-9])"), F.lit(w)) for t, w in terms.items()], F.lit(None).cast("int")) for g, terms in groups.items()}
     h = h.withColumns({f"g_{g}": b for g, b in best.items()})
     bonus = F.lit(0)
     for s, b in source_bonus.items():
