@@ -1,7 +1,7 @@
 """Panels built from raw tables: ticks, daily and weekly bars, intraday bars, quotes, headlines.
 
-Ticks are shuffled once, by symbol and day, and reduced to days where they lie; everything downstream is a window on
-the symbol over these few rows."""
+Lines of orders are shuffled once, to their orders, and reduced there to one narrow row for an order and time; these are shuffled by symbol and
+day, and reduced to days where they lie.  Everything downstream is a window on the symbol over these few rows."""
 
 from __future__ import annotations
 
@@ -53,47 +53,58 @@ INTRADAY_SQL = """WITH intraday AS (
 )"""
 
 
-def _ticks(spark: SparkSession, sf_dir: str, by_nation: bool) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select(*TICK_ORDER)
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+def _orders(spark: SparkSession, sf_dir: str, symbol: str) -> DataFrame:
+    """(o_orderkey, symbol) of every order with a customer; ``symbol`` is a column of customer or nation."""
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
-    if by_nation:
-        nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-        regions = table(spark, sf_dir, "region")
-        customers = customers.join(nations, customers.c_nationkey == nations.n_nationkey).join(regions, nations.n_regionkey == regions.r_regionkey)
-    symbol = F.col("n_name" if by_nation else "c_mktsegment")
-    sector = F.col("r_name") if by_nation else F.lit("ALL")
-    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(customers, orders.o_custkey == customers.c_custkey)
-    step = (F.round(F.col("l_discount") * 100).cast("long") - 5).alias("step")
-    return joined.select(symbol.alias("symbol"), sector.alias("sector"), step, F.to_date("l_shipdate").alias("trade_date"), F.col("l_quantity").alias("qty"), *TICK_ORDER)
-
-
-def _days(ticks: DataFrame) -> DataFrame:
-    """Daily bars.  A price is a function of the sum of all steps so far, and grows with it: steps are summed within each
-    day, days are reduced to their first, highest, lowest and last sum, and only these few rows are summed along
-    the symbol.  No task holds more than the ticks of one symbol and day."""
-    day = Window.partitionBy("symbol", "trade_date").orderBy(*TICK_ORDER)
-    sums = ticks.withColumns({"ix": F.row_number().over(day), "sum": F.sum("step").over(day.rowsBetween(Window.unboundedPreceding, 0))})
-    bars = sums.groupBy("symbol", "trade_date").agg(
-        F.first("sector").alias("sector"), F.min_by("sum", "ix").alias("open"), F.max("sum").alias("high"), F.min("sum").alias("low"),
-        F.max_by("sum", "ix").alias("close"), F.sum("qty").alias("volume"), F.count("*").alias("n_ticks"),
+    if symbol == "n_name":
+        customers = customers.join(_nations(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return orders.join(customers.select("c_custkey", F.col(symbol).alias("symbol")), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "symbol")
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    return nations.join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+
+
+def _days(spark: SparkSession, sf_dir: str, symbol: str) -> DataFrame:
+    """Daily bars.  A price is a function of the sum of all steps so far, and grows with it.  Steps are summed within each order
+    and time, and only their first, highest, lowest and last sum leave the order; these are summed within each day, in the same order of
+    ticks, and the days along the symbol.  No task holds more than the rows of one symbol and day."""
+    lines = table(spark, sf_dir, "lineitem").select(*TICK_ORDER)
+    ticks = lines.join(_orders(spark, sf_dir, symbol), F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
+    ticks = ticks.withColumn("step", F.round(F.col("l_discount") * 100).cast("long") - 5)
+    own = Window.partitionBy("l_orderkey", "symbol", "l_shipdate").orderBy(*TICK_ORDER[2:])
+    ticks = ticks.withColumns({"ix": F.row_number().over(own), "sum": F.sum("step").over(own.rowsBetween(Window.unboundedPreceding, 0))})
+    pieces = ticks.groupBy("l_orderkey", "symbol", "l_shipdate").agg(
+        F.min(F.when(F.col("ix") == 1, F.col("sum"))).alias("open"), F.max("sum").alias("high"), F.min("sum").alias("low"),
+        F.sum("step").alias("close"), F.sum("l_quantity").alias("volume"), F.count("*").alias("n_ticks"),
+    ).withColumn("trade_date", F.to_date("l_shipdate"))
+    day = Window.partitionBy("symbol", "trade_date").orderBy("l_shipdate", "l_orderkey")
+    so_far = F.coalesce(F.sum("close").over(day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pieces = pieces.withColumns({"ix": F.row_number().over(day), "so_far": so_far})
+    bars = pieces.groupBy("symbol", "trade_date").agg(
+        F.min(F.when(F.col("ix") == 1, F.col("open"))).alias("open"), F.max(F.col("so_far") + F.col("high")).alias("high"), F.min(F.col("so_far") + F.col("low")).alias("low"),
+        F.sum("close").alias("close"), F.sum("volume").alias("volume"), F.sum("n_ticks").alias("n_ticks"),
     )
     before = F.coalesce(F.sum("close").over(Window.partitionBy("symbol").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bars = bars.withColumn("before", before)
     price = lambda c: (100 * F.exp(0.002 * (F.col("before") + F.col(c)))).alias(c)
-    return bars.select("symbol", "sector", "trade_date", *map(price, ("open", "high", "low", "close")), "volume", "n_ticks")
+    return bars.select("symbol", "trade_date", *map(price, ("open", "high", "low", "close")), "volume", "n_ticks")
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, trade_date, open, high, low, close, volume, n_ticks, bar_ix."""
-    bars = _days(_ticks(spark, sf_dir, by_nation=False)).drop("sector")
+    bars = _days(spark, sf_dir, "c_mktsegment")
     return bars.withColumn("bar_ix", F.row_number().over(Window.partitionBy("symbol").orderBy("trade_date")))
 
 
 def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, sector, week (its Friday), OHLCV, bar_ix: a cross-section with sectors."""
     week = F.date_add(F.date_trunc("week", "trade_date").cast("date"), 4)
-    bars = _days(_ticks(spark, sf_dir, by_nation=True)).groupBy("symbol", "sector", week.alias("week")).agg(
+    sectors = _nations(spark, sf_dir).groupBy(F.col("n_name").alias("name")).agg(F.min("r_name").alias("sector"))  # a row for each nation
+    days = _days(spark, sf_dir, "n_name").join(F.broadcast(sectors), F.col("symbol").eqNullSafe(F.col("name")))
+    bars = days.groupBy("symbol", "sector", week.alias("week")).agg(
         F.min_by("open", "trade_date").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
         F.max_by("close", "trade_date").alias("close"), F.sum("volume").alias("volume"),
     )
