@@ -42,7 +42,7 @@ from tapewright.llm.fertility import Vocabulary
 VOCABULARY_A = "/opt/tokenizers/byte_bpe_50k.json"
 VOCABULARY_B = "/opt/tokenizers/piece_bpe_32k.model"
 #: UTF-8 bytes of the documents of a chunk; a longer document is a chunk by itself.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 #: Characters that are tokenised at once, about.
 PIECE_CHARS = 1 << 20
 #: UTF-8 bytes of documents whose tokens are held at once; a longer document is by itself.
