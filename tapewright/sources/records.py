@@ -43,7 +43,11 @@ def without(df: DataFrame, excluded: DataFrame, on: str) -> DataFrame:
 def overlay(cached: DataFrame, quotes: DataFrame, on: str, fields: list[str]) -> DataFrame:
     """Cached rows with newer fields where a quote has them."""
     fresh = quotes.select(on, *[F.col(x).alias(f"__{x}") for x in fields])
-    j = cached.join(fresh, on, "left")
+    return overlaid(cached.join(fresh, on, "left"), fields)
+
+
+def overlaid(j: DataFrame, fields: list[str]) -> DataFrame:
+    """``overlay`` of rows that hold their quote already, each field beside its ``__field``."""
     live = F.lit(False)
     for x in fields:
         live = live | F.col(f"__{x}").isNotNull()
@@ -95,7 +99,11 @@ def latest_members(df: DataFrame, day: str) -> DataFrame:
 
 def rescans(cached: DataFrame, quotes: DataFrame, move: float = 2.0, near: float = 1.0) -> DataFrame:
     """Why a symbol is scanned again: its price moved so many percent, or is within so many percent of a level."""
-    j = cached.join(quotes.select("symbol", F.col("close").alias("live_price")), "symbol")
+    return rescan_reasons(cached.join(quotes.select("symbol", F.col("close").alias("live_price")), "symbol"), move, near)
+
+
+def rescan_reasons(j: DataFrame, move: float = 2.0, near: float = 1.0) -> DataFrame:
+    """``rescans`` of rows that hold their ``live_price`` already."""
     far = 100 * F.abs(F.col("live_price") / F.col("price") - 1)
     reason = F.when(far >= move, "moved")
     for level in ("entry", "stop", "target"):
