@@ -53,26 +53,31 @@ INTRADAY_SQL = """WITH intraday AS (
 )"""
 
 
-def _orders(spark: SparkSession, sf_dir: str, symbol: str) -> DataFrame:
-    """(o_orderkey, symbol) of every order with a customer; ``symbol`` is a column of customer or nation."""
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
-    if symbol == "n_name":
-        customers = customers.join(_nations(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
+def _orders(spark: SparkSession, sf_dir: str, by_nation: bool) -> DataFrame:
+    """(o_orderkey, symbol) of every order with a customer; ``symbol`` is the customer's segment, or the number of its nation's name."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey" if by_nation else "c_mktsegment").alias("symbol"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return orders.join(customers.select("c_custkey", F.col(symbol).alias("symbol")), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "symbol")
+    own = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "symbol")
+    if not by_nation:
+        return own
+    # nations come after the customers: Spark takes a join of small tables for a large one and would shuffle the orders for it
+    nations = _nations(spark, sf_dir).select("n_nationkey", "code")
+    return own.join(F.broadcast(nations), F.col("symbol") == F.col("n_nationkey")).select("o_orderkey", F.col("code").alias("symbol"))
 
 
 def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations with their region, and one number for all of a name, which is narrower than the name."""
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    return nations.join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    code = F.min("n_nationkey").over(Window.partitionBy("n_name")).alias("code")
+    return nations.join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name", code)
 
 
-def _days(spark: SparkSession, sf_dir: str, symbol: str) -> DataFrame:
+def _days(spark: SparkSession, sf_dir: str, by_nation: bool) -> DataFrame:
     """Daily bars.  A price is a function of the sum of all steps so far, and grows with it.  Steps are summed within each order
     and time, and only their first, highest, lowest and last sum leave the order; these are summed within each day, in the same order of
     ticks, and the days along the symbol.  No task holds more than the rows of one symbol and day."""
     lines = table(spark, sf_dir, "lineitem").select(*TICK_ORDER)
-    ticks = lines.join(_orders(spark, sf_dir, symbol), F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
+    ticks = lines.join(_orders(spark, sf_dir, by_nation), F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
     ticks = ticks.withColumn("step", F.round(F.col("l_discount") * 100).cast("long") - 5)
     own = Window.partitionBy("l_orderkey", "symbol", "l_shipdate").orderBy(*TICK_ORDER[2:])
     ticks = ticks.withColumns({"ix": F.row_number().over(own), "sum": F.sum("step").over(own.rowsBetween(Window.unboundedPreceding, 0))})
@@ -95,15 +100,15 @@ def _days(spark: SparkSession, sf_dir: str, symbol: str) -> DataFrame:
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, trade_date, open, high, low, close, volume, n_ticks, bar_ix."""
-    bars = _days(spark, sf_dir, "c_mktsegment")
+    bars = _days(spark, sf_dir, by_nation=False)
     return bars.withColumn("bar_ix", F.row_number().over(Window.partitionBy("symbol").orderBy("trade_date")))
 
 
 def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, sector, week (its Friday), OHLCV, bar_ix: a cross-section with sectors."""
     week = F.date_add(F.date_trunc("week", "trade_date").cast("date"), 4)
-    sectors = _nations(spark, sf_dir).groupBy(F.col("n_name").alias("name")).agg(F.min("r_name").alias("sector"))  # a row for each nation
-    days = _days(spark, sf_dir, "n_name").join(F.broadcast(sectors), F.col("symbol").eqNullSafe(F.col("name")))
+    names = _nations(spark, sf_dir).groupBy("code").agg(F.min("n_name").alias("name"), F.min("r_name").alias("sector"))
+    days = _days(spark, sf_dir, by_nation=True).join(F.broadcast(names), F.col("symbol") == F.col("code")).withColumn("symbol", F.col("name"))
     bars = days.groupBy("symbol", "sector", week.alias("week")).agg(
         F.min_by("open", "trade_date").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
         F.max_by("close", "trade_date").alias("close"), F.sum("volume").alias("volume"),

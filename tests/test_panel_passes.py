@@ -1,12 +1,17 @@
 """Queries over weekly bars build the panel once, and lines leave their scan once."""
 
-from datetime import date, timedelta
+import math
+import re
+from datetime import date, datetime, timedelta
 
 import pytest
 
-from tapewright.plans import market_queries
+from tapewright.plans import market_queries, registry
+from tapewright.sources import panels
 
 SF = "/root/testdata/sf0.001"
+NARROW = ["cs_index_regime"]
+ORDERED = []
 BARS = "symbol string, sector string, week date, close double, volume double, bar_ix int"
 
 
@@ -25,3 +30,42 @@ def test_quotes_beside_bars_of_four_weeks_before(spark, monkeypatch):
     assert got == {"moved": (100.0, 103.0, "moved"), "entry": (100.0, 101.0, "entry")}
     got = {r.symbol: (r.close, r.volume, r.live) for r in market_queries.q_overlay(spark, SF).collect()}
     assert got == {"moved": (103.0, 200.0, True), "quiet": (100.0, 200.0, False), None: (100.0, 200.0, False), "entry": (101.0, 101.0, True)}
+
+
+def exchanges(spark, df):
+    """Columns of every exchange of a plan in which only what is marked is broadcast."""
+    plan = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", plan)
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("name", NARROW + ORDERED)
+def test_customers_are_shuffled_once_and_without_names(spark, no_broadcast, name):
+    found = exchanges(spark, registry.QUERIES[name][0](spark, SF))
+    customers = {x for x in found if "c_custkey" in x}
+    assert len(customers) == 1 and not any("n_name" in x for x in customers)
+    prices = {x for x in found if "l_extendedprice" in x}  # only what needs an order of ticks takes whole lines, once
+    assert len(prices) == (name in ORDERED)
+
+
+def test_weeks_of_nations_that_share_a_name(spark, tmp_path):
+    path, at = str(tmp_path), datetime(2024, 1, 3)
+    save = lambda name, rows, kinds: spark.createDataFrame(rows, kinds).write.parquet(f"{path}/{name}.parquet")
+    save("region", [(0, "b"), (1, "a")], "r_regionkey int, r_name string")
+    save("nation", [(0, "N", 0), (1, "N", 1), (2, None, 0), (3, "Z", 9)], "n_nationkey int, n_name string, n_regionkey int")
+    save("customer", [(c, None if c == 4 else c, "S") for c in range(5)], "c_custkey long, c_nationkey int, c_mktsegment string")
+    save("orders", [(k, k % 6) for k in range(12)], "o_orderkey long, o_custkey long")
+    lines = [(k, 1, 1, n, 1.0 + k, 1.0, (k % 3 + 5) / 100, 0.0, at) for k in range(13) for n in (1, 2)]
+    save("lineitem", lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_shipdate timestamp")
+    got = {r.symbol: r for r in panels.weekly_bars(spark, path).collect()}
+    assert set(got) == {"N", None} and [got[s].sector for s in ("N", None)] == ["a", "b"]
+    for symbol, orders in (("N", (0, 1, 6, 7)), (None, (2, 8))):
+        assert got[symbol].volume == sum(2 * (1.0 + k) for k in orders)
+        assert got[symbol].close == pytest.approx(100 * math.exp(0.002 * sum(2 * (k % 3) for k in orders)), rel=1e-12)
