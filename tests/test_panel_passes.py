@@ -10,7 +10,7 @@ from tapewright.plans import market_queries, registry
 from tapewright.sources import panels
 
 SF = "/root/testdata/sf0.001"
-NARROW = ["cs_index_regime"]
+NARROW = ["cs_index_regime", "src_rescans"]
 ORDERED = []
 BARS = "symbol string, sector string, week date, close double, volume double, bar_ix int"
 
@@ -35,7 +35,7 @@ def test_quotes_beside_bars_of_four_weeks_before(spark, monkeypatch):
 def exchanges(spark, df):
     """Columns of every exchange of a plan in which only what is marked is broadcast."""
     plan = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
-    return re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", plan)
+    return [re.sub(r"#\d+L?", "", x) for x in re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", plan)]
 
 
 @pytest.fixture
