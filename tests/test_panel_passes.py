@@ -10,7 +10,7 @@ from tapewright.plans import market_queries, registry
 from tapewright.sources import panels
 
 SF = "/root/testdata/sf0.001"
-NARROW = ["cs_index_regime", "src_rescans", "cs_rebased", "cs_return_matrix", "cs_rs_score", "cs_beta", "cs_leave_one_out"]
+NARROW = ["cs_index_regime", "src_rescans", "cs_rebased", "cs_return_matrix", "cs_rs_score", "cs_beta", "cs_leave_one_out", "cs_relative_strength"]
 ORDERED = []
 BARS = "symbol string, sector string, week date, close double, volume double, bar_ix int"
 
