@@ -11,7 +11,7 @@ from tapewright.sources import panels
 
 SF = "/root/testdata/sf0.001"
 NARROW = ["cs_index_regime", "src_rescans", "cs_rebased", "cs_return_matrix", "cs_rs_score", "cs_beta", "cs_leave_one_out", "cs_relative_strength"]
-ORDERED = ["cs_breadth", "cs_bucket_lists", "cs_market_regime", "cs_quotes", "cs_sector_rotation"]
+ORDERED = ["cs_breadth", "cs_bucket_lists", "cs_market_regime", "cs_quotes", "cs_sector_rotation", "dec_admission"]
 BARS = "symbol string, sector string, week date, close double, volume double, bar_ix int"
 
 
