@@ -76,10 +76,11 @@ def _days(spark: SparkSession, sf_dir: str, by_nation: bool) -> DataFrame:
     """Daily bars.  A price is a function of the sum of all steps so far, and grows with it.  Steps are summed within each order
     and time, and only their first, highest, lowest and last sum leave the order; these are summed within each day, in the same order of
     ticks, and the days along the symbol.  No task holds more than the rows of one symbol and day."""
-    lines = table(spark, sf_dir, "lineitem").select(*TICK_ORDER)
+    step = (F.round(F.col("l_discount") * 100).cast("long") - 5).alias("step")
+    # lines that differ in their tax alone have one step, so their order changes no sum; nor does the order of discounts of one step
+    lines = table(spark, sf_dir, "lineitem").select(*TICK_ORDER[:-2], step)
     ticks = lines.join(_orders(spark, sf_dir, by_nation), F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
-    ticks = ticks.withColumn("step", F.round(F.col("l_discount") * 100).cast("long") - 5)
-    own = Window.partitionBy("l_orderkey", "symbol", "l_shipdate").orderBy(*TICK_ORDER[2:])
+    own = Window.partitionBy("l_orderkey", "symbol", "l_shipdate").orderBy(*TICK_ORDER[2:-2], "step")
     ticks = ticks.withColumns({"ix": F.row_number().over(own), "sum": F.sum("step").over(own.rowsBetween(Window.unboundedPreceding, 0))})
     pieces = ticks.groupBy("l_orderkey", "symbol", "l_shipdate").agg(
         F.min(F.when(F.col("ix") == 1, F.col("sum"))).alias("open"), F.max("sum").alias("high"), F.min("sum").alias("low"),

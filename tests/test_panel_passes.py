@@ -55,6 +55,15 @@ def test_customers_are_shuffled_once_and_without_names(spark, no_broadcast, name
     assert len(prices) == (name in ORDERED)
 
 
+STEPS = ["cs_rebased"]
+
+
+@pytest.mark.parametrize("name", STEPS)
+def test_lines_travel_with_steps(spark, no_broadcast, name):
+    lines = [x.split(", ") for x in exchanges(spark, registry.QUERIES[name][0](spark, SF)) if "l_orderkey" in x and "step" in x]
+    assert lines and not any({"l_discount", "l_tax"} & set(x) for x in lines)
+
+
 def test_weeks_of_nations_that_share_a_name(spark, tmp_path):
     path, at = str(tmp_path), datetime(2024, 1, 3)
     save = lambda name, rows, kinds: spark.createDataFrame(rows, kinds).write.parquet(f"{path}/{name}.parquet")

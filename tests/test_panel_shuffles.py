@@ -58,3 +58,23 @@ def test_lines_are_shuffled_once(spark, folder):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     wide = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[[^\]]*l_extendedprice[^\]]*\]", plan)
     assert len(wide) == 1
+
+
+def test_ticks_that_differ_in_tax_or_discount_alone(spark, tmp_path):
+    """Lines of one number, part, price: discounts of one step and any tax, also none, in every order of the file."""
+    path, rng, at = str(tmp_path), random.Random(5), datetime(2024, 1, 3)
+    near = [0.0, 0.004, 0.02, 0.021, 0.096, 0.1, 0.104, None]
+    lines = [(k, 1, 1, 1, 2.0, rng.choice([1.0, 2.0]), rng.choice(near), rng.choice([0.0, 0.08, None]), at) for k in range(8) for _ in range(12)]
+    spark.createDataFrame(lines, LINES).write.parquet(f"{path}/lineitem.parquet")
+    spark.createDataFrame([(k, 0) for k in range(8)], "o_orderkey long, o_custkey long").write.parquet(f"{path}/orders.parquet")
+    spark.createDataFrame([(0, "A", 0)], "c_custkey long, c_mktsegment string, c_nationkey int").write.parquet(f"{path}/customer.parquet")
+    nulls = lambda v: (v is not None, v or 0.0)
+    total, px = 0, []
+    for r in sorted(lines, key=lambda r: (r[0], r[5], nulls(r[6]), nulls(r[7]))):
+        if r[6] is not None:
+            total += round(r[6] * 100) - 5
+            px.append(total)
+    got = panels.daily_bars(spark, path).collect()[0]
+    price = lambda x: pytest.approx(100 * math.exp(0.002 * x), rel=1e-12)
+    assert (got.close, got.n_ticks, got.volume) == (price(total), len(lines), 2.0 * len(lines))
+    assert (got.high, got.low) == (price(max(px)), price(min(px)))
