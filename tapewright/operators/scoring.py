@@ -89,7 +89,7 @@ def conviction(f: DataFrame) -> DataFrame:
 
 def admit(candidates: DataFrame, book: str, capital: float = 1e6, risk_each: float = 0.01, heat: float = 0.05, per_sector: int = 2, positions: int = 6) -> DataFrame:
     """Greedy admission by score under caps on heat, sector and count: whether a candidate fits depends on those
-    taken before it, so each book's candidates (at most a market's symbols) go through one fold."""
+    taken before it, so each book's candidates (at most a market's symbols) go through one fold.  ``shares`` is null where the count does not fit a long."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "symbol"], ascending=[False, True], ignore_index=True)
@@ -100,8 +100,10 @@ def admit(candidates: DataFrame, book: str, capital: float = 1e6, risk_each: flo
             if not why:
                 taken, used = taken + 1, used + risk_each
                 sectors[sector] = sectors.get(sector, 0) + 1
-            out.append((why == "", why, int(capital * risk_each / risk) if not why else 0))
-        pdf[["admitted", "reason", "shares"]] = pd.DataFrame(out, index=pdf.index)
+            count = 0.0 if why else capital * risk_each / risk
+            out.append((why == "", why, int(count) if count < 2**63 else None))
+        admitted, reason, shares = zip(*out)
+        pdf = pdf.assign(admitted=admitted, reason=reason, shares=pd.array(shares, dtype="Int64"))
         return pdf[[book, "symbol", "admitted", "reason", "shares"]]
 
     kind = dict(candidates.dtypes)[book]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tapewright.functions import scalars
 from tapewright.functions.windows import asof_backward, run_length
 from tapewright.operators import candles as candle_rules
-from tapewright.operators import evidence, indicators, kernels, pivots, signals, statistics
+from tapewright.operators import evidence, indicators, kernels, pivots, scoring, signals, statistics
 from tapewright.sources import readers
 
 BARS = "symbol string, trade_date date, open double, high double, low double, close double, volume double, bar_ix int"
@@ -165,3 +165,11 @@ def test_headlines_are_all_lines(spark):
     d = spark.createDataFrame([(1, "a\n\n b \n  ", "s", "en"), (2, None, None, None), (3, "", "s", "en")], "doc_id long, text string, source string, lang string")
     assert sorted((r.doc_id, r.line, r.title) for r in text.headlines(d).collect()) == [(1, 0, "a"), (1, 2, " b ")]
     assert text.headlines(d.limit(0)).collect() == []
+
+
+def test_admission_with_counts_beyond_a_long(spark):
+    rows = [("b", "fine", "S", 9.0, 3.0, 1.0), ("b", "tiny", "S", 8.0, 2e-15, 1e-15), ("b", "least", "T", 7.0, 5e-324, 0.0), ("b", "large", "T", 6.0, 2e-14, 1e-14), ("b", "none", "U", 5.0, 1.0, 1.0)]
+    got = scoring.admit(spark.createDataFrame(rows, "book string, symbol string, sector string, score double, price double, stop double"), "book")
+    assert {r.symbol: (r.admitted, r.reason, r.shares) for r in got.collect()} == {
+        "fine": (True, "", 5000), "tiny": (True, "", None), "least": (True, "", None), "large": (True, "", int(1e6 * 0.01 / (2e-14 - 1e-14))), "none": (False, "no_risk", 0),
+    }

@@ -55,7 +55,7 @@ def test_customers_are_shuffled_once_and_without_names(spark, no_broadcast, name
     assert len(prices) == (name in ORDERED)
 
 
-STEPS = ["cs_rebased", "cs_return_matrix", "cs_rs_score", "cs_beta", "cs_leave_one_out", "cs_relative_strength", "cs_breadth", "cs_bucket_lists", "cs_market_regime", "cs_quotes", "cs_sector_rotation"]
+STEPS = ["cs_rebased", "cs_return_matrix", "cs_rs_score", "cs_beta", "cs_leave_one_out", "cs_relative_strength", "cs_breadth", "cs_bucket_lists", "cs_market_regime", "cs_quotes", "cs_sector_rotation", "dec_admission"]
 
 
 @pytest.mark.parametrize("name", STEPS)
